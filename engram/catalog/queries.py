@@ -27,8 +27,8 @@ TAG, SOURCE, PROJECT, TAGS = "en", "src3", "src5", ["de", "poor"]
 DATE_FROM, DATE_TO, SINCE = "2024-01-08 00:00:00", "2024-01-22 12:00:00", "2024-01-15"
 MIN_IMPORTANCE = 0.2
 HEADINGS = ["the", "der"]
-TEXT_QUERY = "The reations of her ations"
-FUZZY_QUERY = "anation of the heation"
+TEXT_QUERY = "The rean of ther and tion"
+FUZZY_QUERY = "than there and the nation"
 IVF_PROBES, LSH_TABLES, LSH_BITS = 3, 8, 4
 INSERTED_FROM = 1_000_000_000
 

@@ -141,7 +141,9 @@ def fetch_context(
         asked.where((F.col("search_type_used") == "recent") & (F.col("limit") > 0))
         .select(
             "query_id", "search_type_used",
-            F.explode(F.sequence(F.lit(1), F.col("limit"))).cast("long").alias("rank"),
+            F.explode(
+                F.sequence(F.lit(1).cast("long"), F.col("limit").cast("long"))
+            ).alias("rank"),
             F.lit(0.0).alias("similarity"),
         )
         .join(F.broadcast(numbered), "rank")
