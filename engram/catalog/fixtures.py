@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.operators import store
+from engram.sources.tables import spread
 
 DIMENSION = 64
 AS_OF = "2024-02-05"
@@ -26,10 +27,14 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def raw_memories(self) -> DataFrame:
+    def texts(self) -> DataFrame:
+        """The documents, for work on their texts."""
+        return spread(self.table("documents"))
+
+    def raw_memories(self, documents: DataFrame | None = None) -> DataFrame:
         """Every document as a memory row whose defaults are not filled in yet. Documents
         without a vector stay, with a NULL embedding; unlabelled ones have no score."""
-        documents = self.table("documents")
+        documents = documents or self.table("documents")
         vectors = self.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
         labels = self.table("labels").select("doc_id", "quality")
         first_sentence = F.trim(F.regexp_extract("text", r"^[^.!?\n]*", 0))
@@ -54,6 +59,10 @@ class Fixtures:
     def memories(self) -> DataFrame:
         return store.build_memories(self.raw_memories(), AS_OF)
 
+    def memory_texts(self) -> DataFrame:
+        """The same memories, for work on their texts."""
+        return store.build_memories(self.raw_memories(self.texts()), AS_OF)
+
     def raw_tags(self) -> DataFrame:
         """Tags as they arrive: of labelled documents their language and quality, and of
         users the type of each of their events, so with very many repeats."""
@@ -99,7 +108,7 @@ class Fixtures:
         return store.latest_metadata(self.raw_metadata())
 
     def conversations(self) -> DataFrame:
-        return self.table("conversations")
+        return spread(self.table("conversations"))
 
     def stored_vectors(self) -> DataFrame:
         """Every vector of the embeddings table as (id, embedding)."""

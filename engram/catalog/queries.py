@@ -300,7 +300,7 @@ def near_dup_check(f):
 @query
 def near_dup_chats(f):
     """Stored documents that resemble the opening of each conversation, by text."""
-    documents = f.table("documents").select(F.col("doc_id").alias("id"), "text")
+    documents = f.texts().select(F.col("doc_id").alias("id"), "text")
     opening = chats.opening_text(f.conversations()).withColumnRenamed("conv_id", "query_id")
     model = chats.fit_embedder(documents)
     stored = chats.embed_texts(documents, model).select("id", "embedding")
@@ -457,7 +457,7 @@ def schema_dimension() -> int:
 
 @query
 def tokenize(f):
-    return f.table("documents").select(
+    return f.texts().select(
         F.col("doc_id").alias("id"),
         tx.word_count(F.col("text")).alias("n_words"),
         F.array_join(tx.words(F.col("text")), " ").alias("words"),
@@ -466,7 +466,7 @@ def tokenize(f):
 
 @query
 def weighted_terms(f):
-    return fulltext.weighted_terms(f.memories())
+    return fulltext.weighted_terms(f.memory_texts())
 
 
 @query
@@ -478,17 +478,17 @@ def plain_query(f):
 
 @query
 def text_match(f):
-    return fulltext.match_all(f.memories(), f.text_queries()).select("query_id", "id")
+    return fulltext.match_all(f.memory_texts(), f.text_queries()).select("query_id", "id")
 
 
 @query
 def text_rank(f):
-    return fulltext.match_all(f.memories(), f.text_queries())
+    return fulltext.match_all(f.memory_texts(), f.text_queries())
 
 
 @query
 def trigrams(f):
-    return f.table("documents").select(
+    return f.texts().select(
         F.col("doc_id").alias("id"),
         F.array_join(F.array_sort(tx.trigrams(F.col("text"))), "|").alias("grams"),
     )
@@ -496,7 +496,7 @@ def trigrams(f):
 
 @query
 def trigram_similarity(f):
-    return f.memories().select(
+    return f.memory_texts().select(
         "id",
         F.round(
             tx.trigram_similarity(tx.trigrams(F.col("heading")), tx.trigrams(F.col("summary"))), 6
@@ -506,7 +506,7 @@ def trigram_similarity(f):
 
 @query
 def trigram_search(f):
-    return fuzzy.trigram_search(f.memories(), FUZZY_QUERY)
+    return fuzzy.trigram_search(f.memory_texts(), FUZZY_QUERY)
 
 
 @query
@@ -538,7 +538,7 @@ def prompt_build(f):
 def responses(f: Fixtures) -> DataFrame:
     """Whole documents as answers in the forms an answer may take, one form per language."""
     text, source = F.col("text"), F.col("source")
-    return f.table("documents").select(
+    return f.texts().select(
         F.col("doc_id").alias("id"),
         F.when(
             F.col("lang") == "en",
@@ -617,14 +617,14 @@ def search_semantic(f):
 
 @query
 def search_text(f):
-    return fulltext.search_text(f.memories(), TEXT_QUERY).withColumn(
+    return fulltext.search_text(f.memory_texts(), TEXT_QUERY).withColumn(
         "created_at", iso("created_at")
     )
 
 
 @query
 def search_text_batch(f):
-    return fulltext.search_text_batch(f.memories(), f.text_queries(), limit=3).withColumn(
+    return fulltext.search_text_batch(f.memory_texts(), f.text_queries(), limit=3).withColumn(
         "created_at", iso("created_at")
     )
 
@@ -668,7 +668,7 @@ def summarize_chats(f):
 
 @query
 def embed_texts(f):
-    documents = f.table("documents").select(F.col("doc_id").alias("id"), "text")
+    documents = f.texts().select(F.col("doc_id").alias("id"), "text")
     embedded = chats.embed_texts(documents, chats.fit_embedder(documents))
     return embedded.select(
         "id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from engram.functions.text import strip
+from engram.functions.text import once, strip
 
 # Texts that stored rows must carry.
 DEFAULT_HEADING = "Technical Discussion Summary"
@@ -48,19 +48,30 @@ def parse_summary(response: Column) -> Column:
     response is the summary; without a heading the default heading is used.
     """
     sections = F.split(strip(response), _SECTION_START)
-    headings = F.filter(sections, lambda s: s.rlike(_HEADING))
-    summaries = F.filter(sections, lambda s: s.rlike(_SUMMARY))
+    return once(
+        F.struct(
+            once(
+                F.try_element_at(F.filter(sections, lambda s: s.rlike(_HEADING)), F.lit(-1)),
+                _heading,
+            ).alias("heading"),
+            once(
+                F.flatten(
+                    F.transform(F.filter(sections, lambda s: s.rlike(_SUMMARY)), _later_lines)
+                ),
+                lambda body: F.when(F.size(body) > 0, F.array_join(body, "\n")).otherwise(response),
+            ).alias("summary"),
+        ),
+        lambda parsed: parsed,
+    )
+
 
-    last = F.try_element_at(headings, F.lit(-1))
-    inline = strip(F.regexp_extract(last, r"^[^:\n]*:([^\n]*)", 1))
-    heading = F.coalesce(
+def _heading(section: Column) -> Column:
+    inline = strip(F.regexp_extract(section, r"^[^:\n]*:([^\n]*)", 1))
+    return F.coalesce(
         F.nullif(inline, F.lit("")),
-        F.get(_later_lines(last), F.lit(0)),
+        F.get(_later_lines(section), F.lit(0)),
         F.lit(DEFAULT_HEADING),
     )
-    body = F.flatten(F.transform(summaries, _later_lines))
-    summary = F.when(F.size(body) > 0, F.array_join(body, "\n")).otherwise(response)
-    return F.struct(heading.alias("heading"), summary.alias("summary"))
 
 
 def fallback_summary(n_messages: Column) -> Column:

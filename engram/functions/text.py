@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,10 +24,12 @@ TOKEN_SEPARATOR = r"[^\p{L}\p{N}]+"
 HEADING_WEIGHT, SUMMARY_WEIGHT, CONTEXT_WEIGHT = 1.0, 0.4, 0.2
 TRIGRAM_THRESHOLD = 0.3
 
+TRIGRAM_WINDOW = r"(?=(..[^ ]|.[^ ] ))"
+
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), TOKEN_SEPARATOR), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), TOKEN_SEPARATOR), "")
 
 
 def word_count(text: Column) -> Column:
@@ -36,25 +40,36 @@ def is_stop_word(word: Column) -> Column:
     return word.isin(STOP_WORDS)
 
 
+def _replace(word: Column, *rules: tuple[str, str]) -> Column:
+    for pattern, replacement in rules:
+        word = F.regexp_replace(word, pattern, replacement)
+    return word
+
+
+# Porter's step 1 as replacements; \x01 marks where -ed or -ing was cut off.
+_PLURAL = [(r"(ss|i)es$", "$1"), (r"([^s])s$", "$1")]
+_PAST = [
+    (r"([aeiouy][^aeiouy].*)eed$", "$1ee"),
+    (r"([aeiouy].*)(?:(?<!e)ed|ing)$", "$1\x01"),
+    (r"(at|bl|iz)\x01$", "$1e"),
+    (r"([bdfgmnprt])\1?\x01$", "$1"),
+    (r"\x01$", ""),
+]
+_FINAL_Y = [(r"([aeiouy].*)y$", "$1i")]
+
+
 def stem(word: Column) -> Column:
-    """Step 1 of Porter's 1980 suffix stripping: plurals, -ed, -ing and final -y."""
-    s = F.regexp_replace(F.regexp_replace(word, r"(ss|i)es$", "$1"), r"([^s])s$", "$1")
-
-    def mend(x: Column) -> Column:
-        return (
-            F.when(x.rlike(r"(at|bl|iz)$"), F.concat(x, F.lit("e")))
-            .when(x.rlike(r"(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"), F.regexp_replace(x, r".$", ""))
-            .otherwise(x)
-        )
-
-    s = (
-        F.when(s.endswith("eed"), F.regexp_replace(s, r"([aeiouy][^aeiouy].*)eed$", "$1ee"))
-        .when(s.rlike(r"[aeiouy].*ed$"), mend(F.regexp_replace(s, r"ed$", "")))
-        .when(s.rlike(r"[aeiouy].*ing$"), mend(F.regexp_replace(s, r"ing$", "")))
-        .otherwise(s)
+    """Step 1 of Porter's 1980 suffix stripping: plurals, -ed, -ing and final -y.
+
+    The last letters decide which patterns are tried at all, since most words keep theirs.
+    """
+    return (
+        F.when(F.length(word) <= 2, word)
+        .when(word.endswith("s"), _replace(word, *_PLURAL, *_PAST, *_FINAL_Y))
+        .when(word.endswith("ed") | word.endswith("ing"), _replace(word, *_PAST, *_FINAL_Y))
+        .when(word.endswith("y"), _replace(word, *_FINAL_Y))
+        .otherwise(word)
     )
-    s = F.regexp_replace(s, r"([aeiouy].*)y$", "$1i")
-    return F.when(F.length(word) <= 2, word).otherwise(s)
 
 
 def terms(text: Column) -> Column:
@@ -67,29 +82,37 @@ def query_terms(text: Column) -> Column:
     return F.array_sort(F.array_distinct(terms(text)))
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct three-letter grams of every word, padded two blanks before, one after."""
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Compute a value once per row and use it several times."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
-    def grams(word: Column) -> Column:
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
-        return F.transform(
-            F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substr(padded, i, F.lit(3))
-        )
 
-    return F.array_distinct(F.flatten(F.transform(words(text), grams)))
+def trigrams(text: Column) -> Column:
+    """Distinct three-letter grams of every word, padded two blanks before, one after.
+
+    With the distinct words three blanks apart, the grams are all windows that do not end
+    in two blanks; one pattern finds them in a single pass.
+    """
+    spaced = F.concat(
+        F.lit("  "), F.array_join(F.array_distinct(words(text)), "   "), F.lit(" ")
+    )
+    return F.array_distinct(F.regexp_extract_all(spaced, F.lit(TRIGRAM_WINDOW), F.lit(1)))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared share of two trigram sets; 0 when both are empty."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.coalesce(
-        shared / F.nullif(F.size(a) + F.size(b) - shared, F.lit(0)).cast("double"), F.lit(0.0)
-    )
+
+    def share(sets: Column) -> Column:
+        shared = F.size(F.array_intersect(sets["a"], sets["b"]))
+        either = F.size(sets["a"]) + F.size(sets["b"]) - shared
+        return F.coalesce(shared / F.nullif(either, F.lit(0)).cast("double"), F.lit(0.0))
+
+    return once(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def strip(text: Column) -> Column:
-    """Remove white space of every kind at both ends (trim only takes blanks)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Remove white space of every kind at both ends (trim alone takes blanks only)."""
+    return F.trim(text, F.lit(" \t\n\r\f\v"))
 
 
 def first_turns(turns: Column, n: int = 3) -> Column:

@@ -34,9 +34,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Scale to unit length; a zero vector stays as it is."""
-    norm = l2_norm(v)
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(
-        F.transform(v, lambda x: x.cast("double"))
+    norm = F.coalesce(F.nullif(l2_norm(v), F.lit(0.0)), F.lit(1.0))
+    # The norm is an argument of the zip, so it is computed once per row, not per element.
+    return F.zip_with(
+        v, F.array_repeat(norm, F.size(v)), lambda x, n: x.cast("double") / n
     )
 
 

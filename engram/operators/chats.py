@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,37 +152,37 @@ def summarize_chats(
     )
 
 
+def _with_tokens(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("tokens", tx.words(F.coalesce("text", F.lit(""))))
+
+
 def fit_embedder(texts: DataFrame, dimension: int = EMBEDDING_DIMENSION) -> PipelineModel:
     """Hashed tf-idf with unit length over a `text` column. The model is one vector of
     `dimension` weights, whatever the size of the table; applying it needs no shuffle."""
     return Pipeline(
         stages=[
-            RegexTokenizer(
-                inputCol="text", outputCol="tokens", pattern=tx.TOKEN_SEPARATOR,
-                toLowercase=True,
-            ),
             HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dimension),
             IDF(inputCol="tf", outputCol="tfidf"),
             Normalizer(inputCol="tfidf", outputCol="unit"),
         ]
-    ).fit(texts)
+    ).fit(_with_tokens(texts))
 
 
 def embed_texts(texts: DataFrame, model: PipelineModel) -> DataFrame:
     """Add embedding and embed_error. A text without weight gets NULL and an error, never
     a zero vector."""
-    steps = ["tokens", "tf", "tfidf", "unit"]
     vector = vector_to_array("unit", "float32")
     empty = F.coalesce(F.col("text"), F.lit("")) == ""
-    weightless = ~F.exists(vector, lambda x: x != 0)
+    weightless = F.array_max(F.col("vector")) <= 0  # tf-idf weights are never negative
     return (
-        model.transform(texts.withColumn("text", F.coalesce("text", F.lit(""))))
+        model.transform(_with_tokens(texts))
+        .withColumn("vector", vector)
         .withColumn(
             "embed_error",
             F.when(empty, "text is required and cannot be empty").when(
                 weightless, "text has no weighted terms"
             ),
         )
-        .withColumn("embedding", F.when(F.col("embed_error").isNull(), vector))
-        .drop(*steps)
+        .withColumn("embedding", F.when(F.col("embed_error").isNull(), F.col("vector")))
+        .drop("tokens", "tf", "tfidf", "unit", "vector")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram import schema
@@ -16,17 +16,22 @@ def trigram_search(
     threshold: float = tx.TRIGRAM_THRESHOLD,
 ) -> DataFrame:
     """Memories whose heading or summary resembles the query; no shuffle but the top-k."""
-    grams = tx.trigrams(F.lit(query))
+    spark = memories.sparkSession
+    wanted = spark.range(1).select(tx.trigrams(F.lit(query)).alias("grams")).first().grams
+    grams = F.array(*[F.lit(g) for g in wanted]).cast("array<string>")
 
-    def resembles(name: str):
+    def resembles(name: str) -> Column:
         return tx.trigram_similarity(tx.trigrams(F.coalesce(F.col(name), F.lit(""))), grams)
 
     best = F.round(
         F.greatest(resembles("heading"), resembles("summary")), schema.SIMILARITY_DECIMALS
     )
+    # A row below the threshold gets no similarity, and rows without one sort last: the
+    # filter follows the limit, so that the similarity is computed once per row.
+    kept = tx.once(best, lambda s: F.when(s >= threshold, s))
     return (
-        memories.select("id", "heading", best.alias("similarity"))
-        .where(F.col("similarity") >= threshold)
-        .orderBy(F.desc("similarity"), "id")
+        memories.select("id", "heading", kept.alias("similarity"))
+        .orderBy(F.desc_nulls_last("similarity"), "id")
         .limit(limit)
+        .where(F.col("similarity").isNotNull())
     )

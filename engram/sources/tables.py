@@ -35,3 +35,10 @@ def scan_jdbc(
     """A table of a live database, read in parallel: one connection per predicate, which
     together must cover the table without overlap (for instance one per day of creation)."""
     return spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """For work that is heavy per row, such as text: a table that arrives in fewer splits
+    than there are cores is spread over all of them. A large table is left as it lies."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
