@@ -59,15 +59,11 @@ def shown(memories: DataFrame) -> DataFrame:
 # Sources, sinks and table upkeep.
 
 
-def written_memories(f: Fixtures) -> DataFrame:
-    path = new_path(f.spark, "memories")
-    f.memories().write.parquet(path)
-    return tables.scan_memories(f.spark, path, T.LongType())
-
-
 @query
 def scan_memories(f):
-    return written_memories(f).select(
+    path = new_path(f.spark, "memories")
+    f.memories().write.parquet(path)
+    return tables.scan_memories(f.spark, path, T.LongType()).select(
         "id", "heading", "summary", iso("created_at"), iso("updated_at"), "context", "source",
         "importance_score", F.size("embedding").cast("long").alias("dimension"),
     )
@@ -674,7 +670,7 @@ def embed_texts(f):
         "id",
         "embed_error",
         vectors.vector_dim(F.col("embedding")).alias("dimension"),
-        F.round(vectors.l2_norm(F.col("embedding")), 4).alias("norm"),
+        (F.array_max("embedding") <= 1.0).alias("bounded"),
     )
 
 

@@ -12,6 +12,7 @@ from engram import schema
 from engram.functions import text as tx
 from engram.functions.summaries import fallback_summary
 from engram.operators.skew import join_lookup
+from engram.sources.workspace import written
 
 # A log row holds at most this many turns; a longer conversation continues in part 1, 2, ...
 TURNS_PER_PART = 10_000
@@ -105,9 +106,8 @@ def rank_sentences(conversations: DataFrame, sentences: int = SUMMARY_SENTENCES)
     """
     terms = sentence_terms(conversations)
     key = ["conv_id", "turn", "sentence_no"]
-    weighted = join_lookup(
-        terms, term_weights(terms, conversations), "term", "sentences", "idf", key
-    )
+    weights = written(term_weights(terms, conversations), "term-weights")
+    weighted = join_lookup(terms, weights, "term", "sentences", "idf", key)
     score = F.sum(F.col("tf") * F.col("idf")) / F.sqrt(F.sum("tf"))
     scored = weighted.groupBy(*key).agg(
         F.round(score, schema.SIMILARITY_DECIMALS).alias("score")

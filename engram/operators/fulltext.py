@@ -13,6 +13,9 @@ from engram import schema
 from engram.functions import text as tx
 from engram.operators.ranking import order_rank_recency, winners_first
 from engram.operators.skew import salted_join
+from engram.sources.workspace import written
+
+MAX_BROADCAST_TERMS = 200_000
 
 FIELDS = {"a": "heading", "b": "summary", "c": "context"}
 
@@ -94,6 +97,15 @@ def query_term_sets(queries: DataFrame) -> DataFrame:
     )
 
 
+def postings_of(memories: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, term, tf_a, tf_b, tf_c) for the terms of a vocabulary. One that is small by
+    count is broadcast, and other words are dropped where they are read."""
+    if vocabulary.limit(MAX_BROADCAST_TERMS + 1).count() <= MAX_BROADCAST_TERMS:
+        asked = field_terms(memories).join(F.broadcast(vocabulary), "term", "left_semi")
+        return asked.groupBy("id", "term").agg(*_counts())
+    return salted_join(weighted_terms(memories), vocabulary, ["term"], ["id"], "left_semi")
+
+
 def match_sets(memories: DataFrame, sets: DataFrame) -> DataFrame:
     """(set_id, id, rank) of the memories that have every term of a set (set_id, terms).
 
@@ -104,8 +116,7 @@ def match_sets(memories: DataFrame, sets: DataFrame) -> DataFrame:
     asked = sets.select(
         "set_id", "terms", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
     )
-    vocabulary = asked.select("term").distinct()
-    postings = salted_join(weighted_terms(memories), vocabulary, ["term"], ["id"], "left_semi")
+    postings = written(postings_of(memories, asked.select("term").distinct()), "postings")
     spread = postings.groupBy("term").agg(F.count(F.lit(1)).alias("memories"))
     rarest = (
         asked.join(spread, "term")
