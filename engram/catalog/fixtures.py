@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.operators import store
+from engram.session import settings
 from engram.sources.tables import spread
 
 DIMENSION = 64
@@ -20,9 +21,8 @@ class Fixtures:
     """Lazily built DataFrames for one test data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark = settings(spark)
         self.dir = sf_dir.rstrip("/")
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

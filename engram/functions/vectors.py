@@ -85,7 +85,9 @@ def similarity_to(embedding: Column | str, query: Sequence[float]) -> Column:
         out[positions] = rows @ unit
         return pa.array(out, mask=np.isnan(out))
 
-    return score(embedding)
+    # Called non-deterministic so that a later filter on the result does not pull a second
+    # copy of the call below itself.
+    return score.asNondeterministic()(embedding)
 
 
 def reported(similarity: Column) -> Column:

@@ -39,9 +39,18 @@ def mean_centroids(vectors: DataFrame, group: str) -> DataFrame:
 
 
 def kmeans_centroids(
-    vectors: DataFrame, lists: int = schema.IVF_LISTS, seed: int = KMEANS_SEED
+    vectors: DataFrame,
+    lists: int = schema.IVF_LISTS,
+    seed: int = KMEANS_SEED,
+    fraction: float = 1.0,
 ) -> DataFrame:
-    """(list_id, centroid) by k-means over unit vectors."""
+    """(list_id, centroid) by k-means over unit vectors.
+
+    k-means reads its input many times; on a large table a small fraction places the
+    centroids as well. They only draw the borders of the lists: all memories are indexed.
+    """
+    if fraction < 1.0:
+        vectors = vectors.sample(fraction, seed=seed)
     units = vectors.where(F.col("embedding").isNotNull()).select(
         array_to_vector(l2_normalize(F.col("embedding"))).alias("features")
     )
@@ -118,7 +127,9 @@ def search_ivf(
     )
     # At most one row per list, and the number of lists was checked above.
     needed = asked.select("list_id").distinct()
-    met = index.join(F.broadcast(needed), "list_id", "left_semi")
+    met = index.join(F.broadcast(needed), "list_id", "left_semi").withColumn(
+        "list_ids", F.array("list_id")
+    )
     return knn.nearest(
         met, asked, dimension, limit, threshold, exclude_self, lists=True, **options
     )
@@ -169,13 +180,11 @@ def search_lsh(
     if tables * 2**bits > knn.MAX_LISTS:
         raise ValueError(f"more than {knn.MAX_LISTS} buckets")
 
-    def bucketed(side: DataFrame, row_id: str) -> DataFrame:
-        ids = lsh_buckets("embedding", tables, bits, dimension)
-        return side.select(row_id, "embedding", F.explode(ids).alias("list_id"))
-
+    buckets = lsh_buckets("embedding", tables, bits, dimension)
     return knn.nearest(
-        bucketed(memories, "id"), bucketed(queries, "query_id"), dimension, limit, threshold,
-        exclude_self, lists=True, **options,
+        memories.select("id", "embedding", buckets.alias("list_ids")),
+        queries.select("query_id", "embedding", F.explode(buckets).alias("list_id")),
+        dimension, limit, threshold, exclude_self, lists=True, **options,
     )
 
 

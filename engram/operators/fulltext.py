@@ -20,22 +20,23 @@ MAX_BROADCAST_TERMS = 200_000
 FIELDS = {"a": "heading", "b": "summary", "c": "context"}
 
 
-def field_terms(memories: DataFrame) -> DataFrame:
-    """(id, field, term): one row per term occurrence, map-only."""
+def field_terms(memories: DataFrame, *carried: str) -> DataFrame:
+    """(id, carried columns, field, term): one row per term occurrence, map-only."""
     fields = F.array(
         *[
             F.struct(F.lit(mark).alias("field"), F.coalesce(F.col(name), F.lit("")).alias("text"))
             for mark, name in FIELDS.items()
         ]
     )
-    texts = memories.select("id", F.explode(fields).alias("f"))
+    texts = memories.select("id", *carried, F.explode(fields).alias("f"))
     found = texts.select(
         "id",
+        *carried,
         "f.field",
         F.explode(F.split(F.lower("f.text"), tx.TOKEN_SEPARATOR)).alias("word"),
     )
     kept = found.where((F.col("word") != "") & ~tx.is_stop_word(F.col("word")))
-    return kept.select("id", "field", tx.stem(F.col("word")).alias("term"))
+    return kept.select("id", *carried, "field", tx.stem(F.col("word")).alias("term"))
 
 
 def _counts() -> list[Column]:
@@ -61,7 +62,7 @@ def _rank(total: Column, n_terms: Column) -> Column:
 
 
 def matches(memories: DataFrame, query: str) -> DataFrame:
-    """(id, rank) of the memories that have every term of one query.
+    """(id, created_at, rank) of the memories that have every term of one query.
 
     The query is reduced to its terms by the same column functions as the texts, on one
     row; the memory side then keeps only those terms, so little is shuffled. A query
@@ -69,21 +70,21 @@ def matches(memories: DataFrame, query: str) -> DataFrame:
     """
     spark = memories.sparkSession
     wanted = spark.range(1).select(tx.query_terms(F.lit(query)).alias("terms")).first().terms
-    asked = field_terms(memories).where(F.col("term").isin(wanted) if wanted else F.lit(False))
-    per_term = asked.groupBy("id", "term").agg(*_counts())
+    asked = field_terms(memories, "created_at").where(
+        F.col("term").isin(wanted) if wanted else F.lit(False)
+    )
     n_terms = F.lit(len(wanted))
     return (
-        per_term.groupBy("id")
-        .agg(F.count(F.lit(1)).alias("found"), F.sum(_weight()).alias("total"))
+        asked.groupBy("id", "created_at")
+        .agg(F.count_distinct("term").alias("found"), *_counts())
         .where(F.col("found") == n_terms)
-        .select("id", _rank(F.col("total"), n_terms).alias("rank"))
+        .select("id", "created_at", _rank(_weight(), n_terms).alias("rank"))
     )
 
 
 def search_text(memories: DataFrame, query: str, limit: int = schema.SEARCH_LIMIT) -> DataFrame:
     """The best matches of one query by rank, then recency."""
-    dated = memories.select("id", "created_at").join(matches(memories, query), "id")
-    best = order_rank_recency(dated, limit).select("id", "rank")
+    best = order_rank_recency(matches(memories, query), limit).select("id", "rank")
     return memories.select("id", "heading", "summary", "context", "created_at").join(
         winners_first(best, limit), "id"
     )

@@ -18,10 +18,21 @@ def winners_first(winners: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(winners) if limit <= MAX_BROADCAST_WINNERS else winners
 
 
+def newest(memories: DataFrame, limit: int) -> DataFrame:
+    """A superset of the `limit` newest memories: those not older than the oldest of them.
+
+    That time comes from a pass over created_at alone and is pushed into the scan of the
+    other columns, which skips row groups of older memories (see `session.settings`).
+    """
+    times = memories.select("created_at").orderBy(F.desc("created_at")).limit(limit)
+    return memories.where(F.col("created_at") >= times.agg(F.min("created_at")).scalar())
+
+
 def recent(memories: DataFrame, limit: int = schema.RECENT_LIMIT) -> DataFrame:
     """Newest memories; a recency listing reports similarity 0."""
     return (
-        memories.select("id", "heading", "summary", "created_at", F.lit(0.0).alias("similarity"))
+        newest(memories, limit)
+        .select("id", "heading", "summary", "created_at", F.lit(0.0).alias("similarity"))
         .orderBy(F.desc("created_at"), "id")
         .limit(limit)
     )

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from engram import schema
 from engram.operators import filters, knn
 from engram.operators.aggregates import with_tags
-from engram.operators.ranking import most_similar, winners_first
+from engram.operators.ranking import most_similar, newest, winners_first
+from engram.sources.workspace import written
 
 
 def search_semantic(
@@ -28,19 +29,19 @@ def search_semantic(
     """Closest memories to a vector under optional filters, with all their tags.
 
     Cheap filters come before any vector is scored; only ids and vectors are ranked, and
-    texts and tags are fetched for the winners.
+    texts and tags are fetched for the winners. Those are written, `limit` rows at most,
+    because two joins read them and the vectors should be scored once.
     """
     kept = filters.by_importance(memories, min_importance)
     kept = filters.by_source(kept, source)
     kept = filters.by_dates(kept, date_from, date_to)
     kept = filters.by_tag(kept, tags, tag)
-    winners = winners_first(most_similar(kept, query, limit, threshold), limit)
+    winners = written(most_similar(kept, query, limit, threshold), "winners")
     found = memories.select(
         "id", "heading", "summary", "context", "importance_score", "created_at"
-    ).join(winners, "id")
-    their_tags = tags.join(
-        winners.select(F.col("id").alias("memory_id")), "memory_id", "left_semi"
-    )
+    ).join(winners_first(winners, limit), "id")
+    ids = winners.select(F.col("id").alias("memory_id"))
+    their_tags = tags.join(winners_first(ids, limit), "memory_id", "left_semi")
     return with_tags(found, their_tags).withColumnRenamed("id", "memory_id")
 
 
@@ -92,15 +93,17 @@ def fetch_context(
     requests: DataFrame,
     dimension: int,
     max_limit: int = 100,
+    date_filter: str | None = None,
     **options,
 ) -> DataFrame:
-    """Answer a table of requests.
+    """Answer a table of requests, from memories created on or after `date_filter` if given.
 
     requests: query_id, query (text), embedding of the text, and optionally search_type,
     limit (10) and threshold (0.1). A semantic request with a non-empty query is answered
     by similarity, any other by recency; search_type_used says which. No request may ask
     for more than `max_limit` rows; a larger limit is an error, not a cut.
     """
+    memories = filters.since(memories, date_filter)
     have = set(requests.columns)
 
     def given(name: str, default):
@@ -131,9 +134,12 @@ def fetch_context(
     close = close.select("query_id", "search_type_used", "rank", "id", "similarity").join(
         memories.select(*texts), "id"
     )
-    newest = memories.select(*texts).orderBy(F.desc("created_at"), "id").limit(max_limit)
+    latest = (
+        newest(memories, max_limit).select(*texts)
+        .orderBy(F.desc("created_at"), "id").limit(max_limit)
+    )
     # At most max_limit rows: one task may number them, and every task may hold them.
-    numbered = newest.withColumn(
+    numbered = latest.withColumn(
         "rank",
         F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long"),
     )

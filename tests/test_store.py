@@ -295,3 +295,30 @@ def test_similarity_column_and_udf_agree(memories):
         vectors.reported(vectors.similarity_to("embedding", [0.3, 0.7])).alias("b"),
     ).collect()
     assert [r.a for r in got] == [r.b for r in got]
+
+
+def test_recency_skips_older_row_groups(spark, tmp_path):
+    path = str(tmp_path / "m")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", str(64 * 1024))
+    try:
+        spark.range(100_000).select(
+            F.col("id"), F.sha2(F.col("id").cast("string"), 512).alias("heading"),
+            F.lit("s").alias("summary"), F.timestamp_seconds("id").alias("created_at"),
+        ).coalesce(1).write.parquet(path)
+    finally:
+        hadoop.unset("parquet.block.size")
+    kept = ranking.recent(spark.read.parquet(path), 5)
+    assert [r.id for r in kept.collect()] == [99_999, 99_998, 99_997, 99_996, 99_995]
+    assert rows_read(kept._jdf.queryExecution().executedPlan()) < 50_000
+
+
+def rows_read(plan):
+    """Rows that the scan of the texts returned."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return rows_read(plan.executedPlan())
+    if "QueryStage" in plan.nodeName():
+        return rows_read(plan.plan())
+    if plan.nodeName().startswith("Scan"):
+        return plan.metrics().apply("numOutputRows").value()
+    return sum(rows_read(plan.children().apply(i)) for i in range(plan.children().size()))

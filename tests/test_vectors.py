@@ -151,7 +151,7 @@ def test_all_above_emits_every_match(spark, options):
 )
 def test_lists_meet_only_in_common_lists(spark, options):
     rows = random_rows(60, 5)
-    frame = table(spark, rows).withColumn("list_id", (F.col("id") % 3).cast("int"))
+    frame = table(spark, rows).withColumn("list_ids", F.array((F.col("id") % 3).cast("int")))
     queries = table(spark, rows, "query_id").withColumn(
         "list_id", F.explode(F.array(F.lit(0), F.lit(2)))
     )
@@ -190,16 +190,19 @@ def test_ivf_with_all_lists_is_exact_and_index_is_partitioned(spark, tmp_path):
     assert 0 < score.recall <= 1 and score.exact_hits == len(result(exact))
 
 
-def test_lsh_hits_are_exact_hits_of_shared_buckets(spark):
+@pytest.mark.parametrize(
+    "options", [{}, {"max_broadcast_bytes": 0, "memory_rows": 11, "query_rows": 5}]
+)
+@pytest.mark.parametrize("limit", [1000, 3])
+def test_lsh_hits_are_exact_hits_of_shared_buckets(spark, options, limit):
     rows = random_rows(80, 8)
     frame, queries = table(spark, rows), table(spark, rows, "query_id")
-    options = {"limit": 1000, "threshold": 0.1, "exclude_self": True}
+    options = {"limit": limit, "threshold": 0.1, "exclude_self": True, **options}
     got = result(ann.search_lsh(frame, queries, DIM, tables=3, bits=2, **options))
     planes = ann.hyperplanes(3, 2, DIM)
     side = {i: (planes @ np.array(v) >= 0).reshape(3, 2) for i, v in rows}
-    want = {
-        r[:3]
-        for r in brute(rows, rows, 1000, 0.1, True)
-        if (side[r[0]] == side[r[1]]).all(axis=1).any()
-    }
-    assert {r[:3] for r in got} == want
+    want = []
+    for qid in side:
+        met = [r for r in rows if (side[qid] == side[r[0]]).all(axis=1).any()]
+        want += brute(met, [rows[qid]], limit, 0.1, True)
+    assert got == sorted(want)
