@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from engram import schema
 from engram.functions import text as tx
 from engram.functions.summaries import fallback_summary
-from engram.operators.skew import join_lookup
+from engram.operators.skew import hottest
 from engram.sources.workspace import written
 
 # A log row holds at most this many turns; a longer conversation continues in part 1, 2, ...
@@ -73,7 +73,7 @@ def sentences_of(text: Column) -> Column:
 
 
 def sentence_terms(conversations: DataFrame) -> DataFrame:
-    """(conv_id, turn, sentence_no, term, tf), counted per task before the shuffle."""
+    """(conv_id, turn, sentence_no, term): one row per term occurrence, map-only."""
     sentences = conversations.select(
         "conv_id", "turn", F.posexplode(sentences_of(F.col("text"))).alias("sentence_no", "s")
     )
@@ -81,41 +81,64 @@ def sentence_terms(conversations: DataFrame) -> DataFrame:
         "conv_id", "turn", "sentence_no",
         F.explode(F.split(F.lower("s"), tx.TOKEN_SEPARATOR)).alias("word"),
     ).where((F.col("word") != "") & ~tx.is_stop_word(F.col("word")))
-    return found.groupBy(
+    return found.select(
         "conv_id", "turn", "sentence_no", tx.stem(F.col("word")).alias("term")
-    ).agg(F.count(F.lit(1)).alias("tf"))
+    )
 
 
 def term_weights(terms: DataFrame, conversations: DataFrame) -> DataFrame:
-    """(term, idf, sentences): idf over conversations, and how many sentences have the term."""
+    """(term, idf, occurrences): idf over conversations, counted per task first."""
     n = conversations.agg(F.count_distinct("conv_id")).scalar()
     return (
         terms.groupBy("term", "conv_id")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("sentences"))
-        .select("term", F.log((1 + n) / (1 + F.col("df"))).alias("idf"), "sentences")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("occurrences"))
+        .select("term", F.log((1 + n) / (1 + F.col("df"))).alias("idf"), "occurrences")
+    )
+
+
+def score_sentences(terms: DataFrame, weights: DataFrame) -> DataFrame:
+    """(conv_id, turn, sentence_no, score): the sum of idf over the root of the length.
+
+    The commonest terms are served by a broadcast of fixed length, and a sentence is summed
+    up in the task that reads it. Only its rare terms travel to their weights.
+    """
+    key = ["conv_id", "turn", "sentence_no"]
+    hot = hottest(weights, "term", "occurrences").select("term", "idf")
+    summed = (
+        terms.join(F.broadcast(hot), "term", "left")
+        .groupBy(*key)
+        .agg(
+            F.coalesce(F.sum("idf"), F.lit(0.0)).alias("common"),
+            F.count(F.lit(1)).alias("n"),
+            F.collect_list(F.when(F.col("idf").isNull(), F.col("term"))).alias("rest"),
+        )
+    )
+    rare = (
+        summed.select(*key, F.explode("rest").alias("term"))
+        .join(weights.select("term", "idf"), "term")
+        .groupBy(*key)
+        .agg(F.sum("idf").alias("rare"))
+    )
+    total = F.col("common") + F.coalesce("rare", F.lit(0.0))
+    return summed.join(rare, key, "left").select(
+        *key, F.round(total / F.sqrt("n"), schema.SIMILARITY_DECIMALS).alias("score")
     )
 
 
 def rank_sentences(conversations: DataFrame, sentences: int = SUMMARY_SENTENCES) -> DataFrame:
     """(conv_id, turn, sentence_no, score, place) of the best sentences per conversation.
 
-    The score is the tf-idf sum over the square root of the sentence length. The place
-    filter trims before the shuffle, so a conversation of any length sends few rows.
+    The place filter trims before the shuffle, so a conversation of any length sends few
+    rows.
     """
     terms = sentence_terms(conversations)
-    key = ["conv_id", "turn", "sentence_no"]
     weights = written(term_weights(terms, conversations), "term-weights")
-    weighted = join_lookup(terms, weights, "term", "sentences", "idf", key)
-    score = F.sum(F.col("tf") * F.col("idf")) / F.sqrt(F.sum("tf"))
-    scored = weighted.groupBy(*key).agg(
-        F.round(score, schema.SIMILARITY_DECIMALS).alias("score")
-    )
     order = Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn", "sentence_no")
-    return scored.withColumn("place", F.row_number().over(order)).where(
-        F.col("place") <= sentences
-    )
+    return score_sentences(terms, weights).withColumn(
+        "place", F.row_number().over(order)
+    ).where(F.col("place") <= sentences)
 
 
 def heading_of(sentence: Column) -> Column:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The hottest keys are broadcast; every other key then holds less than 1/HOT_KEYS of the rows.
 HOT_KEYS = 10_000
-SPREAD = 4096
 SALTS = 32
 
 
@@ -21,31 +19,8 @@ def salted_join(
     return many.withColumn("salt", salt).join(repeated, [*keys, "salt"], how).drop("salt")
 
 
-def join_lookup(
-    rows: DataFrame, lookup: DataFrame, key: str, weight: str, value: str, row_id: list[str]
-) -> DataFrame:
-    """Add `value` from a lookup with one row per string key; unknown keys drop out.
-
-    `weight` is the number of rows that have the key. The HOT_KEYS heaviest keys reach the
-    rows by broadcast, a list of fixed length. All others meet by shuffle, for which rows
-    that are served already are spread over made-up keys.
-    """
-    hot = (
-        lookup.orderBy(F.desc(weight), key)
-        .limit(HOT_KEYS)
-        .select(key, F.col(value).alias("hot_value"))
-    )
-    served = rows.join(F.broadcast(hot), key, "left")
-    elsewhere = F.concat(
-        F.lit("\x00"), F.pmod(F.xxhash64(*row_id), F.lit(SPREAD)).cast("string")
-    )
-    served = served.withColumn(
-        "join_key", F.when(F.col("hot_value").isNull(), F.col(key)).otherwise(elsewhere)
-    )
-    cold = lookup.select(F.col(key).alias("join_key"), F.col(value).alias("cold_value"))
-    return (
-        served.join(cold, "join_key", "left")
-        .withColumn(value, F.coalesce("hot_value", "cold_value"))
-        .where(F.col(value).isNotNull())
-        .drop("join_key", "hot_value", "cold_value")
-    )
+def hottest(lookup: DataFrame, key: str, weight: str) -> DataFrame:
+    """The HOT_KEYS heaviest rows of a lookup with one row per key: a list of fixed length
+    to broadcast. Every key left over then holds less than 1/HOT_KEYS of all rows, so that
+    the rest can meet by shuffle."""
+    return lookup.orderBy(F.desc(weight), key).limit(HOT_KEYS)

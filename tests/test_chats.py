@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from engram.operators import chats
+from engram.operators import chats, skew
 from engram.plans import memorize
 
 CHATS = [
@@ -81,7 +81,9 @@ def brute_scores():
     }
 
 
-def test_sentence_ranking_equals_brute_force(conversations):
+@pytest.mark.parametrize("hot_keys", [10_000, 2, 0])
+def test_sentence_ranking_equals_brute_force(conversations, monkeypatch, hot_keys):
+    monkeypatch.setattr(skew, "HOT_KEYS", hot_keys)
     got = {
         (r.conv_id, r.turn, r.sentence_no): (r.place, r.score)
         for r in chats.rank_sentences(conversations, 2).collect()
