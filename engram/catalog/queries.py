@@ -618,6 +618,22 @@ def search_text(f):
     )
 
 
+@query
+def text_index_search(f):
+    path = new_path(f.spark, "text-index")
+    fulltext.build_index(f.memory_texts(), path)
+    return fulltext.search_text(
+        f.memories(), TEXT_QUERY, index=f.spark.read.parquet(path)
+    ).withColumn("created_at", iso("created_at"))
+
+
+@query
+def trigram_index_search(f):
+    path = new_path(f.spark, "gram-index")
+    fuzzy.build_index(f.memory_texts(), path)
+    return fuzzy.search_index(f.spark.read.parquet(path), f.memories(), FUZZY_QUERY)
+
+
 @query
 def search_text_batch(f):
     return fulltext.search_text_batch(f.memory_texts(), f.text_queries(), limit=3).withColumn(

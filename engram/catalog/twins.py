@@ -582,3 +582,7 @@ TWINS: dict[str, str] = {
       FROM events GROUP BY 1""",
     "stream_tag_dedup": "SELECT DISTINCT user_id AS memory_id, event_type AS tag FROM events",
 }
+
+# The same answers from stored indexes.
+TWINS["text_index_search"] = TWINS["search_text"]
+TWINS["trigram_index_search"] = TWINS["trigram_search"]

@@ -6,7 +6,7 @@ occurrences per query term; heading counts most, then summary, then context.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram import schema
@@ -61,30 +61,67 @@ def _rank(total: Column, n_terms: Column) -> Column:
     return F.round(total / n_terms, schema.SIMILARITY_DECIMALS)
 
 
-def matches(memories: DataFrame, query: str) -> DataFrame:
-    """(id, created_at, rank) of the memories that have every term of one query.
+def terms_of(spark: SparkSession, query: str) -> list[str]:
+    """The terms of one query, by the same column functions as the texts, on one row."""
+    return spark.range(1).select(tx.query_terms(F.lit(query)).alias("terms")).first().terms
 
-    The query is reduced to its terms by the same column functions as the texts, on one
-    row; the memory side then keeps only those terms, so little is shuffled. A query
-    without terms matches nothing.
-    """
-    spark = memories.sparkSession
-    wanted = spark.range(1).select(tx.query_terms(F.lit(query)).alias("terms")).first().terms
-    asked = field_terms(memories, "created_at").where(
-        F.col("term").isin(wanted) if wanted else F.lit(False)
-    )
+
+def _asks(wanted: list[str]) -> Column:
+    """A query without terms matches nothing."""
+    return F.col("term").isin(wanted) if wanted else F.lit(False)
+
+
+def matches(memories: DataFrame, query: str) -> DataFrame:
+    """(id, created_at, rank) of the memories that have every term of one query. Other words
+    are dropped where they are read, so little is shuffled."""
+    wanted = terms_of(memories.sparkSession, query)
     n_terms = F.lit(len(wanted))
     return (
-        asked.groupBy("id", "created_at")
+        field_terms(memories, "created_at")
+        .where(_asks(wanted))
+        .groupBy("id", "created_at")
         .agg(F.count_distinct("term").alias("found"), *_counts())
         .where(F.col("found") == n_terms)
         .select("id", "created_at", _rank(_weight(), n_terms).alias("rank"))
     )
 
 
-def search_text(memories: DataFrame, query: str, limit: int = schema.SEARCH_LIMIT) -> DataFrame:
-    """The best matches of one query by rank, then recency."""
-    best = order_rank_recency(matches(memories, query), limit).select("id", "rank")
+def build_index(memories: DataFrame, path: str) -> None:
+    """Store the weighted terms in term order: a search then reads the row groups of its
+    terms only. Ranges are cut by (term, id), so a term of very many memories fills several
+    files."""
+    (
+        field_terms(memories, "created_at")
+        .groupBy("id", "created_at", "term")
+        .agg(*_counts())
+        .repartitionByRange("term", "id")
+        .sortWithinPartitions("term", "id")
+        .write.parquet(path)
+    )
+
+
+def index_matches(index: DataFrame, query: str) -> DataFrame:
+    """The same as `matches`, from a stored index."""
+    wanted = terms_of(index.sparkSession, query)
+    n_terms = F.lit(len(wanted))
+    return (
+        index.where(_asks(wanted))
+        .groupBy("id", "created_at")
+        .agg(F.count(F.lit(1)).alias("found"), F.sum(_weight()).alias("total"))
+        .where(F.col("found") == n_terms)
+        .select("id", "created_at", _rank(F.col("total"), n_terms).alias("rank"))
+    )
+
+
+def search_text(
+    memories: DataFrame,
+    query: str,
+    limit: int = schema.SEARCH_LIMIT,
+    index: DataFrame | None = None,
+) -> DataFrame:
+    """The best matches of one query by rank, then recency, from an index if there is one."""
+    found = matches(memories, query) if index is None else index_matches(index, query)
+    best = order_rank_recency(found, limit).select("id", "rank")
     return memories.select("id", "heading", "summary", "context", "created_at").join(
         winners_first(best, limit), "id"
     )

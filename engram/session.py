@@ -10,11 +10,13 @@ from pyspark.sql import SparkSession
 def settings(spark: SparkSession) -> SparkSession:
     """Runtime settings that the operators count on, for any session.
 
-    Times are read in UTC; timestamps are written so that scans can skip row groups by time;
-    adaptive execution splits partitions that a join finds too large.
+    Times are read in UTC; timestamps are written so that scans can skip row groups by time,
+    and lists of terms or grams are pushed into scans value by value; adaptive execution
+    splits partitions that a join finds too large.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", "100")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark

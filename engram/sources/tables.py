@@ -37,6 +37,19 @@ def scan_jdbc(
     return spark.read.jdbc(url, table, predicates=predicates, properties=properties or {})
 
 
+def save_bucketed(frame: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store a table in buckets of a key. Tables with the same number of buckets, such as
+    memories by id and tags by memory_id, then join without a shuffle."""
+    (
+        frame.write.mode("overwrite")
+        .bucketBy(buckets, key)
+        .sortBy(key)
+        .option("path", path)
+        .saveAsTable(name)
+    )
+    return frame.sparkSession.table(name)
+
+
 def spread(table: DataFrame) -> DataFrame:
     """For work that is heavy per row, such as text: a table that arrives in fewer splits
     than there are cores is spread over all of them. A large table is left as it lies."""

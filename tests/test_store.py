@@ -313,6 +313,22 @@ def test_recency_skips_older_row_groups(spark, tmp_path):
     assert rows_read(kept._jdf.queryExecution().executedPlan()) < 50_000
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, memories, tags, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = tables.save_bucketed(memories, "bm", str(tmp_path / "m"), "id", 4)
+        t = tables.save_bucketed(tags, "bt", str(tmp_path / "t"), "memory_id", 4)
+        joined = aggregates.memories_with_tags(m, t)
+        assert {r.id: r.tags for r in joined.collect()} == {
+            "a": ["x", "z"], "b": ["x"], "c": [], "d": []
+        }
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS bm")
+        spark.sql("DROP TABLE IF EXISTS bt")
+
+
 def rows_read(plan):
     """Rows that the scan of the texts returned."""
     if plan.nodeName() == "AdaptiveSparkPlan":

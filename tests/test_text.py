@@ -90,6 +90,26 @@ def test_query_without_terms_matches_nothing(spark, query):
     assert fulltext.search_text(memories(spark, BOOKS), query).count() == 0
 
 
+@pytest.mark.parametrize("query", ["the pooled DATABASES", "vectors", "unknown", "the"])
+def test_stored_text_index_gives_the_same_answer(spark, tmp_path, query):
+    rows, path = memories(spark, BOOKS), str(tmp_path / "index")
+    fulltext.build_index(rows, path)
+    got = fulltext.search_text(rows, query, index=spark.read.parquet(path)).collect()
+    assert sorted(got) == sorted(fulltext.search_text(rows, query).collect())
+
+
+@pytest.mark.parametrize("query", ["databse poling", "vectrs", "", "nothing else"])
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.3, 1.0])
+def test_stored_gram_index_gives_the_same_answer(spark, tmp_path, query, threshold):
+    rows, path = memories(spark, BOOKS), str(tmp_path / "index")
+    fuzzy.build_index(rows, path)
+    index = spark.read.parquet(path)
+    got = fuzzy.search_index(index, rows, query, 50, threshold).collect()
+    want = fuzzy.trigram_search(rows, query, 50, threshold).collect()
+    # At threshold 0 the scan also returns texts that share nothing, the index cannot.
+    assert sorted(got) == sorted(r for r in want if r.similarity > 0)
+
+
 @pytest.mark.parametrize("bound", [200_000, 0])
 def test_batch_equals_single_queries(spark, monkeypatch, bound):
     monkeypatch.setattr(fulltext, "MAX_BROADCAST_TERMS", bound)
