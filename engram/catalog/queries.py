@@ -297,13 +297,10 @@ def near_dup_check(f):
 def near_dup_chats(f):
     """Stored documents that resemble the opening of each conversation, by text."""
     documents = f.texts().select(F.col("doc_id").alias("id"), "text")
-    opening = chats.opening_text(f.conversations()).withColumnRenamed("conv_id", "query_id")
     model = chats.fit_embedder(documents)
     stored = chats.embed_texts(documents, model).select("id", "embedding")
-    new = chats.embed_texts(opening, model).select("query_id", "embedding")
-    return knn.nearest(
-        stored, new, chats.EMBEDDING_DIMENSION, schema.DUPLICATE_LIMIT,
-        schema.DUPLICATE_THRESHOLD,
+    return memorize.similar_memories(
+        f.conversations(), stored, model, chats.EMBEDDING_DIMENSION
     )
 
 

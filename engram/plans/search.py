@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram import schema
-from engram.operators import filters, knn
+from engram.operators import chats, filters, knn
 from engram.operators.aggregates import with_tags
 from engram.operators.ranking import most_similar, newest, winners_first
 from engram.sources.workspace import written
@@ -94,16 +95,20 @@ def fetch_context(
     dimension: int,
     max_limit: int = 100,
     date_filter: str | None = None,
+    model: PipelineModel | None = None,
     **options,
 ) -> DataFrame:
     """Answer a table of requests, from memories created on or after `date_filter` if given.
 
     requests: query_id, query (text), embedding of the text, and optionally search_type,
-    limit (10) and threshold (0.1). A semantic request with a non-empty query is answered
+    limit (10) and threshold (0.1). With a model the texts are embedded here. A semantic request with a non-empty query is answered
     by similarity, any other by recency; search_type_used says which. No request may ask
     for more than `max_limit` rows; a larger limit is an error, not a cut.
     """
     memories = filters.since(memories, date_filter)
+    if model is not None:
+        texts = requests.drop("embedding").withColumn("text", F.col("query"))
+        requests = chats.embed_texts(texts, model)
     have = set(requests.columns)
 
     def given(name: str, default):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import chats, skew
-from engram.plans import memorize
+from engram.plans import memorize, search
 
 CHATS = [
     (1, 0, "user", "How do I pool database connections? Thanks."),
@@ -157,3 +157,39 @@ def test_failed_step_stops_the_row(spark, conversations):
     assert all(r.summarize_done and not r.embed_done and not r.store_done for r in rows)
     assert {r.error for r in rows} == {"text has no weighted terms"}
     assert {r.store_error for r in rows} == {None}
+
+
+def test_context_of_a_context_table_and_summary_only(spark, conversations):
+    contexts = spark.createDataFrame([(1, "work")], "conv_id long, context string")
+    rows = {
+        r.conv_id: r
+        for r in memorize.memorize_chats(
+            conversations, "2024-03-01", 64, contexts=contexts, embed_heading=False
+        ).collect()
+    }
+    assert rows[1].context == "work" and rows[2].context is None
+    assert all(r.store_done for r in rows.values())
+
+
+def test_requests_by_text_find_the_memory_of_the_chat(spark, conversations):
+    texts = conversations.selectExpr("concat(role, ' ', text) AS text")
+    model = chats.fit_embedder(texts, 256)
+    stored = memorize.ingest_conversations(
+        conversations, "2024-03-01", dimension=256, model=model
+    ).memories
+    assert stored.columns[:4] == ["id", "heading", "summary", "embedding"]
+    requests = spark.createDataFrame(
+        [(1, "pool database connections"), (2, "cosine vector"), (3, "zzz qqq"), (4, "")],
+        "query_id long, query string",
+    )
+    got = {}
+    for r in search.fetch_context(stored, requests, 256, model=model).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.heading, r.search_type_used))
+    assert "pool" in min(got[1])[1] and "Vector" in min(got[2])[1]
+    assert {h[2] for h in got[1]} == {"semantic"} and {h[2] for h in got[4]} == {"recent"}
+    late = search.fetch_context(
+        stored, requests, 256, date_filter="2024-03-02", model=model
+    )
+    assert late.count() == 0
+    similar = memorize.similar_memories(conversations, stored, model, 256).collect()
+    assert {r.query_id for r in similar if r["rank"] == 1} >= {1, 2}
