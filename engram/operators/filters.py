@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from engram.operators.skew import broadcast_if_few
+
 
 def by_importance(memories: DataFrame, minimum: float | None) -> DataFrame:
     """Rows without a score never pass, not even a minimum of 0."""
@@ -53,7 +55,7 @@ def by_any_tag(
     if wanted is None:
         return memories
     hits = tags.where(F.col("tag").isin(list(wanted))).select(F.col("memory_id").alias("id"))
-    return memories.join(hits, "id", "left_semi")
+    return memories.join(broadcast_if_few(hits), "id", "left_semi")
 
 
 def by_metadata(
@@ -63,7 +65,7 @@ def by_metadata(
     hits = metadata.where(
         (F.col("key") == key) & (F.get_json_object("value", path) == F.lit(value))
     ).select(F.col("memory_id").alias("id"))
-    return memories.join(hits, "id", "left_semi")
+    return memories.join(broadcast_if_few(hits), "id", "left_semi")
 
 
 def by_project(memories: DataFrame, metadata: DataFrame, project: str | None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins that stay even when a few keys hold most of the rows."""
+"""Joins that stay even when a few keys hold most of the rows, and checked broadcasts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 10_000
 SALTS = 32
+MAX_BROADCAST_IDS = 200_000
+
+
+def broadcast_if_few(frame: DataFrame, most: int | None = None) -> DataFrame:
+    """Mark a narrow table for broadcast if it has at most `most` rows; otherwise leave the
+    join to a shuffle. The check reads one row past the bound at most, and saves the other
+    side, with its vectors or texts, from a shuffle."""
+    most = MAX_BROADCAST_IDS if most is None else most
+    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
 
 
 def salted_join(

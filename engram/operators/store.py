@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram import schema
-
-# Sides of this many ids at most are broadcast by upsert and delete; see `few_ids`.
-MAX_BROADCAST_IDS = 200_000
+from engram.operators.skew import broadcast_if_few
+from engram.sources.workspace import written
 
 
 def memory_id(*natural_key: Column | str) -> Column:
@@ -88,15 +87,6 @@ def append_memories(rows: DataFrame, path: str, dimension: int, batch_id: str) -
     return rows.sparkSession.read.parquet(target).select(F.col("id").alias("memory_id"))
 
 
-def few_ids(ids: DataFrame) -> bool:
-    """Whether a side may be broadcast: counts at most one row past the bound."""
-    return ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
-
-
-def _id_side(ids: DataFrame, small: bool) -> DataFrame:
-    return F.broadcast(ids) if small else ids
-
-
 def latest_changes(changes: DataFrame) -> DataFrame:
     """Newest row per id. max_by aggregates before the shuffle, so an id that changed very
     often sends one row per partition; equal times are decided by the whole row."""
@@ -110,9 +100,8 @@ def upsert_memories(base: DataFrame, changes: DataFrame, as_of: str) -> DataFram
     """The table after the changes: a changed memory keeps its creation time and gets
     `as_of` as update time, a new one is added, the rest passes through untouched."""
     now = F.to_timestamp(F.lit(as_of))
-    newest = latest_changes(changes)
-    small = few_ids(newest.select("id"))
-    ids = _id_side(newest.select("id"), small)
+    newest = written(latest_changes(changes), "changes")
+    ids = broadcast_if_few(newest.select("id"))
     untouched = base.join(ids, "id", "left_anti")
     created = base.join(ids, "id", "left_semi").select(
         "id", F.col("created_at").alias("first_created_at")
@@ -131,8 +120,7 @@ def delete_memories(
     memories: DataFrame, tags: DataFrame, metadata: DataFrame, ids: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The three tables without the given ids, and whether each id existed."""
-    wanted = ids.select("id").distinct()
-    side = _id_side(wanted, few_ids(wanted))
+    side = broadcast_if_few(written(ids.select("id").distinct(), "ids"))
     children = side.withColumnRenamed("id", "memory_id")
     gone = side.join(
         memories.join(side, "id", "left_semi").select("id", F.lit(True).alias("found")),
@@ -147,7 +135,7 @@ def delete_memories(
 
 
 def get_by_id(memories: DataFrame, ids: DataFrame) -> DataFrame:
-    return memories.join(ids.select("id"), "id", "left_semi")
+    return memories.join(broadcast_if_few(ids.select("id")), "id", "left_semi")
 
 
 def explode_tags(memories: DataFrame, tags: Column) -> DataFrame:

@@ -12,6 +12,7 @@ from engram import schema
 from engram.operators import chats, filters, knn
 from engram.operators.aggregates import with_tags
 from engram.operators.ranking import most_similar, newest, winners_first
+from engram.operators.skew import MAX_BROADCAST_IDS
 from engram.sources.workspace import written
 
 
@@ -136,8 +137,13 @@ def fetch_context(
         (F.col("rank") <= F.col("limit")) & (F.col("similarity") >= F.col("threshold"))
     )
     texts = ["id", "heading", "summary", "created_at"]
-    close = close.select("query_id", "search_type_used", "rank", "id", "similarity").join(
-        memories.select(*texts), "id"
+    close = close.select("query_id", "search_type_used", "rank", "id", "similarity")
+    # Hits are at most max_limit per request, so few requests mean few hits.
+    few = MAX_BROADCAST_IDS // max_limit
+    if semantic.limit(few + 1).count() <= few:
+        close = F.broadcast(close)
+    close = memories.select(*texts).join(close, "id").select(
+        "query_id", "search_type_used", "rank", "similarity", *texts
     )
     latest = (
         newest(memories, max_limit).select(*texts)
@@ -158,5 +164,6 @@ def fetch_context(
             F.lit(0.0).alias("similarity"),
         )
         .join(F.broadcast(numbered), "rank")
+        .select(close.columns)
     )
     return close.unionByName(by_recency)

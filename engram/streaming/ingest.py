@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from engram.operators import store
+from engram.operators.skew import broadcast_if_few
 
 
 def _replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:
@@ -51,8 +51,7 @@ def stream_unique_tags(
         batch = batch.persist()
         fresh_rows = batch
         if batch_id > 0:
-            keys = batch.select("memory_id", "tag")
-            keys = F.broadcast(keys) if store.few_ids(keys) else keys
+            keys = broadcast_if_few(batch.select("memory_id", "tag"))
             stored = spark.read.parquet(path)
             earlier = stored.where(stored.batch_id < batch_id).select("memory_id", "tag")
             known = earlier.join(keys, ["memory_id", "tag"], "left_semi")

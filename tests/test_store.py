@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import vectors
-from engram.operators import aggregates, filters, ranking, store
+from engram.operators import aggregates, filters, ranking, skew, store
 from engram.plans import search
 from engram.sources import tables, workspace
 
@@ -116,7 +116,7 @@ def test_ids_are_deterministic(spark):
 
 @pytest.mark.parametrize("bound", [200_000, 0])
 def test_upsert(spark, memories, monkeypatch, bound):
-    monkeypatch.setattr(store, "MAX_BROADCAST_IDS", bound)
+    monkeypatch.setattr(skew, "MAX_BROADCAST_IDS", bound)
     changes = store.build_memories(
         rows(
             spark,
@@ -142,7 +142,7 @@ def test_upsert(spark, memories, monkeypatch, bound):
 
 @pytest.mark.parametrize("bound", [200_000, 0])
 def test_delete_cascades_and_reports(spark, memories, tags, metadata, monkeypatch, bound):
-    monkeypatch.setattr(store, "MAX_BROADCAST_IDS", bound)
+    monkeypatch.setattr(skew, "MAX_BROADCAST_IDS", bound)
     wanted = spark.createDataFrame([("a",), ("a",), ("nope",)], "id string")
     kept, t, m, gone = store.delete_memories(memories, tags, metadata, wanted)
     assert ids(kept) == ["b", "c", "d"]
