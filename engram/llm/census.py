@@ -20,6 +20,10 @@ from engram.llm.words import binary, unpacked
 #: Tokens that one range holds, on average.
 RANGE_TOKENS = 3_000_000
 
+#: Tokens are compared by their first 48 bits, so that sorted ones pack well. A chance match
+#: only makes a token look shared: what is asked of a census must bear that.
+KEPT_BITS = np.uint64(0xFFFFFFFFFFFF0000)
+
 CELL = "part int, keys binary, docs binary, single binary, multi binary, known binary"
 CELL_TYPES = pa.schema(
     [("part", pa.int32())] + [(n, pa.binary()) for n in ("keys", "docs", "single", "multi", "known")]
@@ -31,6 +35,24 @@ def parts_for(tokens: int) -> int:
     return max(1, -(-int(tokens or 0) // RANGE_TOKENS))
 
 
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Integers by byte planes, ascending ones as differences: equal bytes come together, which
+    the shuffle's compression then removes."""
+    if ascending and len(values):
+        values = np.concatenate([values[:1], values[1:] - values[:-1]])
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+
+
+def unpack(cells: pa.Array, kind: type = np.uint64, ascending: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Items of all cells written by `pack`, and the number in each."""
+    wide = np.dtype(kind).itemsize
+    out = [np.ascontiguousarray(np.frombuffer(c or b"", np.uint8).reshape(wide, -1).T).reshape(-1).view(kind) for c in cells.to_pylist()]
+    counts = np.array([len(x) for x in out], np.int64)
+    if ascending:
+        out = [np.cumsum(x, dtype=kind) for x in out]
+    return (np.concatenate(out) if out else np.zeros(0, kind)), counts
+
+
 def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
     """The range of each token: equal stretches of the hash space."""
     return ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
@@ -39,6 +61,7 @@ def part_of(tokens: np.ndarray, parts: int) -> np.ndarray:
 def cells(keys: np.ndarray, docs: np.ndarray, tokens: np.ndarray, parts: int, spread: int) -> Iterator[pa.RecordBatch]:
     """Packed rows for the ranges. tokens[i] belongs to the document keys[docs[i]]; a document
     may repeat a token. `spread` varies between batches and deals out the ready answers."""
+    tokens = tokens & KEPT_BITS
     order = np.argsort(tokens)
     tokens, docs = tokens[order], docs[order]
     head = np.ones(len(tokens), bool)
@@ -57,7 +80,7 @@ def cells(keys: np.ndarray, docs: np.ndarray, tokens: np.ndarray, parts: int, sp
         a, b = np.searchsorted(part_s, [p, p + 1])
         c, d = np.searchsorted(part_m, [p, p + 1])
         held, local = np.unique(owner[a:b], return_inverse=True)
-        rows.append((p, keys[held].tobytes(), local.astype(np.uint32).tobytes(), single[a:b].tobytes(), multi[c:d].tobytes(), None))
+        rows.append((p, keys[held].tobytes(), pack(local.astype(np.uint32)), pack(single[a:b], True), pack(multi[c:d], True), None))
     ready, of = tokens[~each], docs[~each]
     if len(ready):
         rows.append(((spread * 7919) % parts, keys[of].tobytes(), None, None, None, ready.tobytes()))
@@ -69,9 +92,9 @@ def answered(table: pa.Table) -> pa.Table:
     ready = table.filter(pa.compute.is_valid(table["known"]))
     table = table.filter(pa.compute.is_null(table["known"]))
     held, n_held = unpacked(table["keys"], np.int64)
-    local, n_local = unpacked(table["docs"], np.uint32)
-    single, _ = unpacked(table["single"])
-    multi, _ = unpacked(table["multi"])
+    local, n_local = unpack(table["docs"], np.uint32)
+    single, _ = unpack(table["single"], ascending=True)
+    multi, _ = unpack(table["multi"], ascending=True)
     base = np.repeat(np.cumsum(n_held) - n_held, n_local)
     owner = held[base + local] if len(local) else np.zeros(0, np.int64)
     order = np.argsort(single, kind="stable")
