@@ -166,7 +166,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, block=block):
             hashed = words.hasher(words.NOT_ALNUM)
-            for batch in batches:
+            for batch in words.sliced(batches, 1):
                 ids = batch.column(0).to_pylist()
                 rows = [(ids[r], *rest) for r, *rest in search(batch.column(1), block, hashed)]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
@@ -185,8 +185,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def clean(text, block=block):
             hashed = words.hasher(words.NOT_ALNUM)
             keep = np.ones(len(text), bool)
-            for r, *_ in search(pa.array(text, pa.string(), from_pandas=True), block, hashed):
-                keep[r] = False
+            column = pa.array(text, pa.string(), from_pandas=True)
+            for a, b in words.slices(column):
+                for r, *_ in search(column.slice(a, b - a), block, hashed):
+                    keep[a + r] = False
             return pd.Series(keep)
 
         docs = docs.where(F.pandas_udf(clean, T.BooleanType())("text"))

@@ -35,7 +35,7 @@ LEAF = 32
 def set_rows(batches: Iterator[pa.RecordBatch], size: int, step: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to (doc_id, n, set_key, tokens): every step-th shingle of each set."""
     hashed = words.hasher()
-    for batch in batches:
+    for batch in words.sliced(batches, 1):
         found = hashed(batch.column(1))
         grams = words.windows(found.hash, size)
         n, keys, picked = [], [], []

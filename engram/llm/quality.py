@@ -20,19 +20,21 @@ from pyspark.sql import types as T
 from engram.llm import words
 
 #: Labelled documents the fit reads at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 FEATURES = 1 << 18
 #: A feature counts if this many documents of the sample have it.
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 6
 GRADES = 3
-STEPS = 160
-RATE = 0.1
-PENALTY = 3e-4
+STEPS = 70
+RATE = 0.2
+PENALTY = 1e-4
 #: A document stays if it is good with at least this probability.
-KEEP = 0.35
+KEEP = 0.45
 #: Features besides words, hashed from their number: how much of a text is repeated words,
 #: words with symbols, words without a letter, short lines.
 SHAPES = 4
+#: Besides whole words, their first so many bytes are features.
+BEGINNINGS = (4, 5)
 
 
 class Model(NamedTuple):
@@ -40,6 +42,18 @@ class Model(NamedTuple):
     cuts: np.ndarray
 
 
+def beginnings(found: words.Words, n: int) -> np.ndarray:
+    """Hash of the first n bytes of each word (A-Z lower-cased), so that inflected and joined
+    forms of a word share a feature."""
+    value = np.full(len(found.start), n, np.uint64)
+    for j in range(n):
+        at = found.start + j
+        byte = np.where(at < found.end, found.data[np.minimum(at, len(found.data) - 1)] if len(found.data) else 0, 0)
+        byte = byte.astype(np.uint64)
+        value = value * np.uint64(257) + byte + 32 * ((byte >= 65) & (byte <= 90)).astype(np.uint64)
+    return words.mix(value)
+
+
 def featurizer():
     """A function from a string column to (features, first feature of each text)."""
     spaced = words.hasher()
@@ -50,23 +64,27 @@ def featurizer():
         plain, raw = lettered(column), spaced(column)
         marks = np.concatenate([[0], np.cumsum(symbol[raw.data])])
         marked = marks[raw.end] > marks[raw.start]
-        out, count = [], []
-        for row in range(len(column)):
-            own = np.unique(plain.hash[plain.of(row)])
-            part = raw.of(row)
-            n = part.stop - part.start
-            shapes = []
-            if n:
-                repeated = 1 - len(np.unique(raw.hash[part])) / n
-                noisy = float(marked[part].mean())
-                bare = max(0.0, 1 - (plain.first[row + 1] - plain.first[row]) / n)
-                level = [min(9, int(10 * x)) for x in (repeated if n >= 20 else 0, noisy, bare)]
-                shapes = [1000 * k + v for k, v in enumerate([*level, min(9, int(np.log2(n)) // 2)])]
-            shaped = words.mix(np.array(shapes, np.uint64) + np.uint64(0xABCDEF))
-            ids = np.unique(np.concatenate([own, shaped]) % np.uint64(FEATURES)).astype(np.int32)
-            out.append(ids)
-            count.append(len(ids))
-        return (np.concatenate(out) if out else np.zeros(0, np.int32)), np.append(0, np.cumsum(count)).astype(np.int64)
+        rows, n = len(column), np.diff(raw.first)
+        row = np.repeat(np.arange(rows), n)
+        # Share of repeated words, of words with symbols, of words without a letter or digit.
+        seen = np.sort((row.astype(np.uint64) << np.uint64(40)) | (raw.hash >> np.uint64(24)))
+        new = np.concatenate([[True], seen[1:] != seen[:-1]])[: len(seen)]
+        some = np.maximum(n, 1)
+        distinct = np.bincount((seen[new] >> np.uint64(40)).astype(np.int64), minlength=rows)
+        repeated = np.where(n >= 20, 1 - distinct / some, 0)
+        noisy = np.bincount(row[marked], minlength=rows) / some
+        bare = np.maximum(0, 1 - np.diff(plain.first) / some)
+        level = [np.minimum(9, 10 * x).astype(np.int64) for x in (repeated, noisy, bare)]
+        level.append(np.minimum(9, np.log2(some).astype(np.int64) // 2))
+        shapes = [words.mix((1000 * k + v).astype(np.uint64) + np.uint64(0xABCDEF))[n > 0] for k, v in enumerate(level)]
+        own = np.repeat(np.arange(rows), np.diff(plain.first))
+        kinds = [plain.hash, *(beginnings(plain, size) for size in BEGINNINGS)]
+        value = np.concatenate([*kinds, *shapes]) % np.uint64(FEATURES)
+        owner = np.concatenate([*[own] * len(kinds), *[np.flatnonzero(n > 0)] * len(shapes)])
+        cells = np.sort(owner * FEATURES + value.astype(np.int64))
+        cells = cells[np.concatenate([[True], cells[1:] != cells[:-1]])[: len(cells)]]
+        first = np.searchsorted(cells, np.arange(rows + 1) * FEATURES)
+        return (cells % FEATURES).astype(np.int32), first
 
     return features
 
@@ -74,7 +92,7 @@ def featurizer():
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grade, text) to (grade, packed features)."""
     features = featurizer()
-    for batch in batches:
+    for batch in words.sliced(batches, 1, 4 << 20):
         ids, first = features(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), words.binary(first, ids)], names=["grade", "features"])
 
@@ -102,7 +120,9 @@ def fit(ids: np.ndarray, first: np.ndarray, grade: np.ndarray) -> Model:
     """Maximum likelihood with a ridge penalty by Adam steps over all rows."""
     seen = np.bincount(ids, minlength=FEATURES) >= LEAST_DOCUMENTS
     row = np.repeat(np.arange(len(grade)), np.diff(first))
-    value = seen[ids] / scale(first)[row]
+    value = (1 / scale(first))[row]
+    use = seen[ids]
+    row, value, ids = row[use], value[use], ids[use]
     weights = np.zeros(FEATURES)
     free = np.array([-1.0, np.log(2.0)])  # the lowest cut, and the logarithm of the step to the next
     moments = [np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(2), np.zeros(2)]
@@ -157,9 +177,12 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         features = featurizer()
         for text in batches:
-            ids, first = features(pa.array(text, pa.string(), from_pandas=True))
-            found = tails(sums(model.weights, ids, first), model.cuts)
-            yield pd.DataFrame({"p_acceptable": found[:, 0], "p_good": found[:, 1]})
+            column = pa.array(text, pa.string(), from_pandas=True)
+            found = [np.zeros((0, 2))]
+            for a, b in words.slices(column, 4 << 20):
+                ids, first = features(column.slice(a, b - a))
+                found.append(tails(sums(model.weights, ids, first), model.cuts))
+            yield pd.DataFrame(np.concatenate(found), columns=["p_acceptable", "p_good"])
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     scored = docs.withColumn("__p", F.pandas_udf(score, kinds)("text"))

@@ -46,7 +46,7 @@ def anchors(found: words.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def anchor_cells(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     hashed = words.hasher(lower=False)
     task = TaskContext.get().partitionId()
-    for i, batch in enumerate(batches):
+    for i, batch in enumerate(words.sliced(batches, 1, 16 << 20)):
         _, row, hashes = anchors(hashed(batch.column(1)))
         yield from census.cells(batch.column(0).to_numpy(), row, hashes, parts, task * 1009 + i)
 
@@ -56,7 +56,7 @@ def window_cells(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
     doc_id of the batch; windows that a lower doc_id of the batch holds are settled here."""
     hashed = words.hasher(lower=False)
     task = TaskContext.get().partitionId()
-    for i, batch in enumerate(batches):
+    for i, batch in enumerate(words.sliced(batches, 1, 16 << 20)):
         found = hashed(batch.column(1))
         at, row, hashes = anchors(found)
         shared = np.zeros(len(at), bool)
@@ -113,7 +113,7 @@ def owned(table: pa.Table) -> pa.Table:
 def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, windows to remove) to doc_id, kept text, n_words, n_removed."""
     hashed = words.hasher(lower=False)
-    for batch in batches:
+    for batch in words.sliced(batches, 1):
         found = hashed(batch.column(1))
         grams = words.windows(found.hash, WINDOW)
         raw, texts, removed = memoryview(found.data), [], []

@@ -7,7 +7,7 @@ that sum independent of its place. No word becomes a Python string.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -61,6 +61,24 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """A string column cut into runs of rows (first, end) of about `most` bytes of text, or of
+    one longer text, so that the arrays of a task stay small."""
+    _, row_start = text_bytes(column)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(row_start, row_start[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
+def sliced(batches: Iterable[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut by the bytes of their column number `text`."""
+    for batch in batches:
+        for a, b in slices(batch.column(text), most):
+            yield batch.slice(a, b - a)
+
+
 def hasher(separators: bytes = BLANK, lower: bool = True, digits: bool = False) -> Callable[[pa.Array], Words]:
     """A function from a string column to its words.
 
