@@ -13,9 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from engram.llm.words import binary, unpacked
+from engram.llm.words import mix, unpacked
 
 #: Tokens that one range holds, on average.
 RANGE_TOKENS = 3_000_000
@@ -28,7 +27,9 @@ CELL = "part int, keys binary, docs binary, single binary, multi binary, known b
 CELL_TYPES = pa.schema(
     [("part", pa.int32())] + [(n, pa.binary()) for n in ("keys", "docs", "single", "multi", "known")]
 )
-ANSWER = "key long, tokens binary"
+#: Answers travel by bucket of the document, packed: distinct keys, tokens of each, tokens.
+ANSWER = "bucket int, keys binary, counts binary, tokens binary"
+ANSWER_TYPES = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("keys", "counts", "tokens")])
 
 
 def parts_for(tokens: int) -> int:
@@ -87,7 +88,37 @@ def cells(keys: np.ndarray, docs: np.ndarray, tokens: np.ndarray, parts: int, sp
     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), CELL_TYPES)], schema=CELL_TYPES)
 
 
-def answered(table: pa.Table) -> pa.Table:
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def answer_rows(keys: np.ndarray, tokens: np.ndarray, buckets: int) -> pa.Table:
+    """One row per bucket for (key, token) pairs."""
+    bucket = bucket_of(keys, buckets)
+    order = np.lexsort((keys, bucket))
+    keys, tokens, bucket = keys[order], tokens[order], bucket[order]
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else []
+    rows = []
+    for a, b in zip(cut, cut[1:]):
+        distinct, counts = np.unique(keys[a:b], return_counts=True)
+        rows.append((int(bucket[a]), pack(distinct, True), pack(counts.astype(np.uint32)), pack(tokens[a:b])))
+    columns = zip(*rows) if rows else [[]] * 4
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, ANSWER_TYPES)], schema=ANSWER_TYPES)
+
+
+def by_key(rows: pa.Table) -> dict[int, np.ndarray]:
+    """The tokens of each document in the answers of a bucket."""
+    keys, _ = unpack(rows["keys"], np.int64, True)
+    counts, _ = unpack(rows["counts"], np.uint32)
+    tokens, _ = unpack(rows["tokens"])
+    of = np.repeat(keys, counts)
+    order = np.argsort(of, kind="stable")
+    of, tokens = of[order], tokens[order]
+    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(of) else []
+    return {int(of[a]): tokens[a:b] for a, b in zip(cut, cut[1:])}
+
+
+def answered(table: pa.Table, buckets: int) -> pa.Table:
     """What one range knows: documents, each with its tokens that are shared."""
     ready = table.filter(pa.compute.is_valid(table["known"]))
     table = table.filter(pa.compute.is_null(table["known"]))
@@ -110,17 +141,9 @@ def answered(table: pa.Table) -> pa.Table:
             shared |= multi[at] == single
     keys = np.concatenate([owner[shared], unpacked(ready["keys"], np.int64)[0]])
     tokens = np.concatenate([single[shared], unpacked(ready["known"])[0]])
-    order = np.argsort(keys, kind="stable")
-    keys, tokens = keys[order], tokens[order]
-    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return pa.table({"key": pa.array(keys[head]), "tokens": binary(np.append(head, len(keys)), tokens)})
-
-
-def answers(frame: DataFrame) -> DataFrame:
-    """Cells to (key, tokens): the shared tokens of a document, in one row per range at most."""
-    return frame.groupBy("part").applyInArrow(answered, ANSWER)
+    return answer_rows(keys, tokens, buckets)
 
 
-def collected(found: DataFrame) -> DataFrame:
-    """One row per document: its shared tokens from all ranges, as a list of packed arrays."""
-    return found.groupBy("key").agg(F.collect_list("tokens").alias("tokens"))
+def answers(frame: DataFrame, buckets: int) -> DataFrame:
+    """Cells to the shared tokens of documents, a row per range and bucket at most."""
+    return frame.groupBy("part").applyInArrow(lambda table: answered(table, buckets), ANSWER)

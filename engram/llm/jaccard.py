@@ -72,11 +72,24 @@ def may_link(sets: DataFrame, percent: int, step: int) -> DataFrame:
     """Sets (rep, n, tokens) whose counted shingles are shared often enough for a link."""
     total = sets.agg(F.sum(F.length("tokens"))).first()[0] or 0
     parts = census.parts_for(total // 8)
-    found = census.answers(sets.select("rep", "n", "tokens").mapInArrow(lambda rows: packed_cells(rows, parts), census.CELL))
-    shared = found.groupBy("key").agg(F.sum(F.length("tokens") / 8).cast("long").alias("shared"))
-    missing = F.length("tokens") / 8 - F.coalesce("shared", F.lit(0))
-    allowed = F.floor(F.col("n") * (100 - percent) / 100)
-    return sets.join(shared, sets.rep == shared.key, "left").where(missing <= allowed).select("rep", "n")
+    buckets = 4 * parts
+    found = census.answers(sets.mapInArrow(lambda rows: packed_cells(rows, parts), census.CELL), buckets)
+
+    def dealt(batches):
+        for batch in batches:
+            bucket = census.bucket_of(batch.column(0).to_numpy(), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1), batch.column(2)], names=["bucket", "rep", "n", "counted"])
+
+    def judged(rows: pa.Table, shared: pa.Table) -> pa.Table:
+        known = census.by_key(shared)
+        common = np.array([len(known.get(k, ())) for k in rows["rep"].to_pylist()], np.int64)
+        n = rows["n"].to_numpy()
+        keep = pa.array(rows["counted"].to_numpy() - common <= n * (100 - percent) // 100)
+        return rows.select(["rep", "n"]).filter(keep)
+
+    sizes = sets.select("rep", "n", F.floor(F.length("tokens") / 8).cast("long").alias("counted"))
+    sizes = sizes.mapInArrow(dealt, "bucket int, rep long, n long, counted long")
+    return sizes.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(judged, "rep long, n long")
 
 
 def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,13 @@ ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text for one word on a cover place, roughly; sizes the ranges of a census.
 BYTES_PER_ANCHOR = 14
 
+#: Text of one bucket of documents, roughly.
+BUCKET_BYTES = 8 << 20
+
+BLOCK = "bucket int, ids binary, sizes binary, texts binary"
+BLOCK_TYPES = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in ("ids", "sizes", "texts")])
+KEPT = "doc_id long, text string, n_words long, n_removed long"
+KEPT_TYPES = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64())])
 OWNERS = "part int, hash binary, doc binary, ready binary, ready_doc binary"
 OWNER_TYPES = pa.schema([("part", pa.int32())] + [(n, pa.binary()) for n in ("hash", "doc", "ready", "ready_doc")])
 
@@ -51,29 +58,67 @@ def anchor_cells(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
         yield from census.cells(batch.column(0).to_numpy(), row, hashes, parts, task * 1009 + i)
 
 
-def window_cells(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, shared anchors) to hashes of the windows around them, with the lowest
-    doc_id of the batch; windows that a lower doc_id of the batch holds are settled here."""
+def packed_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to compressed blocks of texts by bucket of the id: texts cross the network
+    twice, and pack far better together."""
+    for batch in words.sliced(batches, 1, 16 << 20):
+        ids = batch.column(0).to_numpy()
+        data, at = words.text_bytes(batch.column(1))
+        raw, bucket = memoryview(data), census.bucket_of(ids, buckets)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
+        rows = []
+        for a, b in zip(cut, cut[1:]):
+            own = order[a:b]
+            texts = b"".join(raw[at[i] : at[i + 1]] for i in own)
+            rows.append((int(bucket[own[0]]), ids[own].tobytes(), (at[own + 1] - at[own]).tobytes(), pa.compress(texts, "zstd", asbytes=True) if texts else b""))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), BLOCK_TYPES)], schema=BLOCK_TYPES)
+
+
+def unpacked_rows(blocks: pa.Table) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """The ids and texts of blocks, about 16 MB of text at a time."""
+    ids, sizes, texts, held = [], [], [], 0
+    for block in blocks.to_pylist():
+        ids.append(np.frombuffer(block["ids"], np.int64))
+        sizes.append(np.frombuffer(block["sizes"], np.int64))
+        total = int(sizes[-1].sum())
+        texts.append(pa.decompress(block["texts"], total, "zstd", asbytes=True) if total else b"")
+        held += total
+        if held > 16 << 20:
+            yield np.concatenate(ids), joined(sizes, texts)
+            ids, sizes, texts, held = [], [], [], 0
+    if ids:
+        yield np.concatenate(ids), joined(sizes, texts)
+
+
+def joined(sizes: list[np.ndarray], texts: list[bytes]) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(b"".join(texts)))
+
+
+def window_cells(blocks: pa.Table, shared: pa.Table, parts: int) -> pa.Table:
+    """Texts and their shared anchors to hashes of the windows around them, with the lowest
+    doc_id of the block; windows that a lower doc_id of the block holds are settled here."""
     hashed = words.hasher(lower=False)
-    task = TaskContext.get().partitionId()
-    for i, batch in enumerate(words.sliced(batches, 1, 16 << 20)):
-        found = hashed(batch.column(1))
+    known, out = census.by_key(shared), []
+    spread = blocks["bucket"][0].as_py() if blocks.num_rows else 0
+    for ids, texts in unpacked_rows(blocks) if known else ():
+        found = hashed(texts)
         at, row, hashes = anchors(found)
-        shared = np.zeros(len(at), bool)
-        cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        for k, known in enumerate(batch.column(2).to_pylist()):
-            if known:
-                known = np.frombuffer(b"".join(known), np.uint64)
-                shared[cut[k] : cut[k + 1]] = np.isin(hashes[cut[k] : cut[k + 1]] & census.KEPT_BITS, known)
-        near = np.zeros(len(found.hash) + 1, np.int64)
-        near[at[shared]] = 1
+        hit = np.zeros(len(at), bool)
+        cut = np.searchsorted(row, np.arange(len(ids) + 1))
+        for k, doc in enumerate(ids.tolist()):
+            if doc in known:
+                hit[cut[k] : cut[k + 1]] = np.isin(hashes[cut[k] : cut[k + 1]] & census.KEPT_BITS, known[doc])
+        near = np.zeros(len(found.hash) + PERIOD, np.int64)
+        near[at[hit]] = 1
         near = np.concatenate([[0], np.cumsum(near)])
         full = words.whole(found.first, WINDOW)
         start = np.arange(len(full))
         start = start[full & (near[start + PERIOD] > near[start])]
         hashes = words.windows(found.hash, WINDOW)[start]
-        doc = batch.column(0).to_numpy()[np.searchsorted(found.first, start, "right") - 1]
-        yield from owner_cells(hashes, doc, parts, task * 1009 + i)
+        out += owner_cells(hashes, ids[np.searchsorted(found.first, start, "right") - 1], parts, spread)
+    return pa.Table.from_batches(out, OWNER_TYPES)
 
 
 def owner_cells(hashes: np.ndarray, doc: np.ndarray, parts: int, spread: int) -> Iterator[pa.RecordBatch]:
@@ -94,7 +139,7 @@ def owner_cells(hashes: np.ndarray, doc: np.ndarray, parts: int, spread: int) ->
     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), OWNER_TYPES)], schema=OWNER_TYPES)
 
 
-def owned(table: pa.Table) -> pa.Table:
+def owned(table: pa.Table, buckets: int) -> pa.Table:
     """Documents of one range with the windows that a lower doc_id holds."""
     hashes, _ = census.unpack(table["hash"], ascending=True)
     doc, _ = census.unpack(table["doc"], np.int64)
@@ -104,37 +149,32 @@ def owned(table: pa.Table) -> pa.Table:
     later = doc > np.repeat(doc[start], np.diff(np.append(start, len(doc))))
     doc = np.concatenate([doc[later], words.unpacked(table["ready_doc"], np.int64)[0]])
     hashes = np.concatenate([hashes[later], words.unpacked(table["ready"])[0]])
-    order = np.argsort(doc, kind="stable")
-    doc, hashes = doc[order], hashes[order]
-    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    return pa.table({"key": pa.array(doc[head], pa.int64()), "tokens": words.binary(np.append(head, len(doc)), hashes)})
-
-
-def kept_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, windows to remove) to doc_id, kept text, n_words, n_removed."""
-    hashed = words.hasher(lower=False)
-    for batch in words.sliced(batches, 1):
-        found = hashed(batch.column(1))
-        grams = words.windows(found.hash, WINDOW)
-        raw, texts, removed = memoryview(found.data), [], []
-        for k, gone in enumerate(batch.column(2).to_pylist()):
-            parts = bytes(raw[found.row_start[k] : found.row_start[k + 1]]).split()
-            covered = 0
-            if gone:
-                a, n = int(found.first[k]), len(parts)
-                hit = np.flatnonzero(np.isin(grams[a : a + n - WINDOW + 1], np.frombuffer(b"".join(gone), np.uint64)))
-                edge = np.zeros(n + 1, np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + WINDOW, -1)
-                drop = np.cumsum(edge[:n]) > 0
-                covered = int(drop.sum())
-                parts = [w for w, d in zip(parts, drop.tolist()) if not d]
-            texts.append(b" ".join(parts))
-            removed.append(covered)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(np.diff(found.first)), pa.array(removed, pa.int64())],
-            names=["doc_id", "text", "n_words", "n_removed"],
-        )
+    return census.answer_rows(doc, hashes, buckets)
+
+
+def kept_words(ids: list, texts: pa.Array, gone: dict, hashed) -> pa.RecordBatch:
+    """What is left of texts without the windows `gone` of each id."""
+    found = hashed(texts)
+    grams = words.windows(found.hash, WINDOW)
+    raw, kept, removed = memoryview(found.data), [], []
+    for k, doc in enumerate(ids):
+        parts = bytes(raw[found.row_start[k] : found.row_start[k + 1]]).split()
+        covered = 0
+        if doc in gone:
+            a, n = int(found.first[k]), len(parts)
+            hit = np.flatnonzero(np.isin(grams[a : a + max(0, n - WINDOW + 1)], gone[doc]))
+            edge = np.zeros(n + 1, np.int64)
+            np.add.at(edge, hit, 1)
+            np.add.at(edge, hit + WINDOW, -1)
+            drop = np.cumsum(edge[:n]) > 0
+            covered = int(drop.sum())
+            parts = [w for w, d in zip(parts, drop.tolist()) if not d]
+        kept.append(b" ".join(parts))
+        removed.append(covered)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(found.first), pa.int64()), pa.array(removed, pa.int64())],
+        schema=KEPT_TYPES,
+    )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -146,15 +186,28 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     none elsewhere; rows with one doc_id never remove each other's words, since neither id is
     smaller. Other columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     usable = docs.where("doc_id is not null")
     size = usable.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = census.parts_for(size // BYTES_PER_ANCHOR)
-    cells = usable.select("row_key", "text").mapInArrow(lambda rows: anchor_cells(rows, parts), census.CELL)
-    shared = census.collected(census.answers(cells)).withColumnRenamed("key", "row_key")
-    near = usable.join(shared, "row_key").select(F.col("doc_id").cast("long"), "text", "tokens")
-    cells = near.mapInArrow(lambda rows: window_cells(rows, parts), OWNERS)
-    later = census.collected(cells.groupBy("part").applyInArrow(owned, census.ANSWER))
-    judged = docs.join(later, docs.doc_id == later.key, "left").select("doc_id", "text", "tokens")
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_words long, n_removed long"
-    return judged.mapInArrow(kept_words, kinds)
+    buckets = max(1, -(-size // BUCKET_BYTES))
+    cells = usable.mapInArrow(lambda rows: anchor_cells(rows, parts), census.CELL)
+    shared = census.answers(cells, buckets)
+    blocks = usable.mapInArrow(lambda rows: packed_rows(rows, buckets), BLOCK)
+    cells = blocks.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(
+        lambda rows, known: window_cells(rows, known, parts), OWNERS
+    )
+    later = cells.groupBy("part").applyInArrow(lambda rows: owned(rows, buckets), census.ANSWER)
+
+    def judged(rows: pa.Table, found: pa.Table) -> pa.Table:
+        hashed, gone = words.hasher(lower=False), census.by_key(found)
+        out = [kept_words(ids.tolist(), texts, gone, hashed) for ids, texts in unpacked_rows(rows)]
+        return pa.Table.from_batches(out, KEPT_TYPES)
+
+    def unnamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed = words.hasher(lower=False)
+        for batch in words.sliced(batches, 1):
+            yield kept_words(batch.column(0).to_pylist(), batch.column(1), {}, hashed)
+
+    named = blocks.groupBy("bucket").cogroup(later.groupBy("bucket")).applyInArrow(judged, KEPT)
+    return named.unionByName(docs.where("doc_id is null").mapInArrow(unnamed, KEPT))

@@ -53,7 +53,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.combine_chunks()
     if column.null_count:
         column = pc.fill_null(column, "")
-    column = column.cast(pa.large_string())
+    if not pa.types.is_large_string(column.type):
+        column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(column) or offsets[-1] == offsets[0]:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
