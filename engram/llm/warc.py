@@ -8,17 +8,23 @@ end a record. Reading takes the files whole, one at a time, and follows Content-
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.operators import skew
+from engram.sources.workspace import written
+
 #: Smaller payloads are always responses.
 REVISIT_BYTES = 1000
 #: Payload bytes of one archive, roughly, and records at most.
 ARCHIVE_BYTES = 16 << 20
 ARCHIVE_RECORDS = 20_000
+#: Groups of equal payloads that are sent to all tasks at most; more are joined by a shuffle.
+MOST_GROUPS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
@@ -60,7 +66,10 @@ def field(name: str, value: Column) -> Column:
 
 def records(rows: DataFrame) -> DataFrame:
     """One row `value` per page: the text of its record, with fresh headers."""
-    found = rows.join(originals(rows), (F.col("digest") == F.col("o_digest")) & (F.col("bytes") == F.col("o_bytes")), "left")
+    # Headers alone decide; the groups with several records are few, and checked before they
+    # are sent to all tasks.
+    of_group = skew.broadcast_if_few(written(originals(rows), "warc-originals"), MOST_GROUPS)
+    found = rows.join(of_group, (F.col("digest") == F.col("o_digest")) & (F.col("bytes") == F.col("o_bytes")), "left")
     revisit = F.coalesce(F.col("page_id").isNull() | (F.col("page_id") < F.col("o_page")), F.lit(False)) & F.col("o_page").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, "payload"))
@@ -89,7 +98,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows = headers(pages)
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     out = records(rows).repartition(max(1, -(-total // ARCHIVE_BYTES)), F.xxhash64("page_id", "value"))
-    out.select("value").write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
+    out.select("value").write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple]:
@@ -111,7 +120,7 @@ def parsed(data: bytes) -> Iterator[tuple]:
 def file_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
-            rows = list(parsed(data.as_py()))
+            rows = list(parsed(gzip.decompress(data.as_py())))
             for a in range(0, len(rows), 1000):
                 kind, page, to, url, digest, payload = zip(*rows[a : a + 1000])
                 yield pa.RecordBatch.from_arrays(
@@ -122,7 +131,7 @@ def file_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Records of all archives, revisits resolved: each takes length, digest and payload from the
     response it refers to. Digests are computed from the payloads read, not taken from headers."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
     rows = files.mapInArrow(file_records, RECORD)
     own = F.col("payload").isNotNull()
     rows = rows.withColumns({
