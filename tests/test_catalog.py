@@ -6,6 +6,8 @@ import pytest
 from compare import differences, duck
 
 import __spark_entry__ as entry_points
+from engram.catalog.queries import QUERIES
+from engram.catalog.twins import TWINS
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 ROWS_ONLY = {"near_dup_chats", "embed_texts"}
@@ -23,12 +25,12 @@ def test_entry_has_rows(spark):
 
 
 def test_only_known_queries_lack_a_twin():
-    names = set(entry_points.queries())
-    assert names - set(entry_points.oracle_sql()) == ROWS_ONLY
-    assert set(entry_points.oracle_sql()) <= names
+    assert set(QUERIES) - set(TWINS) == ROWS_ONLY
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_twin(spark, con, name):
     twin = entry_points.oracle_sql().get(name)
     found = differences(spark, con, SF_DIR, name, entry_points.queries()[name], twin)
