@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from engram.sources.workspace import written
 
 #: Members of a block; a task compares two blocks.
 BLOCK = 512
+#: Rows of several small tasks that are handed over together, on average.
+CHUNK_ROWS = 4096
 BITS = 1024
 LANES = [f"bits{i}" for i in range(BITS // 64)]
 
@@ -61,7 +64,8 @@ def linked(members: DataFrame, ratio: float, compare: Callable, name: str) -> Da
                             "hidden": F.col("size") - sum((F.bit_count(b) for b in LANES), F.lit(0))}),
         f"{name}-members",
     )
-    leaves = written(node(placed, "group", "band", "block"), f"{name}-nodes")
+    counted = placed.groupBy("group", "band", "block").agg(F.count(F.lit(1)).alias("rows"))
+    leaves = written(node(placed, "group", "band", "block").join(counted, ["group", "band", "block"]), f"{name}-nodes")
     tops = node(leaves, "group", "band")
     l, r = tops.alias("l"), tops.alias("r")
     near = F.col("r.band") - F.col("l.band")
@@ -73,9 +77,14 @@ def linked(members: DataFrame, ratio: float, compare: Callable, name: str) -> Da
         .join(r, (F.col("p.group") == F.col("r.group")) & (F.col("p.rb") == F.col("r.band")))
         .where(((F.col("l.band") < F.col("r.band")) | (F.col("l.block") <= F.col("r.block"))) & fits(ratio))
     )
-    work = pairs.select(
-        F.col("p.group").alias("group"), F.struct("l.band", "l.block").alias("left"), F.struct("r.band", "r.block").alias("right")
+    work = written(
+        pairs.select(
+            F.col("p.group").alias("group"), F.struct("l.band", "l.block").alias("left"),
+            F.struct("r.band", "r.block").alias("right"), (F.col("l.rows") + F.col("r.rows")).alias("rows"),
+        ),
+        f"{name}-pairs",
     )
+    chunks = max(1, (work.agg(F.sum("rows")).first()[0] or 0) // CHUNK_ROWS)
     sides = F.array_distinct(F.array("left", "right"))
     work = work.select("group", "left", "right", F.explode(sides).alias("side"))
     work = work.select(
@@ -85,10 +94,18 @@ def linked(members: DataFrame, ratio: float, compare: Callable, name: str) -> Da
     dealt = work.join(placed.select(*carried, "band", "block"), ["group", "band", "block"])
 
     def run(table: pa.Table) -> pa.Table:
-        left = table.filter(table["is_left"])
-        right = table.filter(pa.compute.invert(table["is_left"]))
-        a, b = compare(left, right if right.num_rows else None)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        table = table.combine_chunks().sort_by([("task", "ascending"), ("is_left", "descending")])
+        task, is_left = table["task"].to_numpy(), table["is_left"].to_numpy()
+        cut = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1], [True]]))
+        out_a, out_b = [], []
+        for start, end in zip(cut.tolist(), cut[1:].tolist()):
+            middle = start + int(is_left[start:end].sum())
+            if end - start > 1:
+                a, b = compare(table.slice(start, middle - start), table.slice(middle, end - middle) if middle < end else None)
+                out_a.extend(a)
+                out_b.extend(b)
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    found = dealt.groupBy("task").applyInArrow(run, "a long, b long")
+    dealt = dealt.withColumn("chunk", F.pmod("task", F.lit(chunks)))
+    found = dealt.groupBy("chunk").applyInArrow(run, "a long, b long")
     return components(found, f"{name}-links")
