@@ -565,7 +565,7 @@ TWINS: dict[str, str] = {
         FROM summaries)
       SELECT memory_id, 'memory' AS kind, heading AS value FROM ids
       UNION ALL SELECT DISTINCT memory_id, 'tag', role FROM ids JOIN conversations USING (conv_id)
-      UNION ALL SELECT memory_id, 'last_turn', max(turn)::VARCHAR
+      UNION ALL SELECT memory_id, 'last_turn', to_json(max(turn)::VARCHAR)::VARCHAR
         FROM ids JOIN conversations USING (conv_id) GROUP BY memory_id""",
     "ann_ivf_build": f"""WITH {IVF}
       SELECT c.list_id, count(n.vec_id) AS n_vectors,

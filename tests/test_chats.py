@@ -193,3 +193,22 @@ def test_requests_by_text_find_the_memory_of_the_chat(spark, conversations):
     assert late.count() == 0
     similar = memorize.similar_memories(conversations, stored, model, 256).collect()
     assert {r.query_id for r in similar if r["rank"] == 1} >= {1, 2}
+
+
+def test_ingested_metadata_is_found_again(spark):
+    from engram.operators import filters
+    from engram.plans import memorize
+
+    turns = spark.createDataFrame(
+        [(1, 0, "user", "How do bees fly?"), (1, 1, "assistant", "Bees beat their wings fast."),
+         (2, 0, "user", "What is rust?"), (2, 1, "assistant", "Rust is iron oxide, a red crust.")],
+        "conv_id long, turn long, role string, text string",
+    )
+    notes = spark.createDataFrame(
+        [(1, "project", "Alpha"), (1, "project", "Aleph"), (2, "project", "Beta")],
+        "conv_id long, key string, value string",
+    )
+    done = memorize.ingest_conversations(turns, "2024-03-01", metadata=notes)
+    assert done.metadata.count() == 2
+    assert filters.by_project(done.memories, done.metadata, "Alpha").count() == 1
+    assert filters.by_project(done.memories, done.metadata, "Aleph").count() == 0
