@@ -161,6 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     documents repeat their rows; an item id with several texts can give several rows. Other
     columns are ignored; empty tables give an empty result.
     """
+    words.bounded_batches(docs.sparkSession)
     out = None
     for block in passes(benchmark):
 
@@ -180,6 +181,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns, null ids included."""
+    words.bounded_batches(docs.sparkSession)
     for block in passes(benchmark):
 
         def clean(text, block=block):

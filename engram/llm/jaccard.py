@@ -228,6 +228,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     rows give repeated rows; rows that share an id but not a text count as linked. Other columns
     are ignored; an empty table gives an empty result.
     """
+    words.bounded_batches(docs.sparkSession)
     found = written(sets_of(docs, size, CENSUS_STEP), "jaccard-sets")
     usable = found.where("n > 0 and doc_id is not null")
     classes = written(

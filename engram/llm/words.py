@@ -13,6 +13,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Word separators: space and the controls from tab to carriage return.
 BLANK = bytes([0x20, *range(0x09, 0x0E)])
@@ -20,6 +21,7 @@ BLANK = bytes([0x20, *range(0x09, 0x0E)])
 NOT_ALNUM = bytes(b for b in range(128) if not (48 <= b <= 57 or 97 <= b <= 122))
 
 PIECE = 1 << 18
+BATCH_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -62,7 +64,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def bounded_batches(spark: SparkSession) -> None:
+    """Cap the Arrow batches of the session by bytes of text; by rows alone they have no bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slices(column: pa.Array, most: int = PIECE << 3) -> Iterator[tuple[int, int]]:
     """A string column cut into runs of rows (first, end) of about `most` bytes of text, or of
     one longer text, so that the arrays of a task stay small."""
     _, row_start = text_bytes(column)
@@ -73,7 +80,7 @@ def slices(column: pa.Array, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def sliced(batches: Iterable[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterable[pa.RecordBatch], text: int, most: int = PIECE << 3) -> Iterator[pa.RecordBatch]:
     """Batches cut by the bytes of their column number `text`."""
     for batch in batches:
         for a, b in slices(batch.column(text), most):
