@@ -21,6 +21,8 @@ from engram.llm import words
 
 #: Labelled documents the fit reads at most.
 SAMPLE = 8_000
+#: Features of the sample that a step of the fit reads at once.
+CHUNK = 1 << 20
 FEATURES = 1 << 18
 #: A feature counts if this many documents of the sample have it.
 LEAST_DOCUMENTS = 6
@@ -119,23 +121,25 @@ def tails(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 def fit(ids: np.ndarray, first: np.ndarray, grade: np.ndarray) -> Model:
     """Maximum likelihood with a ridge penalty by Adam steps over all rows."""
     seen = np.bincount(ids, minlength=FEATURES) >= LEAST_DOCUMENTS
-    row = np.repeat(np.arange(len(grade)), np.diff(first))
-    value = (1 / scale(first))[row]
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(first))
     use = seen[ids]
-    row, value, ids = row[use], value[use], ids[use]
+    row, ids = row[use], ids[use]
+    value = (1 / scale(first)).astype(np.float32)
+    chunks = [slice(a, a + CHUNK) for a in range(0, len(ids), CHUNK)]
     weights = np.zeros(FEATURES)
     free = np.array([-1.0, np.log(2.0)])  # the lowest cut, and the logarithm of the step to the next
     moments = [np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(2), np.zeros(2)]
     at = np.arange(len(grade))
     for step in range(1, STEPS + 1):
         cuts = np.cumsum([free[0], np.exp(free[1])])
-        score = np.bincount(row, value * weights[ids], minlength=len(grade))
+        score = sum((np.bincount(row[c], weights[ids[c]], minlength=len(grade)) for c in chunks), np.zeros(len(grade))) * value
         above = np.column_stack([np.ones(len(grade)), tails(score, cuts), np.zeros(len(grade))])
         chance = np.maximum(above[at, grade] - above[at, grade + 1], 1e-9)
         slope = above * (1 - above)
         d_score = (slope[at, grade] - slope[at, grade + 1]) / chance
         d_cut = np.column_stack([((grade == k) * slope[:, k + 1] - (grade == k + 1) * slope[:, k + 1]) / chance for k in range(2)])
-        g_w = -np.bincount(ids, value * d_score[row], minlength=FEATURES) / len(grade) + PENALTY * weights
+        d_score = value * d_score
+        g_w = -sum((np.bincount(ids[c], d_score[row[c]], minlength=FEATURES) for c in chunks), np.zeros(FEATURES)) / len(grade) + PENALTY * weights
         g_c = -d_cut.mean(axis=0)
         g_free = np.array([g_c.sum(), g_c[1] * np.exp(free[1])])
         for x, g, m, v in ((weights, g_w, 0, 1), (free, g_free, 2, 3)):
@@ -155,6 +159,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled documents; without any, one that calls everything good."""
+    words.bounded_batches(docs.sparkSession)
     picked = graded(labels).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     rows = rows.select("grade", "text").mapInArrow(featured, "grade int, features binary")
@@ -162,7 +167,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not found:
         return Model(np.zeros(FEATURES, np.float32), np.array([-40.0, -39.0]))
     each = [np.frombuffer(r.features, np.int32) for r in found]
-    return fit(np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each])), np.array([r.grade for r in found]))
+    ids, first = np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
+    grade = np.array([r.grade for r in found])
+    del found, each
+    return fit(ids, first, grade)
 
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:
@@ -172,6 +180,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
     Every row is scored from its whole text; null and empty texts have no features and get the
     model's prior. Repeated rows get equal scores. All other columns are kept.
     """
+    words.bounded_batches(docs.sparkSession)
     kinds = T.StructType([T.StructField("p_acceptable", T.DoubleType()), T.StructField("p_good", T.DoubleType())])
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
