@@ -297,7 +297,7 @@ def near_dup_check(f):
 def near_dup_chats(f):
     """Stored documents that resemble the opening of each conversation, by text."""
     documents = f.texts().select(F.col("doc_id").alias("id"), "text")
-    model = chats.fit_embedder(documents)
+    model = chats.hashing_embedder()
     stored = chats.embed_texts(documents, model).select("id", "embedding")
     return memorize.similar_memories(
         f.conversations(), stored, model, chats.EMBEDDING_DIMENSION
@@ -678,12 +678,19 @@ def summarize_chats(f):
 @query
 def embed_texts(f):
     documents = f.texts().select(F.col("doc_id").alias("id"), "text")
-    embedded = chats.embed_texts(documents, chats.fit_embedder(documents))
+    embedded = chats.embed_texts(documents, chats.hashing_embedder())
+    # Every bucket with a weight, in ten thousandths; .501 keeps exact halves off the border.
+    cells = F.transform(
+        "embedding", lambda x, i: F.struct(i.alias("i"), F.floor(x * 10000.0 + 0.501).alias("w"))
+    )
+    cells = F.transform(
+        F.filter(cells, lambda c: c["w"] > 0), lambda c: F.concat_ws(":", c["i"], c["w"])
+    )
     return embedded.select(
         "id",
         "embed_error",
         vectors.vector_dim(F.col("embedding")).alias("dimension"),
-        (F.array_max("embedding") <= 1.0).alias("bounded"),
+        F.array_join(cells, " ").alias("weights"),
     )
 
 

@@ -224,6 +224,21 @@ logs AS (
   SELECT conv_id, turn // 10000 AS part, count(*) AS n_turns,
          string_agg(line, chr(10) ORDER BY turn) AS chat_text
   FROM lines GROUP BY conv_id, turn // 10000)"""
+def word_vectors(name: str, rows: str) -> str:
+    """Weights (id, bucket, v) of the hashing embedder over rows (id, text)."""
+    return f"""
+{name}_words AS (
+  SELECT id, unnest(CASE WHEN len(kept) > 0 THEN kept ELSE w END) AS word FROM (
+    SELECT id, w, list_filter(w, lambda x: x NOT IN {STOPS}) AS kept FROM (
+      SELECT id, {words("coalesce(text, '')")} AS w FROM ({rows})))),
+{name}_counts AS (
+  SELECT id, ('0x' || substr(md5(word), 1, 8))::BIGINT % {chats.EMBEDDING_DIMENSION} AS bucket,
+         count(*)::DOUBLE AS n FROM {name}_words GROUP BY ALL),
+{name} AS (
+  SELECT id, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS v
+  FROM {name}_counts)"""
+
+
 SUMMARIES = f"""
 sentences AS (
   SELECT conv_id, turn, unnest(s) AS sentence, generate_subscripts(s, 1) - 1 AS sentence_no
@@ -344,6 +359,32 @@ TWINS: dict[str, str] = {
         SELECT t.query_id, {cosine('t.embedding', 'e.embedding')} AS similarity
         FROM topics t, embeddings e) WHERE similarity >= {THRESHOLD} GROUP BY query_id""",
     "near_dup_check": f"WITH {DUPLICATES} {HITS}",
+    "near_dup_chats": f"""WITH
+      {word_vectors('stored', 'SELECT doc_id AS id, text FROM documents')},
+      {word_vectors('asked', """SELECT conv_id AS id, string_agg(line, ' ' ORDER BY turn) AS text
+        FROM (SELECT conv_id, turn, role || ': ' || text AS line,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
+        WHERE n <= 3 GROUP BY conv_id""")},
+      stored_norms AS (SELECT id, sqrt(sum(v * v)) AS norm FROM stored GROUP BY id),
+      asked_norms AS (SELECT id, sqrt(sum(v * v)) AS norm FROM asked GROUP BY id),
+      dots AS (SELECT a.id AS query_id, s.id, sum(a.v * s.v) AS dot
+        FROM asked a JOIN stored s USING (bucket) GROUP BY a.id, s.id),
+      hits AS (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank
+        FROM (SELECT d.query_id, d.id, round(d.dot / (a.norm * s.norm), 6) AS similarity
+              FROM dots d JOIN asked_norms a ON a.id = d.query_id
+              JOIN stored_norms s ON s.id = d.id)
+        WHERE similarity >= {schema.DUPLICATE_THRESHOLD})
+      {HITS} WHERE rank <= {schema.DUPLICATE_LIMIT}""",
+    "embed_texts": f"""WITH {word_vectors('vectors', 'SELECT doc_id AS id, text FROM documents')},
+      joined AS (SELECT id, string_agg(bucket || ':' || floor(v * 10000 + 0.501)::BIGINT, ' '
+                   ORDER BY bucket) AS weights FROM vectors GROUP BY id)
+      SELECT d.doc_id AS id, CASE WHEN coalesce(d.text, '') = ''
+          THEN 'text is required and cannot be empty'
+          WHEN j.id IS NULL THEN 'text has no weighted terms' END AS embed_error,
+        CASE WHEN j.id IS NOT NULL THEN {chats.EMBEDDING_DIMENSION}::BIGINT END AS dimension,
+        j.weights
+      FROM documents d LEFT JOIN joined j ON j.id = d.doc_id""",
     "count_total": f"WITH {MEMORIES} SELECT count(*) AS total_memories FROM memories",
     "daily_activity": f"""WITH {MEMORIES}
       SELECT created_at::DATE::VARCHAR AS day, count(*) AS memories FROM memories

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,20 +176,56 @@ def summarize_chats(
     )
 
 
-def _with_tokens(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("tokens", tx.words(F.coalesce("text", F.lit(""))))
+def word_buckets(text: Column, dimension: int) -> Column:
+    """A bucket number, as text, for every word but stop words; a text of stop words alone
+    keeps them. Buckets come from MD5, which every engine computes alike."""
+
+    def kept(found: Column) -> Column:
+        rest = F.filter(found, lambda w: ~tx.is_stop_word(w))
+        return F.when(F.size(rest) > 0, rest).otherwise(found)
+
+    def bucket(word: Column) -> Column:
+        number = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
+        return F.pmod(number, F.lit(dimension)).cast("string")
+
+    return F.transform(tx.once(tx.words(F.coalesce(text, F.lit(""))), kept), bucket)
+
+
+def _with_tokens(texts: DataFrame, dimension: int) -> DataFrame:
+    return texts.withColumn("tokens", word_buckets(F.col("text"), dimension))
+
+
+def _bucket_counts(dimension: int) -> CountVectorizerModel:
+    return CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(dimension)], inputCol="tokens", outputCol="tf"
+    )
+
+
+def hashing_embedder(dimension: int = EMBEDDING_DIMENSION) -> PipelineModel:
+    """Hashed word counts of unit length. It depends on no table, so the vectors of every
+    ingest and every search compare."""
+    return PipelineModel(
+        [_bucket_counts(dimension), Normalizer(inputCol="tf", outputCol="unit")]
+    )
 
 
 def fit_embedder(texts: DataFrame, dimension: int = EMBEDDING_DIMENSION) -> PipelineModel:
-    """Hashed tf-idf with unit length over a `text` column. The model is one vector of
-    `dimension` weights, whatever the size of the table; applying it needs no shuffle."""
-    return Pipeline(
-        stages=[
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=dimension),
-            IDF(inputCol="tf", outputCol="tfidf"),
+    """Hashed word counts times smoothed idf, ln((n + 1) / (df + 1)) + 1, of unit length, over
+    a `text` column. The model is one vector of `dimension` weights, whatever the size of the
+    table; applying it needs no shuffle. Vectors compare only under one model: save it beside
+    the store (`model.write().save(path)`) and load it for every later ingest and search."""
+    counts = _bucket_counts(dimension)
+    fitted = IDF(inputCol="tf", outputCol="tfidf").fit(
+        counts.transform(_with_tokens(texts, dimension))
+    )
+    weights = Vectors.dense(fitted.idf.toArray() + 1)
+    return PipelineModel(
+        [
+            counts,
+            ElementwiseProduct(scalingVec=weights, inputCol="tf", outputCol="tfidf"),
             Normalizer(inputCol="tfidf", outputCol="unit"),
         ]
-    ).fit(_with_tokens(texts))
+    )
 
 
 def embed_texts(texts: DataFrame, model: PipelineModel) -> DataFrame:
@@ -196,9 +233,10 @@ def embed_texts(texts: DataFrame, model: PipelineModel) -> DataFrame:
     a zero vector."""
     vector = vector_to_array("unit", "float32")
     empty = F.coalesce(F.col("text"), F.lit("")) == ""
-    weightless = F.array_max(F.col("vector")) <= 0  # tf-idf weights are never negative
+    weightless = F.array_max(F.col("vector")) <= 0  # weights are never negative
+    dimension = len(model.stages[0].vocabulary)
     return (
-        model.transform(_with_tokens(texts))
+        model.transform(_with_tokens(texts, dimension))
         .withColumn("vector", vector)
         .withColumn(
             "embed_error",

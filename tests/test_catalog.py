@@ -10,7 +10,6 @@ from engram.catalog.queries import QUERIES
 from engram.catalog.twins import TWINS
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"near_dup_chats", "embed_texts"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test data")
 
@@ -25,7 +24,7 @@ def test_entry_has_rows(spark):
 
 
 def test_only_known_queries_lack_a_twin():
-    assert set(QUERIES) - set(TWINS) == ROWS_ONLY
+    assert set(QUERIES) == set(TWINS)
     assert set(QUERIES) <= set(entry_points.queries())
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 

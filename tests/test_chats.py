@@ -1,8 +1,13 @@
 import collections
 import math
 
+import hashlib
+
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from engram.operators import chats, skew
@@ -113,13 +118,12 @@ def test_embedding_equals_brute_force(spark):
     dim = 32
     model = chats.fit_embedder(frame, dim)
     got = {r.id: r for r in chats.embed_texts(frame, model).collect()}
-    hashing = model.stages[0]
     tokens = [(t or "").lower().split() if (t or "").strip(" ?!") else [] for t in texts]
     tf = np.zeros((len(texts), dim))
     for i, ts in enumerate(tokens):
         for t in ts:
-            tf[i, hashing.indexOf(t)] += 1
-    idf = np.log((len(texts) + 1) / ((tf > 0).sum(axis=0) + 1))
+            tf[i, int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim] += 1
+    idf = np.log((len(texts) + 1) / ((tf > 0).sum(axis=0) + 1)) + 1
     weighted = tf * idf
     for i in (0, 1, 2):
         want = weighted[i] / np.linalg.norm(weighted[i])
@@ -152,7 +156,8 @@ def test_memorize_and_ingest(spark, conversations):
 
 def test_failed_step_stops_the_row(spark, conversations):
     # A model that gives no weight to anything: every embedding fails, nothing is stored.
-    model = chats.fit_embedder(spark.createDataFrame([("same",)], "text string"), 1)
+    nothing = ElementwiseProduct(scalingVec=Vectors.dense([0.0]), inputCol="tf", outputCol="unit")
+    model = PipelineModel([chats.hashing_embedder(1).stages[0], nothing])
     rows = memorize.memorize_chats(conversations, "2024-03-01", 1, model).collect()
     assert all(r.summarize_done and not r.embed_done and not r.store_done for r in rows)
     assert {r.error for r in rows} == {"text has no weighted terms"}
@@ -212,3 +217,25 @@ def test_ingested_metadata_is_found_again(spark):
     assert done.metadata.count() == 2
     assert filters.by_project(done.memories, done.metadata, "Alpha").count() == 1
     assert filters.by_project(done.memories, done.metadata, "Aleph").count() == 0
+
+
+def test_vectors_of_different_ingests_compare(spark):
+    turn = "conv_id long, turn long, role string, text string"
+    one = spark.createDataFrame([(1, 0, "user", "How do bees fly over the garden wall?")], turn)
+    more = one.union(spark.createDataFrame([(2, 0, "user", "Bees fly. Wasps fly too.")], turn))
+    alone = memorize.ingest_conversations(one, "2024-03-01")
+    assert alone.memories.count() == 1 and alone.rejected.count() == 0
+    first = alone.memories.first()
+    again = {r.id: r.embedding for r in memorize.ingest_conversations(more, "2024-03-02").memories.collect()}
+    assert len(again) == 2 and again[first.id] == first.embedding
+
+
+def test_fitted_model_is_saved_and_loaded(spark, tmp_path):
+    texts = spark.createDataFrame([("alpha beta",), ("beta gamma",)], "text string")
+    model = chats.fit_embedder(texts, 32)
+    model.write().save(str(tmp_path / "model"))
+    loaded = PipelineModel.load(str(tmp_path / "model"))
+    want = [r.embedding for r in chats.embed_texts(texts, model).collect()]
+    assert [r.embedding for r in chats.embed_texts(texts, loaded).collect()] == want
+    stop = spark.createDataFrame([("the of and",)], "text string")
+    assert chats.embed_texts(stop, loaded).first().embed_error is None
