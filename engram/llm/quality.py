@@ -21,8 +21,8 @@ from engram.llm import words
 
 #: Labelled documents the fit reads at most.
 SAMPLE = 8_000
-#: Features of the sample that a step of the fit reads at once.
-CHUNK = 1 << 20
+#: Documents of the sample that a step of the fit reads at once.
+CHUNK = 512
 FEATURES = 1 << 18
 #: A feature counts if this many documents of the sample have it.
 LEAST_DOCUMENTS = 6
@@ -120,26 +120,31 @@ def tails(score: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def fit(ids: np.ndarray, first: np.ndarray, grade: np.ndarray) -> Model:
     """Maximum likelihood with a ridge penalty by Adam steps over all rows."""
-    seen = np.bincount(ids, minlength=FEATURES) >= LEAST_DOCUMENTS
-    row = np.repeat(np.arange(len(grade), dtype=np.int32), np.diff(first))
-    use = seen[ids]
-    row, ids = row[use], ids[use]
-    value = (1 / scale(first)).astype(np.float32)
-    chunks = [slice(a, a + CHUNK) for a in range(0, len(ids), CHUNK)]
+    chunks = list(zip(range(0, len(grade), CHUNK), [*range(CHUNK, len(grade), CHUNK), len(grade)]))
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        """Sum over the documents that have a feature, for every feature."""
+        total = np.zeros(FEATURES)
+        for a, b in chunks:
+            cells = np.repeat(values[a:b], np.diff(first[a : b + 1]))
+            total += np.bincount(ids[first[a] : first[b]], cells, minlength=FEATURES)
+        return total
+
+    value = 1 / scale(first)
+    seen = by_feature(np.ones(len(grade))) >= LEAST_DOCUMENTS
     weights = np.zeros(FEATURES)
     free = np.array([-1.0, np.log(2.0)])  # the lowest cut, and the logarithm of the step to the next
     moments = [np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(2), np.zeros(2)]
     at = np.arange(len(grade))
     for step in range(1, STEPS + 1):
         cuts = np.cumsum([free[0], np.exp(free[1])])
-        score = sum((np.bincount(row[c], weights[ids[c]], minlength=len(grade)) for c in chunks), np.zeros(len(grade))) * value
+        score = np.concatenate([sums(weights, ids[first[a] : first[b]], first[a : b + 1] - first[a]) for a, b in chunks])
         above = np.column_stack([np.ones(len(grade)), tails(score, cuts), np.zeros(len(grade))])
         chance = np.maximum(above[at, grade] - above[at, grade + 1], 1e-9)
         slope = above * (1 - above)
         d_score = (slope[at, grade] - slope[at, grade + 1]) / chance
         d_cut = np.column_stack([((grade == k) * slope[:, k + 1] - (grade == k + 1) * slope[:, k + 1]) / chance for k in range(2)])
-        d_score = value * d_score
-        g_w = -sum((np.bincount(ids[c], d_score[row[c]], minlength=FEATURES) for c in chunks), np.zeros(FEATURES)) / len(grade) + PENALTY * weights
+        g_w = -by_feature(value * d_score) * seen / len(grade) + PENALTY * weights
         g_c = -d_cut.mean(axis=0)
         g_free = np.array([g_c.sum(), g_c[1] * np.exp(free[1])])
         for x, g, m, v in ((weights, g_w, 0, 1), (free, g_free, 2, 3)):
@@ -166,10 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     found = rows.orderBy("grade", "features").limit(2 * sample).collect()
     if not found:
         return Model(np.zeros(FEATURES, np.float32), np.array([-40.0, -39.0]))
-    each = [np.frombuffer(r.features, np.int32) for r in found]
-    ids, first = np.concatenate(each), np.append(0, np.cumsum([len(x) for x in each]))
+    ids = np.frombuffer(b"".join(r.features for r in found), np.int32)
+    first = np.append(0, np.cumsum([len(r.features) // 4 for r in found]))
     grade = np.array([r.grade for r in found])
-    del found, each
+    del found
     return fit(ids, first, grade)
 
 
