@@ -162,20 +162,32 @@ def graded(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
 
 
+def fit_table(rows: pa.Table) -> pa.Table:
+    """(grade, features) of the sample to one row with the model's weights and cuts."""
+    rows = rows.combine_chunks().sort_by([("grade", "ascending"), ("features", "ascending")])
+    ids, counts = words.unpacked(rows["features"], np.int32)
+    model = fit(ids, np.append(0, np.cumsum(counts)), rows["grade"].to_numpy())
+    return pa.table({
+        "weights": pa.array([model.weights.tobytes()], pa.binary()),
+        "cuts": pa.array([model.cuts.tolist()], pa.list_(pa.float64())),
+    })
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the labelled documents; without any, one that calls everything good."""
+    """A model from the labelled documents; without any, one that calls everything good.
+
+    One task fits on the sample, of 2 * `sample` rows at most (rows that repeat an id count); the
+    driver gets the weights only.
+    """
     words.bounded_batches(docs.sparkSession)
     picked = graded(labels).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     rows = rows.select("grade", "text").mapInArrow(featured, "grade int, features binary")
-    found = rows.orderBy("grade", "features").limit(2 * sample).collect()
+    rows = rows.orderBy("grade", "features").limit(2 * sample)
+    found = rows.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(fit_table, "weights binary, cuts array<double>").collect()
     if not found:
         return Model(np.zeros(FEATURES, np.float32), np.array([-40.0, -39.0]))
-    ids = np.frombuffer(b"".join(r.features for r in found), np.int32)
-    first = np.append(0, np.cumsum([len(r.features) // 4 for r in found]))
-    grade = np.array([r.grade for r in found])
-    del found
-    return fit(ids, first, grade)
+    return Model(np.frombuffer(found[0].weights, np.float32), np.array(found[0].cuts))
 
 
 def judged(docs: DataFrame, model: Model) -> DataFrame:
