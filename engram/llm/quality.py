@@ -23,6 +23,8 @@ from engram.llm import words
 SAMPLE = 8_000
 #: Documents of the sample that a step of the fit reads at once.
 CHUNK = 512
+#: Bytes of text whose features are found at once.
+PIECE = 1 << 20
 FEATURES = 1 << 18
 #: A feature counts if this many documents of the sample have it.
 LEAST_DOCUMENTS = 6
@@ -94,7 +96,7 @@ def featurizer():
 def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(grade, text) to (grade, packed features)."""
     features = featurizer()
-    for batch in words.sliced(batches, 1, 4 << 20):
+    for batch in words.sliced(batches, 1, PIECE):
         ids, first = features(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), words.binary(first, ids)], names=["grade", "features"])
 
@@ -165,8 +167,10 @@ def graded(labels: DataFrame) -> DataFrame:
 def fit_table(rows: pa.Table) -> pa.Table:
     """(grade, features) of the sample to one row with the model's weights and cuts."""
     rows = rows.combine_chunks().sort_by([("grade", "ascending"), ("features", "ascending")])
-    ids, counts = words.unpacked(rows["features"], np.int32)
-    model = fit(ids, np.append(0, np.cumsum(counts)), rows["grade"].to_numpy())
+    cells = rows["features"].combine_chunks().cast(pa.large_binary())
+    first = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + len(cells) + 1] // 4
+    ids = np.frombuffer(cells.buffers()[2], np.int32)[first[0] : first[-1]]
+    model = fit(ids, first - first[0], rows["grade"].to_numpy())
     return pa.table({
         "weights": pa.array([model.weights.tobytes()], pa.binary()),
         "cuts": pa.array([model.cuts.tolist()], pa.list_(pa.float64())),
@@ -205,7 +209,7 @@ def judged(docs: DataFrame, model: Model) -> DataFrame:
         for text in batches:
             column = pa.array(text, pa.string(), from_pandas=True)
             found = [np.zeros((0, 2))]
-            for a, b in words.slices(column, 4 << 20):
+            for a, b in words.slices(column, PIECE):
                 ids, first = features(column.slice(a, b - a))
                 found.append(tails(sums(model.weights, ids, first), model.cuts))
             yield pd.DataFrame(np.concatenate(found), columns=["p_acceptable", "p_good"])
