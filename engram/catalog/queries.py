@@ -30,6 +30,7 @@ HEADINGS = ["the", "der"]
 TEXT_QUERY = "The rean of ther and tion"
 FUZZY_QUERY = "than there and the nation"
 IVF_PROBES, LSH_TABLES, LSH_BITS = 3, 8, 4
+TURNS_PER_PART = 2
 INSERTED_FROM = 1_000_000_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,6 +508,11 @@ def chat_text(f):
     return chats.chat_text(chats.chat_logs(f.conversations()))
 
 
+@query
+def chat_parts(f):
+    return chats.chat_text(chats.chat_logs(f.conversations(), TURNS_PER_PART))
+
+
 @query
 def first_turns(f):
     return chats.opening_text(f.conversations())
@@ -665,7 +671,7 @@ def fetch_context(f):
         (label + 1).alias("limit"),
         (label / F.lit(40.0)).alias("threshold"),
     )
-    return search.fetch_context(f.memories(), requests, DIMENSION, max_limit=10).select(
+    return search.fetch_context(f.memories(), requests, DIMENSION).select(
         "query_id", "search_type_used", "rank", "id", "similarity", "heading"
     )
 

@@ -221,9 +221,9 @@ RECALL = """SELECT count(*) AS exact_hits, count(h.id) AS found_hits,
 LINES = """
 lines AS (SELECT conv_id, turn, role || ': ' || text AS line FROM conversations),
 logs AS (
-  SELECT conv_id, turn // 10000 AS part, count(*) AS n_turns,
+  SELECT conv_id, 0::BIGINT AS part, count(*) AS n_turns,
          string_agg(line, chr(10) ORDER BY turn) AS chat_text
-  FROM lines GROUP BY conv_id, turn // 10000)"""
+  FROM lines GROUP BY conv_id)"""
 def word_vectors(name: str, rows: str) -> str:
     """Weights (id, bucket, v) of the hashing embedder over rows (id, text)."""
     return f"""
@@ -486,6 +486,12 @@ TWINS: dict[str, str] = {
       SELECT id, heading, similarity FROM scored WHERE similarity >= {tx.TRIGRAM_THRESHOLD}
       ORDER BY similarity DESC, id LIMIT {LIMIT}""",
     "chat_text": f"WITH {LINES} SELECT conv_id, part, n_turns, chat_text FROM logs",
+    "chat_parts": f"""WITH {LINES}
+      SELECT conv_id, part, count(*) AS n_turns,
+             string_agg(line, chr(10) ORDER BY turn) AS chat_text
+      FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)
+                      // {q.TURNS_PER_PART} AS part FROM lines)
+      GROUP BY conv_id, part""",
     "first_turns": f"""WITH {LINES}
       SELECT conv_id, string_agg(line, ' ' ORDER BY turn) AS text
       FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM lines)

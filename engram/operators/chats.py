@@ -15,8 +15,6 @@ from engram.functions.summaries import fallback_summary
 from engram.operators.skew import hottest
 from engram.sources.workspace import written
 
-# A log row holds at most this many turns; a longer conversation continues in part 1, 2, ...
-TURNS_PER_PART = 10_000
 SUMMARY_SENTENCES = 3
 EMBEDDING_DIMENSION = 1536
 
@@ -27,17 +25,48 @@ def chat_line(role: Column, text: Column) -> Column:
     return F.concat(role, F.lit(": "), text)
 
 
-def chat_logs(conversations: DataFrame, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
+def numbered_turns(conversations: DataFrame) -> DataFrame:
+    """Add `place`, the number of a turn inside its conversation in turn order, from 0.
+
+    Turns are dealt in ranges of (conversation, turn), numbered inside each range, and moved on
+    by the counts of the ranges before, so that a conversation of any length is cut into tasks.
+    """
+    dealt = conversations.repartitionByRange("conv_id", "turn").withColumn(
+        "range_no", F.spark_partition_id()
+    )
+    dealt = written(dealt, "turn-ranges")
+    ranges = dealt.groupBy("conv_id", "range_no").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("conv_id").orderBy("range_no").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = ranges.select(
+        "conv_id", "range_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    inside = Window.partitionBy("conv_id", "range_no").orderBy("turn")
+    numbered = dealt.withColumn("place", F.row_number().over(inside) - 1)
+    return (
+        numbered.join(before, ["conv_id", "range_no"])
+        .withColumn("place", F.col("place") + F.col("before"))
+        .drop("range_no", "before")
+    )
+
+
+def chat_logs(conversations: DataFrame, turns_per_part: int | None = None) -> DataFrame:
     """(conv_id, part, n_turns, chat_log): "role: text" lines in turn order.
 
-    Parts bound the size of a row whatever the length of a conversation; nothing is cut.
+    One row per conversation, part 0. With `turns_per_part` a conversation is cut into parts
+    of so many turns, counted, not by their numbers; nothing is left out.
     """
-    part = F.floor(F.col("turn") / F.lit(turns_per_part)).cast("long")
+    part = F.lit(0).cast("long")
+    if turns_per_part is not None:
+        conversations = numbered_turns(conversations)
+        part = F.floor(F.col("place") / F.lit(turns_per_part)).cast("long")
     lines = F.array_sort(
         F.collect_list(F.struct("turn", chat_line(F.col("role"), F.col("text")).alias("line")))
     )
     return (
-        conversations.groupBy("conv_id", part.alias("part"))
+        conversations.withColumn("part", part)
+        .groupBy("conv_id", "part")
         .agg(lines.alias("lines"))
         .select(
             "conv_id",

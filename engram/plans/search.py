@@ -94,7 +94,6 @@ def fetch_context(
     memories: DataFrame,
     requests: DataFrame,
     dimension: int,
-    max_limit: int = 100,
     date_filter: str | None = None,
     model: PipelineModel | None = None,
     **options,
@@ -103,8 +102,8 @@ def fetch_context(
 
     requests: query_id, query (text), embedding of the text, and optionally search_type,
     limit (10) and threshold (0.1). With a model the texts are embedded here. A semantic request with a non-empty query is answered
-    by similarity, any other by recency; search_type_used says which. No request may ask
-    for more than `max_limit` rows; a larger limit is an error, not a cut.
+    by similarity, any other by recency; search_type_used says which. A request may ask for any
+    number of rows; one that asks for none gets none.
     """
     memories = filters.since(memories, date_filter)
     if model is not None:
@@ -115,12 +114,11 @@ def fetch_context(
     def given(name: str, default):
         return F.coalesce(F.col(name), F.lit(default)) if name in have else F.lit(default)
 
-    too_many = F.raise_error(F.lit(f"limit above {max_limit}"))
     limit = given("limit", schema.SEARCH_LIMIT)
     asked = requests.select(
         "query_id",
         "embedding",
-        F.when(limit > max_limit, too_many.cast("int")).otherwise(limit).alias("limit"),
+        limit.alias("limit"),
         given("threshold", schema.SEARCH_THRESHOLD).cast("double").alias("threshold"),
         F.when(
             (given("search_type", "semantic") == "semantic")
@@ -129,31 +127,40 @@ def fetch_context(
         ).otherwise("recent").alias("search_type_used"),
     )
     semantic = asked.where(F.col("search_type_used") == "semantic")
-    # The best max_limit rows at any similarity contain the best of each request, whose own
-    # limit and threshold cut them afterwards.
+    # The largest limit and the lowest threshold asked for contain the best of each request,
+    # whose own limit and threshold cut them afterwards. Finding them reads no vector.
+    by_type = asked.groupBy("search_type_used").agg(
+        F.max("limit").alias("limit"), F.min("threshold").alias("threshold")
+    )
+    asked_for = {r["search_type_used"]: r for r in by_type.collect()}
+    most = {t: max(1, r["limit"]) for t, r in asked_for.items()}
+    most_similar_rows, most_recent_rows = most.get("semantic", 1), most.get("recent", 1)
+    lowest = asked_for["semantic"]["threshold"] if "semantic" in asked_for else 1.0
     close = knn.nearest(
-        memories, semantic, dimension, max_limit, threshold=-1.0, **options
+        memories, semantic, dimension, most_similar_rows, threshold=lowest, **options
     ).join(semantic.drop("embedding"), "query_id").where(
         (F.col("rank") <= F.col("limit")) & (F.col("similarity") >= F.col("threshold"))
     )
     texts = ["id", "heading", "summary", "created_at"]
     close = close.select("query_id", "search_type_used", "rank", "id", "similarity")
-    # Hits are at most max_limit per request, so few requests mean few hits.
-    few = MAX_BROADCAST_IDS // max_limit
+    # Hits are at most that many per request, so few requests mean few hits.
+    few = MAX_BROADCAST_IDS // most_similar_rows
     if semantic.limit(few + 1).count() <= few:
         close = F.broadcast(close)
     close = memories.select(*texts).join(close, "id").select(
         "query_id", "search_type_used", "rank", "similarity", *texts
     )
     latest = (
-        newest(memories, max_limit).select(*texts)
-        .orderBy(F.desc("created_at"), "id").limit(max_limit)
+        newest(memories, most_recent_rows).select(*texts)
+        .orderBy(F.desc("created_at"), "id").limit(most_recent_rows)
     )
-    # At most max_limit rows: one task may number them, and every task may hold them.
+    # As many rows as a request asks for; every task may hold them if they are few.
     numbered = latest.withColumn(
         "rank",
         F.row_number().over(Window.orderBy(F.desc("created_at"), "id")).cast("long"),
     )
+    if most_recent_rows <= MAX_BROADCAST_IDS:
+        numbered = F.broadcast(numbered)
     by_recency = (
         asked.where((F.col("search_type_used") == "recent") & (F.col("limit") > 0))
         .select(
@@ -163,7 +170,7 @@ def fetch_context(
             ).alias("rank"),
             F.lit(0.0).alias("similarity"),
         )
-        .join(F.broadcast(numbered), "rank")
+        .join(numbered, "rank")
         .select(close.columns)
     )
     return close.unionByName(by_recency)

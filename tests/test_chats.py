@@ -42,6 +42,16 @@ def test_chat_logs_and_text(conversations):
     )
 
 
+def test_parts_count_turns_and_not_their_numbers(spark):
+    rows = [(1, t * 10_000, "user", f"t{t}") for t in range(5)] + [(2, 7, "user", "only")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = chats.chat_logs(turns).orderBy("conv_id").collect()
+    assert [(r.conv_id, r.part, r.n_turns) for r in whole] == [(1, 0, 5), (2, 0, 1)]
+    parts = chats.chat_logs(turns, turns_per_part=2).orderBy("conv_id", "part").collect()
+    assert [(r.conv_id, r.part, r.chat_log) for r in parts] == [
+        (1, 0, ["user: t0", "user: t1"]), (1, 1, ["user: t2", "user: t3"]), (1, 2, ["user: t4"]), (2, 0, ["user: only"])]
+
+
 def test_long_conversations_continue_in_parts(conversations):
     logs = chats.chat_logs(conversations, turns_per_part=2).orderBy("conv_id", "part").collect()
     assert [(r.conv_id, r.part, r.n_turns) for r in logs] == [

@@ -276,8 +276,12 @@ def test_fetch_context(spark, memories):
         requests, search.fetch_context(memories, requests, 2).select("query_id")
     )
     assert {r.query_id: r.total_found for r in found.collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 0}
-    with pytest.raises(Exception, match="limit above 3"):
-        search.fetch_context(memories, requests, 2, max_limit=3).collect()
+    many = requests.withColumn("limit", F.lit(1000))
+    everything = search.fetch_context(memories, many, 2).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in everything}[2] == memories.count()
+    none = requests.withColumn("limit", F.lit(0))
+    assert search.fetch_context(memories, none, 2).count() == 0
+    assert search.fetch_context(memories, requests.limit(0), 2).count() == 0
 
 
 def test_workspace_uses_the_session_setting(spark):
