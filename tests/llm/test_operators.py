@@ -125,6 +125,26 @@ def test_lines_keep_the_first_of_similar_ones(spark, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_similar_lines_equal_brute_force(spark):
+    pick = random.Random(11)
+    known = ["".join(pick.choice("abcdefghilmnorstué") for _ in range(pick.randrange(2, 10))) for _ in range(400)]
+    rows = []
+    for n in [*range(3, 51)] * 2:
+        line = [pick.choice(known) for _ in range(n)]
+        at = pick.randrange(n)
+        letter = line[at][:-1] + "q" + line[at][len(line[at]) // 2 :]
+        rows += [" ".join(line), " ".join([*line[:at], pick.choice(known), *line[at + 1 :]]), " ".join([*line[:at], letter, *line[at + 1 :]])]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and lines.similar(rows[a], rows[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sum(r != i for i, r in enumerate(root)) > 150
+    assert {r.doc_id for r in got if r.n_removed} == {i for i, r in enumerate(root) if r != i}
+
+
 def test_edit_distance_equals_dynamic_programming():
     for _ in range(200):
         a, b = ("".join(RANDOM.choice("abc") for _ in range(RANDOM.randrange(12))) for _ in range(2))
