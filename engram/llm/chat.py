@@ -2,9 +2,9 @@
 
 Every turn becomes one segment of a conversation's stream, with its marks; every assistant turn
 is an example of its own, whose context is the stream before it and whose reply alone is
-trainable. Contexts of at most INLINE_CHARS characters stand in the example; longer ones are
-given by their length in the stream, which holds each turn once, so that a conversation of n
-turns does not take n * n space. Both are made in one pass over each conversation in order.
+trainable. Contexts of at most INLINE_CHARS characters stand in the example's row, longer ones
+whole in rows of at most so many characters before it. All are made in one pass over each
+conversation in order, so a conversation of n turns takes n * n space, as its examples do.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ START, MIDDLE, STOP = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 CONTROL = r"([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
 ESCAPED = r"([<\[])\\(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
 INLINE_CHARS = 4096
-FORMATTED = "conv_id long, role string, segment string, loss_start int, loss_end int, context_chars long, context string"
+#: Characters of a batch of rows, about.
+BATCH_CHARS = 4 << 20
+FORMATTED = "conv_id long, role string, segment string, loss_start int, loss_end int, context_chars long, context string, chunk int"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
@@ -52,20 +54,40 @@ def segments(turns: DataFrame) -> DataFrame:
 
 def with_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Segments in order to the same with the length of what precedes them, and for assistant
-    turns the preceding text itself if it is short. One conversation's open state is at most
-    INLINE_CHARS long."""
-    conv, length, recent = object(), 0, ""
+    turns the preceding text itself, after rows with its chunks if it is long. The open state is
+    the stream of one conversation."""
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
+    names = [f.split()[0] for f in FORMATTED.split(", ")]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    conv, length, full, last, out, held = object(), 0, [], "", [], 0
     for batch in batches:
-        sizes, contexts = [], []
-        for key, role, segment in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+        for key, role, segment, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
             if key != conv:
-                conv, length, recent = key, 0, ""
-            sizes.append(length)
-            contexts.append(recent if role == "assistant" and length == len(recent) else None)
-            length += len(segment)
-            recent = recent + segment if length <= INLINE_CHARS else ""
-        columns = [batch.column(i) for i in (0, 2, 3, 4, 5)] + [pa.array(sizes, pa.int64()), pa.array(contexts, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "role", "segment", "loss_start", "loss_end", "context_chars", "context"])
+                conv, length, full, last = key, 0, [], ""
+            context, chunk = None, 0
+            if role == "assistant" and not full:
+                context = last
+            elif role == "assistant":
+                for piece in (*full, last) if last else full:
+                    out.append((key, None, "", None, None, length, piece, chunk))
+                    chunk, held = chunk + 1, held + len(piece)
+                    if held >= BATCH_CHARS:
+                        yield batch_of(out)
+                        out, held = [], 0
+            out.append((key, role, segment, start, end, length, context, chunk))
+            held += len(segment) + len(context or "")
+            length, last = length + len(segment), last + segment
+            cut = (len(last) - 1) // INLINE_CHARS * INLINE_CHARS
+            full += [last[i : i + INLINE_CHARS] for i in range(0, cut, INLINE_CHARS)]
+            last = last[cut:]
+            if held >= BATCH_CHARS:
+                yield batch_of(out)
+                out, held = [], 0
+    if out:
+        yield batch_of(out)
 
 
 def expanded(turns: DataFrame) -> DataFrame:
@@ -73,8 +95,10 @@ def expanded(turns: DataFrame) -> DataFrame:
 
     A row per turn: its segment, and context_chars, the length of the stream before it. Rows of
     assistant turns are the examples: the reply lies at loss_start to loss_end of the segment,
-    the context is the first context_chars characters of the conversation's stream, given in
-    `context` where it is short. Ties of turn are ordered by role and text; a null turn comes
+    the context is the first context_chars characters of the conversation's stream. It stands in
+    `context` where it is short; else that is null, and rows without a role and with the same
+    conv_id and context_chars hold it, in the order of `chunk` (that of the example is their
+    number). Ties of turn are ordered by role and text; a null turn comes
     first, a null role or text is empty, null conv_ids are one conversation; repeated rows are
     repeated turns. Other columns are ignored; an empty table gives an empty one.
     """
@@ -83,8 +107,8 @@ def expanded(turns: DataFrame) -> DataFrame:
 
 
 def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ordered (conv_id, role, text, loss text, segment length) to a digest per conversation;
-    only its running hashes are held."""
+    """Ordered (conv_id, role, text, loss text, segment, context, is_chunk) to a digest per
+    conversation; only its running hashes are held."""
     conv, state, out = object(), None, []
 
     def closed():
@@ -95,18 +119,30 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split()[0] for f in DIGEST.split(", ")])
 
+    stream, context, size = hashlib.sha256(), hashlib.sha256(), 0
     for batch in batches:
-        for key, role, text, loss, size in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, role, text, loss, segment, piece, is_chunk in zip(*(c.to_pylist() for c in batch.columns)):
             if state is None or key != conv:
                 if state is not None:
                     out.append(closed())
                 conv, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                stream, context, size = hashlib.sha256(), hashlib.sha256(), 0
+            if piece is not None:
+                context.update(piece.encode())
+                size += len(piece)
+            if is_chunk:
+                continue
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
             if loss is not None:
+                if context.digest() != stream.digest():
+                    raise ValueError(f"an example of conversation {key} lacks a part of its context")
                 state[2] += len(loss)
                 state[3].update(loss.encode())
-            state[4] += size
+                state[4] = size
+                context, size = hashlib.sha256(), 0
+            stream.update(segment.encode())
+            state[4] += len(segment)
         if out:
             yield batch_of(out)
             out = []
@@ -115,13 +151,13 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what formatted rows say, from their segments and loss spans alone."""
+    """Digests of what formatted rows say: turns from their segments, loss and length from the
+    examples, whose contexts must be the turns before them."""
     role = F.expr(f"substring(segment, {len(START)} + 1, instr(segment, '{MIDDLE}') - {len(START)} - 1)")
     body = F.expr(f"substring(segment, instr(segment, '{MIDDLE}') + {len(MIDDLE)}, length(segment) - instr(segment, '{MIDDLE}') - {len(MIDDLE)} - {len(STOP)} + 1)")
     loss = F.expr("substring(segment, loss_start + 1, loss_end - loss_start)")
-    rows = formatted.select(
-        "conv_id", "context_chars", unescaped(role).alias("role"), unescaped(body).alias("text"), unescaped(loss).alias("loss"),
-        F.length("segment").alias("size"),
+    rows = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "context_chars", "chunk").select(
+        "conv_id", unescaped(role).alias("said_by"), unescaped(body).alias("text"), unescaped(loss).alias("loss"),
+        "segment", "context", F.col("role").isNull().alias("is_chunk"),
     )
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "context_chars")
-    return rows.drop("context_chars").mapInArrow(digests, DIGEST)
+    return rows.mapInArrow(digests, DIGEST)

@@ -216,6 +216,21 @@ def test_chat_round_trip_and_examples(spark):
     assert chat.expanded(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_examples_hold_their_whole_context(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t} é" * n) for c, n in ((1, 3), (2, 400), (3, 3000)) for t in range(9)]
+    out = chat.expanded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert all(len(r.context) <= chat.INLINE_CHARS for r in out if r.context is not None)
+    for conv in (1, 2, 3):
+        stream, examples = "", 0
+        for r in sorted((r for r in out if r.conv_id == conv and r.role is not None), key=lambda r: r.context_chars):
+            if r.role == "assistant":
+                pieces = sorted((p.chunk, p.context) for p in out if p.conv_id == conv and p.role is None and p.context_chars == r.context_chars)
+                assert (r.context if r.context is not None else "".join(p for _, p in pieces)) == stream
+                examples += 1
+            stream += r.segment
+        assert examples == 4
+
+
 def test_licenses(spark, empty):
     rows = [(1, "a GNU General\nPublic License b\nReleased under the MIT License."), (2, None), (3, "mit"), (None, "CC-BY"),
             (4, "Permission is granted, hereby, free of charge to any person obtaining a copy of this software and associated files")]
