@@ -1,10 +1,10 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates.
 
-A block is a line. It matches a template if it holds at least CONTAINMENT of the template's
-distinct words. Template words are ordered by how many documents of the corpus hold them, rarest
-first: a block that reaches the threshold holds one of the first size - need + 1 words (prefix
-filter), has at least `need` words (length filter), and after its first match in that order
-there are enough words left (positional filter). What passes is counted exactly.
+A block is a window of as many words as the template has, anywhere in a document and across its
+lines. It matches if it holds at least CONTAINMENT of the template's distinct words. Template
+words are ordered by how many documents of the corpus hold them, rarest first: a block that
+reaches the threshold holds one of the first size - need + 1 words (prefix filter), so only words
+near one of these are looked at; their windows are all counted exactly.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ class Template(NamedTuple):
     label: str
     ordered: np.ndarray
     need: int
+    words: int
 
 
 def hashes(text: str) -> np.ndarray:
@@ -75,27 +76,37 @@ def prepared(templates: dict[str, str], counts: dict[int, int], containment: flo
     out = []
     for label, text in templates.items():
         own = sorted({int(h) for h in hashes(text)}, key=lambda h: (counts[h], h))
-        out.append(Template(label, np.array(own, np.uint64), int(np.ceil(containment * len(own) - 1e-9))))
+        out.append(Template(label, np.array(own, np.uint64), int(np.ceil(containment * len(own) - 1e-9)), len(hashes(text))))
     return out
 
 
 def matches(found: words.Words, templates: list[Template]) -> Iterator[tuple[int, str, float]]:
-    """(row, label, containment) of every block that meets a template's threshold."""
-    breaks = np.flatnonzero(found.data == 10) + 1
-    line_start = np.unique(np.concatenate([found.row_start[:-1], breaks]))
-    line = np.searchsorted(line_start, found.start, "right") - 1
+    """(row, label, best containment) of every text with a block that meets a template's threshold."""
+    n = len(found.hash)
     for template in templates:
+        wide = template.words
         prefix = template.ordered[: len(template.ordered) - template.need + 1]
         seed = np.flatnonzero(np.isin(found.hash, prefix))
-        for block in np.unique(line[seed]).tolist():
-            a, b = np.searchsorted(line, [block, block + 1])
-            if b - a < template.need:
-                continue
-            held = np.isin(template.ordered, found.hash[a:b])
-            if len(held) - int(held.argmax()) < template.need:
-                continue
-            if held.sum() >= template.need:
-                yield int(np.searchsorted(found.first, a, "right")) - 1, template.label, float(held.sum() / len(held))
+        if not len(seed):
+            continue
+        open_at = np.bincount(np.maximum(seed - wide + 1, 0), minlength=n + 1) - np.bincount(np.minimum(seed + wide, n), minlength=n + 1)
+        near = np.flatnonzero(np.cumsum(open_at[:-1]) > 0)
+        known = np.sort(template.ordered)
+        slot = np.minimum(np.searchsorted(known, found.hash[near]), len(known) - 1)
+        hit = known[slot] == found.hash[near]
+        at, slot = near[hit], slot[hit]
+        order = np.argsort(slot, kind="stable")
+        at, slot = at[order], slot[order]
+        # A word is the first of its kind in the windows that begin after the one before it.
+        before = np.full(len(at), -1)
+        before[1:] = np.where(slot[1:] == slot[:-1], at[:-1], -1)
+        row = np.searchsorted(found.first, at, "right") - 1
+        start = np.maximum(np.maximum(before, at - wide) + 1, found.first[row])
+        held = np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(at + 1, minlength=n + 1))
+        block = np.flatnonzero(held >= template.need)
+        row = np.searchsorted(found.first, block, "right") - 1
+        for r in np.unique(row).tolist():
+            yield r, template.label, float(held[block[row == r]].max() / len(known))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:

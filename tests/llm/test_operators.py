@@ -241,6 +241,17 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_blocks_are_windows_of_words(spark):
+    notice = licenses.TEMPLATES["text:mit"].split()
+    wrapped = "\n".join("# " + " ".join(notice[i : i + 7]) for i in range(0, len(notice), 7))
+    scattered = " ".join(f"released {sentence(30)} under {sentence(30)} the {sentence(30)} license {sentence(30)} mit" for _ in range(3))
+    rows = [(1, sentence(9) + "\n" + wrapped + "\n" + sentence(9)), (2, scattered), (3, "released under"), (4, "the license"), (5, sentence(50) + " Released under the\nX license")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got[1].labels == "text:mit" and got[1].score == 1.0
+    assert [got[i].labels for i in (2, 3, 4)] == ["", "", ""]
+    assert got[5].labels == "notice:mit" and got[5].score == 0.8
+
+
 def test_rules_on_odd_tables(docs, empty):
     got = rules.judged(docs).collect()
     assert len(got) == len(CORPUS) and rules.judged(empty).count() == 0
