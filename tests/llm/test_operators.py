@@ -145,6 +145,14 @@ def test_similar_lines_equal_brute_force(spark):
     assert {r.doc_id for r in got if r.n_removed} == {i for i, r in enumerate(root) if r != i}
 
 
+def test_lines_of_scripts_without_spaces_go_too(spark):
+    said = ["利用規約に同意してください", "กรุณาเข้าสู่ระบบ", "Read more"]
+    rows = [(i, "\n".join([f"the own line of document {'abcd'[i] * 9}", *said])) for i in range(4)]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_lines == 3
+    assert all(got[i].n_removed == 2 and got[i].text.endswith("\nRead more") for i in (1, 2, 3))
+
+
 def test_edit_distance_equals_dynamic_programming():
     for _ in range(200):
         a, b = ("".join(RANDOM.choice("abc") for _ in range(RANDOM.randrange(12))) for _ in range(2))
