@@ -146,7 +146,32 @@ SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM rated r LEFT JOIN bounds b ON r.lang = b.lang AND r.source = b.source
 """
 
+OP13 = r"""
+WITH terms AS (
+  SELECT row_number() OVER () AS row_key, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents
+), totals AS (
+  SELECT count(*) FILTER (WHERE len(t) > 0)::BIGINT AS docs, sum(len(t))::BIGINT AS total FROM terms
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), counted AS (
+  SELECT row_key, doc_id, n, term, count(*)::BIGINT AS tf
+  FROM (SELECT row_key, doc_id, len(t)::BIGINT AS n, unnest(t) AS term FROM terms) GROUP BY ALL
+), weighed AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM counted, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, docs
+), scored AS (
+  SELECT item_id, row_key, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM counted JOIN weighed USING (term) JOIN asked USING (term), totals GROUP BY item_id, row_key, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 TWINS = {
     "op1_mix_sources": OP1, "op2_chat_format": OP2, "op3_jaccard_join": OP3, "op8_substring_dedup": OP8,
-    "op9_quality_rules": OP9, "op10_warc_revisits": OP10,
+    "op9_quality_rules": OP9, "op10_warc_revisits": OP10, "op13_ranked_search": OP13,
 }
