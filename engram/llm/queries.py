@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm import chat, decontamination, jaccard, lexical, licenses, lines, mixing, quality, rules, substrings, warc
+from engram.llm import chat, decontamination, jaccard, lexical, licenses, lines, mixing, neighbours, quality, rules, substrings, variants, warc
 from engram.sources.workspace import new_path, written
 
 
@@ -68,6 +68,15 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -76,6 +85,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_chat_format, op3_jaccard_join, op4_decontaminate, op5_license_scan, op6_line_dedup,
-        op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_warc_revisits, op13_ranked_search,
+        op7_quality_classifier, op8_substring_dedup, op9_quality_rules, op10_warc_revisits,
+        op11_nearest_neighbours, op12_spelling_variants, op13_ranked_search,
     )
 }
