@@ -34,10 +34,8 @@ TABLES = 8
 SEED = 20240601
 #: Vectors of a group of cells, and of a block; queries of a block.
 GROUP, BLOCK, ASKED = 8_192, 32_768, 8_192
-#: Pairs scored at once.
-PAIRS = 1 << 18
-#: Scores closer than this are worked out again, row by row, before they are ranked.
-SPARE = 1e-9
+#: Pairs scored at once, and vectors hashed at once.
+PAIRS, SLICE = 1 << 17, 512
 
 HITS = "query_id long, vec_id long, score double"
 HIT_TYPES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -137,34 +135,28 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
-def best_of(query: np.ndarray, vec: np.ndarray, score: np.ndarray, limit: int, spare: float = 0.0) -> np.ndarray:
-    """Places of the `limit` best pairs of each query, and of any within `spare` of the last."""
+def best_of(query: np.ndarray, vec: np.ndarray, score: np.ndarray, limit: int) -> np.ndarray:
+    """Places of the `limit` best pairs of each query."""
     order = np.lexsort((vec, -score, query))
     q = query[order]
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else q
-    size = np.diff(np.append(first, len(q)))
-    place = np.arange(len(q)) - np.repeat(first, size)
-    last = score[order][first + np.minimum(size, limit) - 1]
-    return order[(place < limit) | (score[order] >= np.repeat(last - spare, size)) & (spare > 0)]
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return order[place < limit]
 
 
 def scored(asked: np.ndarray, asked_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, pairs: Iterator, limit: int) -> pa.Table:
     """The best candidates of each query among pairs (places of queries, places of rows): cosines
-    in double precision, each worked out by itself, so that equal vectors score alike."""
-    norms, own = np.sqrt((rows * rows).sum(axis=1)), np.sqrt((asked * asked).sum(axis=1))
+    in double precision, each summed by itself, so that equal vectors score alike."""
+    norms, own = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (rows, asked))
     best_q, best_v, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     for q, v in pairs:
         other = asked_ids[q] != ids[v]
         q, v = q[other], v[other]
         score = np.einsum("ij,ij->i", asked[q], rows[v]) / (own[q] * norms[v])
         q, v, score = np.append(best_q, q), np.append(best_v, v), np.append(best_s, score)
-        keep = best_of(q, ids[v], score, limit, SPARE)
+        keep = best_of(asked_ids[q], ids[v], score, limit)
         best_q, best_v, best_s = q[keep], v[keep], score[keep]
-    exact = (asked[best_q] * rows[best_v]).sum(axis=1) / (own[best_q] * norms[best_v])
-    keep = best_of(best_q, ids[best_v], exact, limit)
-    return pa.table({
-        "query_id": asked_ids[best_q[keep]], "vec_id": ids[best_v[keep]], "score": exact[keep],
-    }, schema=HIT_TYPES)
+    return pa.table({"query_id": asked_ids[best_q], "vec_id": ids[best_v], "score": best_s}, schema=HIT_TYPES)
 
 
 def all_pairs(asked: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -200,7 +192,7 @@ def against(batches: Iterator[pa.RecordBatch], asked: np.ndarray, asked_ids: np.
 def routed(batches: Iterator[pa.RecordBatch], dimension: int, turns: int, groups: int, probes: int) -> Iterator[pa.RecordBatch]:
     """(vec_id, embedding) to one row per table and group of cells: with its own cell, or with
     the cells that it probes if there are `probes`."""
-    for batch in batches:
+    for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
         rows = matrix(batch.column(1), dimension)
         units = rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         for table in range(TABLES):
@@ -240,7 +232,8 @@ def probes_for(rows: DataFrame, asked: DataFrame, dimension: int, turns: int, li
         return 1
     vectors, ids = matrix(sample["embedding"].combine_chunks(), dimension), sample["vec_id"].to_numpy()
     close = rows.mapInArrow(partial(against, asked=vectors, asked_ids=ids, limit=limit), HITS)
-    close = top(close, limit).join(rows.distinct(), "vec_id").select("query_id", "embedding").toArrow()
+    # SAMPLE * limit rows at most.
+    close = rows.join(F.broadcast(top(close, limit)), "vec_id").select("query_id", "embedding").toArrow()
     if not close.num_rows:
         return 1
     order = np.argsort(ids, kind="stable")
