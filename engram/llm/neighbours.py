@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram.sources.workspace import written
 
@@ -30,16 +31,18 @@ LIMIT = 5
 TARGET = 0.96
 #: Queries in the sample, the ones with the lowest hash of their id.
 SAMPLE = 256
-TABLES = 8
+TABLES = 4
 SEED = 20240601
 #: Vectors of a group of cells, and of a block; queries of a block.
 GROUP, BLOCK, ASKED = 8_192, 32_768, 8_192
+#: Blocks are counted on one in so many rows, by hash.
+COUNTED = 16
 #: Pairs scored at once, and vectors hashed at once.
 PAIRS, SLICE = 1 << 17, 512
 
 HITS = "query_id long, vec_id long, score double"
 HIT_TYPES = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-ROUTED = "vec_id long, embedding array<double>, table int, part int, codes array<int>"
+ROUTED = "vec_id long, embedding array<{}>, table int, part int, codes array<int>"
 
 
 def usable(vector: Column) -> Column:
@@ -252,23 +255,30 @@ def top(hits: DataFrame, limit: int) -> DataFrame:
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def in_blocks(mine: DataFrame, asked: DataFrame, compare, vectors: int = BLOCK, queries: int = ASKED) -> DataFrame:
-    """Rows and queries of the same (table, part) meet in pairs of blocks of bounded size."""
+def in_blocks(mine: DataFrame, asked: DataFrame, route, probe, compare, vectors: int = BLOCK, queries: int = ASKED) -> DataFrame:
+    """Rows and queries, each routed to (table, part), meet in pairs of blocks of bounded size.
+
+    How many blocks a part has is counted on a share of the rows, so that few vectors are hashed
+    twice; a part that the share misses is one block."""
     keys = ["table", "part"]
 
-    def sizes(side: DataFrame, most: int, name: str) -> DataFrame:
-        return side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    def sizes(side: DataFrame, routing, most: int, name: str) -> DataFrame:
+        share = routing(side.where(F.pmod(F.xxhash64("embedding", "vec_id"), F.lit(COUNTED)) == 0))
+        return share.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * COUNTED / most).cast("int").alias(name))
 
     # One row per group of cells.
-    blocks = sizes(mine, vectors, "m").join(sizes(asked, queries, "n"), keys)
+    blocks = written(sizes(mine, route, vectors, "m").join(sizes(asked, probe, queries, "n"), keys, "full"), "neighbours-blocks")
 
     def dealt(side: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
-        return side.join(blocks, keys).select(
-            *keys, F.pmod(F.xxhash64("vec_id", "embedding"), F.col(own_blocks)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)).alias(other), "vec_id", "embedding", "codes",
+        def count(name: str) -> Column:
+            return F.coalesce(name, F.lit(1))
+
+        return side.join(blocks, keys, "left").select(
+            *keys, F.pmod(F.xxhash64("vec_id", "embedding"), count(own_blocks)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), count(other_blocks) - 1)).alias(other), "vec_id", "embedding", "codes",
         )
 
-    left, right = dealt(mine, "a", "m", "b", "n"), dealt(asked, "b", "n", "a", "m")
+    left, right = dealt(route(mine), "a", "m", "b", "n"), dealt(probe(asked), "b", "n", "a", "m")
     cell = [*keys, "a", "b"]
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(compare, HITS)
 
@@ -287,7 +297,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataF
     spark = vectors.sparkSession
 
     def clean(table: DataFrame) -> DataFrame:
-        table = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+        kind = table.schema["embedding"].dataType.elementType
+        kind = "float" if isinstance(kind, T.FloatType) else "double"
+        table = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"))
         return table.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
 
     rows, asked = clean(vectors), clean(queries)
@@ -301,11 +313,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataF
     turns = 2 if count > width**1.5 else 1
     probes = probes_for(rows, asked, dimension, turns, limit)
     groups = int(min(width**turns, -(-count // GROUP)))
-    route = partial(routed, dimension=dimension, turns=turns, groups=groups)
-    mine = rows.mapInArrow(partial(route, probes=0), ROUTED)
-    probing = asked.mapInArrow(partial(route, probes=probes), ROUTED)
-    compare = partial(met, dimension=dimension, limit=limit)
-    found = written(top(in_blocks(mine, probing, lambda a, b: compare(a, b)), limit), "neighbours")
+
+    def to_cells(probes: int):
+        run = partial(routed, dimension=dimension, turns=turns, groups=groups, probes=probes)
+        return lambda side: side.mapInArrow(run, ROUTED.format(side.schema["embedding"].dataType.elementType.simpleString()))
+
+    def compare(mine: pa.Table, asked: pa.Table) -> pa.Table:
+        return met(mine, asked, dimension, limit)
+
+    found = written(top(in_blocks(rows, asked, to_cells(0), to_cells(probes), compare), limit), "neighbours")
     # All candidates are due to a query that met fewer than `limit`.
     enough = found.groupBy("query_id").count().where(F.col("count") >= limit)
     starved = asked.join(enough, asked.vec_id == enough.query_id, "left_anti")
@@ -315,5 +331,5 @@ def nearest(vectors: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataF
     def whole(table: DataFrame) -> DataFrame:
         return table.select("*", F.lit(0).alias("table"), F.lit(0).alias("part"), F.array(F.lit(0)).alias("codes"))
 
-    rest = top(in_blocks(whole(rows), whole(starved), lambda a, b: compare(a, b)), limit)
+    rest = top(in_blocks(rows, starved, whole, whole, compare), limit)
     return found.join(starved.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
