@@ -64,11 +64,11 @@ class Fixtures:
         return store.build_memories(self.raw_memories(self.texts()), AS_OF)
 
     def raw_tags(self) -> DataFrame:
-        """Tags as they arrive: of labelled documents their language and quality, and of
-        users the type of each of their events, so with very many repeats."""
-        labelled = self.table("documents").join(self.table("labels"), "doc_id")
-        quality = F.when(F.col("quality") == 1, "good").otherwise("poor")
-        given = F.array(F.col("lang"), quality)
+        """Tags as they arrive: of documents their language and, where they are labelled, quality,
+        and of users the type of each of their events, so with very many repeats."""
+        labelled = self.table("documents").join(self.table("labels"), "doc_id", "left")
+        quality = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+        given = F.array_compact(F.array(F.col("lang"), quality))
         return (
             labelled.select(F.col("doc_id").alias("memory_id"), F.explode(given).alias("tag"))
             .withColumn("created_at", F.to_timestamp(F.lit("2024-01-01")))

@@ -16,7 +16,10 @@ from engram import schema
 from engram.catalog.fixtures import AS_OF, DIMENSION, QUERY_VECTOR, Fixtures
 from engram.functions import summaries, vectors
 from engram.functions import text as tx
-from engram.operators import aggregates, ann, chats, filters, fulltext, fuzzy, knn, ranking, store
+from engram.operators import (
+    aggregates, ann, chats, embedder, filters, fulltext, fuzzy, knn, lists, ranking, store,
+)
+from engram.operators import summarizer as chats_summarizer
 from engram.plans import memorize, search
 from engram.sources import tables
 from engram.sources.workspace import new_path
@@ -32,6 +35,11 @@ FUZZY_QUERY = "than there and the nation"
 IVF_PROBES, LSH_TABLES, LSH_BITS = 3, 8, 4
 TURNS_PER_PART = 2
 INSERTED_FROM = 1_000_000_000
+EARLY_SOURCES, STORE_BUCKETS = "src4", 8
+# Conversation n is given the vector n - FIRST_VECTOR_OF, so that the first ones have none.
+FIRST_VECTOR_OF = 10
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+REFUSED_LETTER, REFUSED_PROMPT = "@", "tion."
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -101,6 +109,21 @@ def store_memories(f):
     )
 
 
+@query
+def store_batches(f):
+    """The documents arrive in three batches: some, all of them twice, and the first again."""
+    path, rows = new_path(f.spark, "stored"), document_rows(f)
+    early = rows.where(F.col("source") < EARLY_SOURCES)
+    store.store_batch(early, path, DIMENSION, "a", STORE_BUCKETS)
+    late = store.store_batch(rows.unionByName(rows), path, DIMENSION, "b", STORE_BUCKETS)
+    store.store_batch(early, path, DIMENSION, "a", STORE_BUCKETS)
+    stored = f.spark.read.parquet(path).select(
+        "id", F.lit(1).cast("long").alias("n"), F.concat(F.lit("in batch "), "batch_id").alias("what")
+    )
+    refused = late.refused.select("id", "n", F.col("error").alias("what"))
+    return stored.unionByName(refused).groupBy("id", "what").agg(F.sum("n").alias("n"))
+
+
 @query
 def validate_memories(f):
     return store.validate(document_rows(f), DIMENSION).select("id", "error")
@@ -108,10 +131,10 @@ def validate_memories(f):
 
 @query
 def tag_explode(f):
-    labelled = f.table("documents").join(f.table("labels"), "doc_id")
+    labelled = f.table("documents").join(f.table("labels"), "doc_id", "left")
+    judged = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
     return store.explode_tags(
-        labelled.withColumnRenamed("doc_id", "id"),
-        F.array("lang", "source", F.when(F.col("toxic") == 1, "toxic").otherwise("clean")),
+        labelled.withColumnRenamed("doc_id", "id"), F.array_compact(F.array("lang", "source", judged))
     )
 
 
@@ -678,7 +701,7 @@ def fetch_context(f):
 
 @query
 def summarize_chats(f):
-    return chats.summarize_chats(f.conversations())
+    return chats.summarize_chats(f.conversations()).drop("summarize_error")
 
 
 @query
@@ -700,6 +723,87 @@ def embed_texts(f):
     )
 
 
+def letter_model():
+    """A user's model, as a task loads it: letter counts, and an error on some texts."""
+
+    def model(texts):
+        if any(REFUSED_LETTER in text for text in texts):
+            raise ValueError(f"a text holds {REFUSED_LETTER}")
+        return [[float(text.count(letter)) for letter in LETTERS] for text in texts]
+
+    return model
+
+
+@query
+def embed_provided(f):
+    """Whole documents embedded by a user's own model."""
+    documents = f.texts().select(F.col("doc_id").alias("id"), "text")
+    embedded = chats.embed_texts(documents, embedder.provided(letter_model, len(LETTERS)))
+    cells = F.transform("embedding", lambda x: F.floor(x * 10000.0 + 0.501).cast("string"))
+    return embedded.select(
+        "id", "embed_error", vectors.vector_dim(F.col("embedding")).alias("dimension"),
+        F.array_join(cells, " ").alias("weights"),
+    )
+
+
+def given_vectors(f: Fixtures) -> Callable[[DataFrame], DataFrame]:
+    """Vectors of the embeddings table for conversations."""
+    table = f.table("embeddings").select((F.col("vec_id") + FIRST_VECTOR_OF).alias("conv_id"), "embedding")
+    return embedder.joined(table, "conv_id", DIMENSION)
+
+
+@query
+def ingest_given_vectors(f):
+    """Conversations stored with the given vectors; those without one are rejected, row by row."""
+    done = memorize.ingest_conversations(
+        f.conversations(), AS_OF, dimension=DIMENSION, model=given_vectors(f)
+    )
+    stored = done.memories.select(
+        F.col("id").alias("memory_id"), F.lit(None).cast("string").alias("error"), "heading",
+        vectors.vector_dim(F.col("embedding")).alias("dimension"),
+        F.round(F.array_max("embedding").cast("double"), 6).alias("largest"),
+    )
+    return stored.unionByName(
+        done.rejected.select(
+            F.col("id").alias("memory_id"), "error", "heading", F.lit(None).cast("long").alias("dimension"),
+            F.lit(None).cast("double").alias("largest"),
+        )
+    )
+
+
+@query
+def memory_pipeline(f):
+    """The steps of every conversation. The benchmark items are announced as conversations but
+    have no message, so their first step fails; some others have no vector."""
+    announced = f.table("benchmark").select((F.col("item_id") + INSERTED_FROM).alias("conv_id"))
+    turns = f.conversations().unionByName(announced, allowMissingColumns=True)
+    steps = memorize.memorize_chats(turns, AS_OF, DIMENSION, given_vectors(f))
+    return steps.select(
+        "conv_id", F.col("id").alias("memory_id"), "heading", "summary", "n_turns",
+        vectors.vector_dim(F.col("embedding")).alias("embedding_dimension"), "summarize_done",
+        "summarize_error", "embed_done", "embed_error", "store_done", "store_error", "error",
+    )
+
+
+def last_speaker_model():
+    """A user's model for summaries, as a task loads it: the last line of the prompt's chat is
+    the heading, its number of lines the summary; it fails on some."""
+
+    def model(prompts):
+        if any(REFUSED_PROMPT in prompt for prompt in prompts):
+            raise ValueError(f"a prompt holds {REFUSED_PROMPT}")
+        chats_only = [p.split("Chat Log:\n", 1)[1].rsplit("\n\nAnswer with", 1)[0] for p in prompts]
+        return [f"Heading: {c.rsplit(': ', 1)[0].rsplit(chr(10), 1)[-1]}\nSummary:\n{c.count(chr(10))} breaks" for c in chats_only]
+
+    return model
+
+
+@query
+def summarize_provided(f):
+    """Whole conversations summarised by a user's own model."""
+    return chats_summarizer.provided(last_speaker_model)(f.conversations())
+
+
 @query
 def memorize_chats(f):
     return memorize.memorize_chats(f.conversations(), AS_OF).select(
@@ -732,60 +836,133 @@ def ingest_conversations(f):
     )
 
 
+@query
+def remember_conversations(f):
+    """Conversations with tags and metadata stored twice under two batch ids, then found again
+    by project, tag and date."""
+    turns = f.conversations()
+    done = memorize.ingest_conversations(
+        turns, AS_OF, dimension=DIMENSION, model=given_vectors(f),
+        tags=turns.select("conv_id", F.col("role").alias("tag")),
+        metadata=turns.select("conv_id", F.lit("project").alias("key"), F.col("role").alias("value")),
+    )
+    path = new_path(f.spark, "remembered")
+    for batch_id in ("monday", "tuesday"):
+        memorize.remember(done, path, batch_id, STORE_BUCKETS)
+    memories = tables.scan_memories(f.spark, f"{path}/memories")
+    tags = tables.scan_tags(f.spark, f"{path}/tags")
+    metadata = tables.scan_metadata(f.spark, f"{path}/metadata")
+    kept = filters.by_dates(memories, AS_OF, AS_OF)
+    kept = filters.by_any_tag(filters.by_project(kept, metadata, "user"), tags, ["user", "assistant"])
+    rows = kept.select(F.col("id").alias("memory_id"), F.lit("memory").alias("kind"), F.col("heading").alias("value"), "created_at", "batch_id")
+    rows = rows.unionByName(
+        tags.select("memory_id", F.lit("tag").alias("kind"), F.col("tag").alias("value"), "created_at", "batch_id")
+    ).unionByName(
+        metadata.select("memory_id", F.col("key").alias("kind"), "value", "created_at", "batch_id")
+    )
+    return rows.withColumn("created_at", iso("created_at"))
+
+
+def vector_lists(f: Fixtures) -> lists.Lists:
+    return lists.build(f.stored_vectors(), DIMENSION)
+
+
 @query
 def ann_ivf_build(f):
-    vectors_table = f.table("embeddings").withColumnRenamed("vec_id", "id")
-    centroids = ann.mean_centroids(vectors_table, "label")
-    path = new_path(f.spark, "ivf")
-    ann.build_ivf(vectors_table, centroids, DIMENSION, path)
-    index = f.spark.read.parquet(path)
-    sizes = index.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_vectors"))
-    return centroids.join(sizes, "list_id", "left").select(
+    """Lists drawn in two levels, stored and read back."""
+    built, path = vector_lists(f), new_path(f.spark, "lists")
+    lists.write(built, path)
+    sizes = f.spark.read.parquet(path).groupBy("list_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+    return built.centroids.join(sizes, "list_id", "left").select(
         "list_id",
         F.coalesce("n_vectors", F.lit(0).cast("long")).alias("n_vectors"),
         F.round(vectors.l2_norm(F.col("centroid")), 5).alias("centroid_norm"),
     )
 
 
-def ivf_hits(f: Fixtures) -> DataFrame:
-    centroids = ann.mean_centroids(f.table("embeddings"), "label")
-    path = new_path(f.spark, "ivf")
-    ann.build_ivf(f.stored_vectors(), centroids, DIMENSION, path)
-    return ann.search_ivf(
-        f.spark.read.parquet(path), centroids, f.vector_queries(), DIMENSION, IVF_PROBES,
-        exclude_self=True,
-    )
+def ivf_hits(f: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """Hits, and how many pairs were scored for them."""
+    built, asked = vector_lists(f), f.vector_queries()
+    probes = lists.probes_for(built, asked, DIMENSION, exclude_self=True)
+    hits = lists.search(built, asked, DIMENSION, probes, exclude_self=True)
+    return hits, lists.pairs_met(built, asked, DIMENSION, probes)
 
 
-def lsh_hits(f: Fixtures) -> DataFrame:
-    return ann.search_lsh(
-        f.stored_vectors(), f.vector_queries(), DIMENSION, LSH_TABLES, LSH_BITS,
-        exclude_self=True,
+def lsh_hits(f: Fixtures) -> tuple[DataFrame, DataFrame]:
+    memories, asked = f.stored_vectors(), f.vector_queries()
+    bits = ann.bits_for(memories.count())
+    probes = ann.lsh_probes_for(memories, asked, DIMENSION, LSH_TABLES, bits, exclude_self=True)
+    hits = ann.search_lsh(
+        memories, asked, DIMENSION, LSH_TABLES, bits, exclude_self=True, probes=probes
     )
+    return hits, ann.lsh_pairs_met(memories, asked, DIMENSION, LSH_TABLES, bits, probes)
 
 
 def exact_hits(f: Fixtures) -> DataFrame:
     return knn.nearest(f.stored_vectors(), f.vector_queries(), DIMENSION, exclude_self=True)
 
 
+def recall_and_pairs(f: Fixtures, hits: DataFrame, met: DataFrame) -> DataFrame:
+    """One row of counts beside one row of counts."""
+    share = F.round(F.col("pairs_met") / F.col("pairs"), schema.SIMILARITY_DECIMALS)
+    return ann.recall(exact_hits(f), hits).join(F.broadcast(met.withColumn("share_met", share)))
+
+
 @query
 def ann_ivf_search(f):
-    return ivf_hits(f)
+    return ivf_hits(f)[0]
 
 
 @query
 def ann_lsh_search(f):
-    return lsh_hits(f)
+    return lsh_hits(f)[0]
 
 
 @query
 def ann_ivf_recall(f):
-    return ann.recall(exact_hits(f), ivf_hits(f))
+    return recall_and_pairs(f, *ivf_hits(f))
 
 
 @query
 def ann_lsh_recall(f):
-    return ann.recall(exact_hits(f), lsh_hits(f))
+    return recall_and_pairs(f, *lsh_hits(f))
+
+
+@query
+def ann_given_lists_build(f):
+    """Lists around given centroids: the mean vectors of the labels."""
+    vectors_table = f.table("embeddings").withColumnRenamed("vec_id", "id")
+    centroids = ann.mean_centroids(vectors_table, "label")
+    path = new_path(f.spark, "ivf")
+    ann.build_ivf(vectors_table, centroids, DIMENSION, path)
+    index = f.spark.read.parquet(path)
+    sizes = index.groupBy("list_id").agg(F.count(F.lit(1)).alias("n_vectors"))
+    return centroids.join(sizes, "list_id", "left").select(
+        "list_id",
+        F.coalesce("n_vectors", F.lit(0).cast("long")).alias("n_vectors"),
+        F.round(vectors.l2_norm(F.col("centroid")), 5).alias("centroid_norm"),
+    )
+
+
+@query
+def ann_given_lists_search(f):
+    """The few closest of the given lists."""
+    centroids = ann.mean_centroids(f.table("embeddings"), "label")
+    path = new_path(f.spark, "ivf")
+    ann.build_ivf(f.stored_vectors(), centroids, DIMENSION, path)
+    return ann.search_ivf(
+        f.spark.read.parquet(path), centroids, f.vector_queries(), DIMENSION, IVF_PROBES,
+        exclude_self=True,
+    )
+
+
+@query
+def ann_one_bucket_search(f):
+    """Only the bucket that a query is in itself, of few and large ones."""
+    return ann.search_lsh(
+        f.stored_vectors(), f.vector_queries(), DIMENSION, LSH_TABLES, LSH_BITS,
+        exclude_self=True,
+    )
 
 
 # Streams, run until all present input is processed.

@@ -7,7 +7,7 @@ from engram.catalog import queries as q
 from engram.catalog.fixtures import AS_OF, DIMENSION
 from engram.functions import summaries
 from engram.functions import text as tx
-from engram.operators import chats
+from engram.operators import ann, chats, lists
 
 # The memory tables, as in fixtures.py.
 MEMORIES = f"""
@@ -25,7 +25,7 @@ memories AS (
   LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 RAW_TAGS = """
 raw_tags AS (
-  SELECT doc_id AS memory_id, lang AS tag FROM documents JOIN labels USING (doc_id)
+  SELECT doc_id AS memory_id, lang AS tag FROM documents
   UNION ALL
   SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END
   FROM documents JOIN labels USING (doc_id)
@@ -149,7 +149,7 @@ found AS (
 
 DOCUMENT_ROWS = r"""
 document_rows AS (
-  SELECT sha256(concat_ws(chr(1), doc_id::VARCHAR, text)) AS id,
+  SELECT sha256(concat_ws(chr(1), doc_id::VARCHAR, text)) AS id, source,
          CASE WHEN trim(regexp_extract(text, '^[^.!?\n]*')) = '' THEN 'heading is required'
               WHEN text = '' THEN 'summary is required'
               WHEN n_chars / 2000.0 > 1 THEN 'importance_score must be between 0 and 1'
@@ -218,6 +218,89 @@ RECALL = """SELECT count(*) AS exact_hits, count(h.id) AS found_hits,
   round(count(h.id) / count(*), 6) AS recall
   FROM exact e LEFT JOIN hits h ON h.query_id = e.query_id AND h.id = e.id"""
 
+HASH = "('0x' || substr(md5({}::VARCHAR), 1, 8))::BIGINT"
+SAMPLED = f"sampled AS (SELECT vec_id FROM embeddings ORDER BY {HASH.format('vec_id')}, vec_id LIMIT {lists.SAMPLE})"
+
+
+def disc(values: str, column: str) -> str:
+    """The least value that TARGET of the values do not exceed."""
+    return f"""(SELECT min({column}) AS p FROM (
+      SELECT {column}, cume_dist() OVER (ORDER BY {column}) AS share FROM {values})
+      WHERE share >= {lists.TARGET})"""
+
+
+def closest(rows: str, centroids: str, part: str = "") -> str:
+    same = f" AND v.{part} = l.{part}" if part else ""
+    return f"""SELECT v.id, v.v, v.h, l.list_id{f', l.{part}' if part else ''}
+  FROM {rows} v JOIN {centroids} l ON true{same}
+  QUALIFY row_number() OVER (PARTITION BY v.id
+    ORDER BY round(list_cosine_similarity(v.v, l.c), 6) DESC, l.list_id) = 1"""
+
+
+def means(members: str, part: str = "") -> str:
+    key = "list_id" + (f", {part}" if part else "")
+    return f"""SELECT {key}, list(m ORDER BY p) AS c
+  FROM (SELECT {key}, p, round(avg(x), {lists.CENTROID_DECIMALS}) AS m
+        FROM (SELECT {key}, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM {members})
+        GROUP BY {key}, p) GROUP BY {key}"""
+
+
+LISTS = f"""
+vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, {HASH.format('vec_id')} AS h FROM embeddings),
+sizes AS (SELECT count(*) AS n,
+  greatest({lists.LEAST_ROWS}, floor(sqrt(count(*)))::BIGINT // {lists.ROOT_SHARE}) AS per FROM vecs),
+tops0 AS (SELECT row_number() OVER (ORDER BY h, id) AS list_id, v AS c FROM vecs
+  QUALIFY list_id <= (SELECT ceil(sqrt(n / per)) FROM sizes)),
+m0 AS ({closest('vecs', 'tops0')}),
+tops1 AS ({means('m0')}),
+m1 AS ({closest('vecs', 'tops1')}),
+parted AS (SELECT id, v, h, list_id AS part FROM m1),
+lists0 AS (
+  SELECT part, c, row_number() OVER (ORDER BY part, name) AS list_id FROM (
+    SELECT part, id::VARCHAR AS name, v AS c FROM parted, sizes WHERE h < floor(4294967296 / per)
+    UNION ALL SELECT list_id, '', c FROM tops1)),
+m2 AS ({closest('parted', 'lists0', 'part')}),
+lists1 AS ({means('m2', 'part')}),
+m3 AS ({closest('parted', 'lists1', 'part')})"""
+LISTS_HITS = f"""
+ranks AS (SELECT v.id AS query_id, l.list_id, row_number() OVER (PARTITION BY v.id
+    ORDER BY round(list_cosine_similarity(v.v, l.c), 6) DESC, l.list_id) AS rank FROM vecs v, lists1 l),
+{SAMPLED},
+places_at AS (SELECT r.rank FROM exact e JOIN sampled s ON s.vec_id = e.query_id JOIN m3 m ON m.id = e.id
+  JOIN ranks r ON r.query_id = e.query_id AND r.list_id = m.list_id),
+probes AS {disc('places_at', 'rank')},""" + best("hits", f"""
+  SELECT r.query_id, m.id, {cosine('q.v', 'm.v')} AS similarity
+  FROM ranks r JOIN m3 m ON r.list_id = m.list_id JOIN vecs q ON q.id = r.query_id, probes
+  WHERE r.rank <= p AND m.id <> r.query_id""", LIMIT, THRESHOLD)
+BUCKETS = f"""
+sizes AS (SELECT greatest(1, floor(log2(count(*) / {ann.ROWS_PER_BUCKET})))::INT AS bits FROM embeddings),
+planes AS (
+  SELECT t, b, list(CASE WHEN substr(md5(t || '-' || b || '-' || d), 1, 1) < '8'
+                         THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS plane
+  FROM range({q.LSH_TABLES}) x(t), range(30) y(b), range({DIMENSION}) z(d), sizes WHERE b < bits
+  GROUP BY t, b),
+margins AS (SELECT vec_id, t, b, list_dot_product(embedding::DOUBLE[], plane) AS m FROM embeddings, planes),
+own AS (SELECT vec_id, t, sum(CASE WHEN m >= 0 THEN 1 << b::INT ELSE 0 END)::BIGINT AS bucket
+  FROM margins GROUP BY vec_id, t),
+near AS (
+  SELECT vec_id, t, bucket, row_number() OVER (PARTITION BY vec_id, t ORDER BY cost, bucket) AS probe
+  FROM (SELECT vec_id, t, x.bucket, sum(CASE WHEN (m >= 0) <> ((x.bucket >> b::INT) & 1 = 1) THEN abs(m) ELSE 0 END) AS cost
+        FROM margins, sizes, range(1 << 16) x(bucket) WHERE x.bucket < (1 << bits) GROUP BY vec_id, t, x.bucket))"""
+BUCKETS_HITS = f"""
+{SAMPLED},
+places_at AS (SELECT e.query_id, e.id, min(n.probe) AS probe FROM exact e JOIN sampled s ON s.vec_id = e.query_id
+  JOIN own o ON o.vec_id = e.id JOIN near n ON n.vec_id = e.query_id AND n.t = o.t AND n.bucket = o.bucket
+  GROUP BY e.query_id, e.id),
+probes AS {disc('places_at', 'probe')},
+met_pairs AS (SELECT DISTINCT n.vec_id AS query_id, o.vec_id AS id FROM near n JOIN own o
+  ON n.t = o.t AND n.bucket = o.bucket AND n.vec_id <> o.vec_id, probes WHERE n.probe <= p),""" + best("hits", f"""
+  SELECT query_id, id, {cosine('a.embedding', 'b.embedding')} AS similarity
+  FROM met_pairs JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id""", LIMIT, THRESHOLD)
+RECALL_AND_PAIRS = """SELECT *, round(pairs_met / pairs, 6) AS share_met FROM (
+  SELECT count(*) AS exact_hits, count(h.id) AS found_hits, round(count(h.id) / count(*), 6) AS recall
+  FROM exact e LEFT JOIN hits h ON h.query_id = e.query_id AND h.id = e.id), met,
+  (SELECT count(*) * count(*) AS pairs FROM embeddings)"""
+
 LINES = """
 lines AS (SELECT conv_id, turn, role || ': ' || text AS line FROM conversations),
 logs AS (
@@ -285,9 +368,9 @@ TWINS: dict[str, str] = {
     "store_memories": f"""WITH {DOCUMENT_ROWS}
       SELECT id AS memory_id FROM document_rows WHERE error IS NULL""",
     "validate_memories": f"WITH {DOCUMENT_ROWS} SELECT id, error FROM document_rows",
-    "tag_explode": """SELECT doc_id AS memory_id, unnest([lang, source,
-      CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END]) AS tag
-      FROM documents JOIN labels USING (doc_id)""",
+    "tag_explode": """SELECT doc_id AS memory_id, unnest(list_filter([lang, source,
+      CASE toxic WHEN 1 THEN 'toxic' WHEN 0 THEN 'clean' END], lambda x: x IS NOT NULL)) AS tag
+      FROM documents LEFT JOIN labels USING (doc_id)""",
     "metadata_explode": """SELECT doc_id AS memory_id, 'lang' AS key, to_json(lang)::VARCHAR AS value
       FROM documents UNION ALL SELECT doc_id, 'project', to_json(source)::VARCHAR FROM documents""",
     "tags_dedup": f"WITH {TAGS} SELECT memory_id, tag FROM tags",
@@ -614,22 +697,86 @@ TWINS: dict[str, str] = {
       UNION ALL SELECT DISTINCT memory_id, 'tag', role FROM ids JOIN conversations USING (conv_id)
       UNION ALL SELECT memory_id, 'last_turn', to_json(max(turn)::VARCHAR)::VARCHAR
         FROM ids JOIN conversations USING (conv_id) GROUP BY memory_id""",
-    "ann_ivf_build": f"""WITH {IVF}
+    "ann_given_lists_build": f"""WITH {IVF}
       SELECT c.list_id, count(n.vec_id) AS n_vectors,
         round(sqrt(list_dot_product(any_value(c.centroid), any_value(c.centroid))), 5)
           AS centroid_norm
       FROM centroids c LEFT JOIN nearby n ON n.list_id = c.list_id AND n.place = 1
       GROUP BY c.list_id""",
-    "ann_ivf_search": f"WITH {IVF_HITS} {HITS}",
-    "ann_lsh_search": f"WITH {LSH_HITS} {HITS}",
-    "ann_ivf_recall": f"WITH {EXACT}, {IVF_HITS} {RECALL}",
-    "ann_lsh_recall": f"WITH {EXACT}, {LSH_HITS} {RECALL}",
+    "ann_given_lists_search": f"WITH {IVF_HITS} {HITS}",
+    "ann_one_bucket_search": f"WITH {LSH_HITS} {HITS}",
+    "ann_ivf_build": f"""WITH {LISTS}
+      SELECT l.list_id, count(m.id) AS n_vectors,
+        round(sqrt(list_dot_product(any_value(l.c), any_value(l.c))), 5) AS centroid_norm
+      FROM lists1 l LEFT JOIN m3 m USING (list_id) GROUP BY l.list_id""",
+    "ann_ivf_search": f"WITH {EXACT}, {LISTS}, {LISTS_HITS} {HITS}",
+    "ann_lsh_search": f"WITH {EXACT}, {BUCKETS}, {BUCKETS_HITS} {HITS}",
+    "ann_ivf_recall": f"""WITH {EXACT}, {LISTS}, {LISTS_HITS},
+      met AS (SELECT count(*) AS pairs_met FROM ranks r, m3 m, probes WHERE r.list_id = m.list_id AND r.rank <= p)
+      {RECALL_AND_PAIRS}""",
+    "ann_lsh_recall": f"""WITH {EXACT}, {BUCKETS}, {BUCKETS_HITS},
+      met AS (SELECT count(*) AS pairs_met FROM near n, own o, probes
+              WHERE n.t = o.t AND n.bucket = o.bucket AND n.probe <= p)
+      {RECALL_AND_PAIRS}""",
     "stream_ingest": f"WITH {DOCUMENT_ROWS} SELECT id, error FROM document_rows",
     "stream_daily_activity": """SELECT ts::DATE::VARCHAR AS day, count(*) AS memories
       FROM events GROUP BY 1""",
     "stream_tag_dedup": "SELECT DISTINCT user_id AS memory_id, event_type AS tag FROM events",
 }
 
+GIVEN = f"""
+given AS (
+  SELECT s.*, e.embedding, sha256(concat_ws(chr(1), conv_id::VARCHAR, heading, summary)) AS memory_id,
+    CASE WHEN e.vec_id IS NULL THEN 'no vector for this conv_id' END AS error
+  FROM summaries s LEFT JOIN embeddings e ON e.vec_id + {q.FIRST_VECTOR_OF} = s.conv_id)"""
+_counted = "[" + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))" for c in q.LETTERS) + "]"
+TWINS |= {
+    "store_batches": f"""WITH {DOCUMENT_ROWS}
+      SELECT id, coalesce(error, 'in batch ' || CASE WHEN source < '{q.EARLY_SOURCES}' THEN 'a' ELSE 'b' END) AS what,
+        CASE WHEN error IS NULL THEN 1 ELSE 2 END::BIGINT AS n FROM document_rows
+      UNION ALL
+      SELECT id, CASE WHEN source < '{q.EARLY_SOURCES}' THEN 'key is already stored' ELSE 'key repeats in the batch' END,
+        CASE WHEN source < '{q.EARLY_SOURCES}' THEN 2 ELSE 1 END FROM document_rows WHERE error IS NULL""",
+    "embed_provided": f"""WITH counted AS (
+        SELECT doc_id AS id, CASE WHEN coalesce(text, '') = '' THEN 'text is required and cannot be empty'
+            WHEN contains(text, '{q.REFUSED_LETTER}') THEN 'ValueError: a text holds {q.REFUSED_LETTER}' END AS error,
+          list_transform({_counted}, lambda x: x::DOUBLE) AS v FROM documents),
+      judged AS (
+        SELECT id, v, list_dot_product(v, v) AS d,
+          coalesce(error, CASE WHEN list_dot_product(v, v) = 0 THEN 'embedding is all zeros' END) AS embed_error FROM counted)
+      SELECT id, embed_error, CASE WHEN embed_error IS NULL THEN {len(q.LETTERS)}::BIGINT END AS dimension,
+        CASE WHEN embed_error IS NULL THEN array_to_string(list_transform(v,
+          lambda x: floor((x / sqrt(d))::FLOAT::DOUBLE * 10000 + 0.501)::BIGINT::VARCHAR), ' ') END AS weights
+      FROM judged""",
+    "ingest_given_vectors": f"""WITH {SUMMARIES}, {GIVEN}
+      SELECT memory_id, error, heading, CASE WHEN error IS NULL THEN {DIMENSION}::BIGINT END AS dimension,
+        round(list_max(embedding)::DOUBLE, 6) AS largest FROM given""",
+    "memory_pipeline": f"""WITH {SUMMARIES}, {GIVEN}
+      SELECT conv_id, memory_id, heading, summary, n_turns,
+        CASE WHEN error IS NULL THEN {DIMENSION}::BIGINT END AS embedding_dimension,
+        TRUE AS summarize_done, NULL::VARCHAR AS summarize_error, error IS NULL AS embed_done, error AS embed_error,
+        error IS NULL AS store_done, NULL::VARCHAR AS store_error, error FROM given
+      UNION ALL
+      SELECT item_id + {q.INSERTED_FROM}, NULL, NULL, NULL, 0, NULL, FALSE, '{summaries.EMPTY_LOG}', FALSE, NULL,
+        FALSE, NULL, '{summaries.EMPTY_LOG}' FROM benchmark""",
+    "summarize_provided": f"""WITH {LINES},
+      last AS (SELECT conv_id, arg_max(role, turn) AS role FROM conversations GROUP BY conv_id),
+      judged AS (SELECT *, contains(chat_text, '{q.REFUSED_PROMPT}') AS failed FROM logs JOIN last USING (conv_id))
+      SELECT conv_id, n_turns, CASE WHEN failed THEN '{summaries.FALLBACK_HEADING}' ELSE role END AS heading,
+        CASE WHEN failed THEN 'Chat log with ' || n_turns || ' messages.{summaries.FAILED_SUMMARY}ValueError: a prompt holds {q.REFUSED_PROMPT}'
+          ELSE (length(chat_text) - length(replace(chat_text, chr(10), ''))) || ' breaks' END AS summary,
+        NULL::VARCHAR AS summarize_error
+      FROM judged""",
+    "remember_conversations": f"""WITH {SUMMARIES}, {GIVEN},
+      ok AS (SELECT * FROM given WHERE error IS NULL),
+      notes AS (SELECT memory_id, max(role) AS value FROM ok JOIN conversations USING (conv_id) GROUP BY memory_id),
+      stored AS (
+        SELECT memory_id, 'memory' AS kind, heading AS value FROM ok JOIN notes n USING (memory_id) WHERE n.value = 'user'
+        UNION ALL SELECT DISTINCT memory_id, 'tag', role FROM ok JOIN conversations USING (conv_id)
+        UNION ALL SELECT memory_id, 'project', to_json(value)::VARCHAR FROM notes)
+      SELECT *, strftime(TIMESTAMP '{AS_OF}', '%Y-%m-%dT%H:%M:%S.%f') AS created_at, 'monday' AS batch_id FROM stored""",
+}
+
 # The same answers from stored indexes.
 TWINS["text_index_search"] = TWINS["search_text"]
 TWINS["trigram_index_search"] = TWINS["trigram_search"]

@@ -11,6 +11,8 @@ from engram.functions.text import once, strip
 DEFAULT_HEADING = "Technical Discussion Summary"
 FALLBACK_HEADING = "Developer Chat Summary"
 FALLBACK_SUMMARY = "Chat log with %s messages."
+FAILED_SUMMARY = " Failed to generate AI summary: "
+EMPTY_LOG = "chat_log is required and cannot be empty"
 
 PROMPT_TEMPLATE = (
     "Summarise the conversation below.\n\nContext: {context}\n\nChat Log:\n{chat}\n\n"

@@ -1,4 +1,5 @@
-"""Approximate nearest memories: lists around centroids, and random hyperplanes.
+"""Approximate nearest memories: lists around given centroids, and random hyperplanes with probes
+of neighbouring buckets. `lists` draws centroids itself, in two levels.
 
 Both only decide which memories a query meets; similarities are exact, and lists of any
 size are handled by `knn.nearest`, which cuts them into blocks.
@@ -7,6 +8,7 @@ size are handled by `knn.nearest`, which cuts them into blocks.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +20,17 @@ from pyspark.sql import functions as F
 
 from engram import schema
 from engram.functions.vectors import l2_normalize, unit_rows
-from engram.operators import knn
+from engram.operators import knn, lists
+from engram.operators.lists import SAMPLE, TARGET, id_hash
+from engram.operators.skew import broadcast_if_few
+from engram.sources.workspace import written
 
 CENTROID_DECIMALS = 6
-MAX_CENTROID_BYTES = 64 * 1024 * 1024
 KMEANS_SEED = 7
 KMEANS_ROUNDS = 10
+#: Rows of a bucket that `bits_for` aims at, and most buckets that are tried when probes are
+#: measured.
+ROWS_PER_BUCKET, MOST_PROBES = 8, 4096
 
 
 def mean_centroids(vectors: DataFrame, group: str) -> DataFrame:
@@ -61,40 +68,11 @@ def kmeans_centroids(
     return vectors.sparkSession.createDataFrame(rows, "list_id int, centroid array<double>")
 
 
-def _centroid_matrix(centroids: DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray]:
-    """The centroids as unit rows; their number is a parameter, and checked here."""
-    most = MAX_CENTROID_BYTES // (8 * dimension)
-    rows = centroids.orderBy("list_id").limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"more than {most} lists of dimension {dimension}")
-    positions, units = unit_rows(rows["centroid"].combine_chunks(), dimension)
-    return rows["list_id"].to_numpy()[positions], units
-
-
-def closest_lists(embedding, list_ids: np.ndarray, centroids: np.ndarray, probes: int):
-    """Array column with the ids of the `probes` closest lists, closest first."""
-    probes = min(probes, len(list_ids))
-
-    @F.arrow_udf("array<int>")
-    def closest(vectors: pa.Array) -> pa.Array:
-        positions, rows = unit_rows(vectors, centroids.shape[1])
-        order = np.argsort(-(rows @ centroids.T), axis=1, kind="stable")[:, :probes]
-        lengths = np.zeros(len(vectors) + 1, np.int32)
-        lengths[positions + 1] = probes
-        return pa.ListArray.from_arrays(
-            pa.array(np.cumsum(lengths, dtype=np.int32)),
-            pa.array(list_ids[order].ravel().astype(np.int32)),
-        )
-
-    return closest(embedding)
-
-
 def assign_lists(vectors: DataFrame, centroids: DataFrame, dimension: int) -> DataFrame:
-    """Add list_id, the list with the closest centroid; rows without a usable vector drop."""
-    list_ids, matrix = _centroid_matrix(centroids, dimension)
-    return vectors.withColumn(
-        "list_id", F.explode(closest_lists("embedding", list_ids, matrix, 1))
-    )
+    """Add list_id, the list with the closest centroid; rows without a usable vector drop. Any
+    number of lists: `knn.nearest` cuts them into blocks."""
+    closest = lists.probed(centroids, vectors.select(F.col("id").alias("query_id"), "embedding"), dimension, 1)
+    return vectors.join(closest.select(F.col("query_id").alias("id"), "list_id"), "id")
 
 
 def build_ivf(memories: DataFrame, centroids: DataFrame, dimension: int, path: str) -> None:
@@ -119,17 +97,10 @@ def search_ivf(
 
     Over an index written by `build_ivf` the list filter prunes folders.
     """
-    list_ids, matrix = _centroid_matrix(centroids, dimension)
-    asked = queries.select(
-        "query_id",
-        "embedding",
-        F.explode(closest_lists("embedding", list_ids, matrix, probes)).alias("list_id"),
-    )
-    # At most one row per list, and the number of lists was checked above.
-    needed = asked.select("list_id").distinct()
-    met = index.join(F.broadcast(needed), "list_id", "left_semi").withColumn(
-        "list_ids", F.array("list_id")
-    )
+    near = lists.probed(centroids, queries, dimension, probes).select("query_id", "list_id")
+    asked = written(queries.select("query_id", "embedding").join(near, "query_id"), "ivf-asked")
+    needed = broadcast_if_few(asked.select("list_id").distinct())
+    met = index.join(needed, "list_id", "left_semi").withColumn("list_ids", F.array("list_id"))
     return knn.nearest(
         met, asked, dimension, limit, threshold, exclude_self, lists=True, **options
     )
@@ -146,25 +117,66 @@ def hyperplanes(tables: int, bits: int, dimension: int) -> np.ndarray:
     return np.array(signs).reshape(tables * bits, dimension)
 
 
-def lsh_buckets(embedding, tables: int, bits: int, dimension: int):
-    """Array column with one bucket id per table: table * 2^bits + side of each plane."""
+def bits_for(rows: int) -> int:
+    """Planes that leave about ROWS_PER_BUCKET rows in a bucket of a table."""
+    return max(1, int(math.log2(max(2, rows / ROWS_PER_BUCKET))))
+
+
+def closest_buckets(margins: np.ndarray, probes: int) -> np.ndarray:
+    """The `probes` buckets that rows come closest to, closest first: planes are crossed in the
+    order of the sum of the margins crossed, ties by bucket number. Plane by plane only the best
+    sums go on, as each later plane adds to a sum or leaves it."""
+    rows, bits = margins.shape
+    cost, bucket = np.zeros((rows, 1)), np.zeros((rows, 1), np.int64)
+    for bit in range(bits):
+        margin = margins[:, bit : bit + 1]
+        side = (margin >= 0).astype(np.int64) << bit
+        cost = np.concatenate([cost, cost + np.abs(margin)], axis=1)
+        bucket = np.concatenate([bucket + side, bucket + (side ^ (1 << bit))], axis=1)
+        order = np.lexsort((bucket, cost), axis=1)[:, :probes]
+        cost, bucket = np.take_along_axis(cost, order, 1), np.take_along_axis(bucket, order, 1)
+    return bucket
+
+
+def lsh_buckets(embedding, tables: int, bits: int, dimension: int, probes: int = 1):
+    """Array column with bucket ids of every table, table * 2^bits + side of each plane: the
+    `probes` that a vector comes closest to, its own first."""
     planes = hyperplanes(tables, bits, dimension)
-    powers = 2 ** np.arange(bits)
+    probes = min(probes, 1 << bits)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<long>")
     def buckets(vectors: pa.Array) -> pa.Array:
         positions, rows = unit_rows(vectors, dimension)
-        above = (rows @ planes.T >= 0).reshape(len(rows), tables, bits)
-        ids = above @ powers + np.arange(tables) * 2**bits
+        margins = (rows @ planes.T).reshape(len(rows), tables, bits)
+        ids = [closest_buckets(margins[:, t], probes) + (t << bits) for t in range(tables)]
         lengths = np.zeros(len(vectors) + 1, np.int32)
-        lengths[positions + 1] = tables
-        return pa.ListArray.from_arrays(
-            pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(ids.ravel().astype(np.int32))
-        )
+        lengths[positions + 1] = tables * probes
+        flat = np.concatenate(ids, axis=1).ravel() if len(rows) else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(lengths, dtype=np.int32)), pa.array(flat))
 
     return buckets(embedding)
 
 
+def lsh_probes_for(
+    memories: DataFrame, queries: DataFrame, dimension: int, tables: int, bits: int, limit: int = schema.SEARCH_LIMIT,
+    threshold: float = schema.SEARCH_THRESHOLD, exclude_self: bool = False, sample: int = SAMPLE, target: float = TARGET,
+) -> int:
+    """Buckets to probe in each table so that `target` of the exact hits of a bounded sample of
+    the queries, the ones with the lowest hash of their id, are in them; MOST_PROBES at most."""
+    some = written(queries.orderBy(id_hash("query_id"), "query_id").limit(sample), "lsh-sample")
+    exact = knn.nearest(memories, some, dimension, limit, threshold, exclude_self).select("query_id", "id")
+    own = F.explode(lsh_buckets("embedding", tables, bits, dimension)).alias("bucket")
+    hits = memories.select("id", "embedding").join(F.broadcast(exact), "id")  # sample * limit rows
+    hits = hits.select("query_id", "id", own)
+    most = min(1 << bits, MOST_PROBES)
+    near = some.select("query_id", F.posexplode(lsh_buckets("embedding", tables, bits, dimension, most)).alias("at", "bucket"))
+    near = near.select("query_id", "bucket", (F.col("at") % most + 1).alias("probe"))
+    first = hits.join(near, ["query_id", "bucket"], "left").groupBy("query_id", "id").agg(
+        F.coalesce(F.min("probe"), F.lit(most)).alias("probe")
+    )
+    return int(first.agg(F.expr(f"percentile_disc({target}) WITHIN GROUP (ORDER BY probe)")).first()[0] or 1)
+
+
 def search_lsh(
     memories: DataFrame,
     queries: DataFrame,
@@ -174,20 +186,32 @@ def search_lsh(
     limit: int = schema.SEARCH_LIMIT,
     threshold: float = schema.SEARCH_THRESHOLD,
     exclude_self: bool = False,
+    probes: int = 1,
     **options,
 ) -> DataFrame:
-    """Best memories among those that share a bucket with the query in some table."""
-    if tables * 2**bits > knn.MAX_LISTS:
-        raise ValueError(f"more than {knn.MAX_LISTS} buckets")
-
-    buckets = lsh_buckets("embedding", tables, bits, dimension)
+    """Best memories of the `probes` buckets of every table that a query comes closest to."""
+    own = lsh_buckets("embedding", tables, bits, dimension)
+    near = lsh_buckets("embedding", tables, bits, dimension, probes)
     return knn.nearest(
-        memories.select("id", "embedding", buckets.alias("list_ids")),
-        queries.select("query_id", "embedding", F.explode(buckets).alias("list_id")),
+        memories.select("id", "embedding", own.alias("list_ids")),
+        queries.select("query_id", "embedding", F.explode(near).alias("list_id")),
         dimension, limit, threshold, exclude_self, lists=True, **options,
     )
 
 
+def lsh_pairs_met(memories: DataFrame, queries: DataFrame, dimension: int, tables: int, bits: int, probes: int) -> DataFrame:
+    """(pairs, pairs_met): all pairs of a query and a row, and those in a probed bucket, each
+    counted once per table."""
+    own = memories.select(F.explode(lsh_buckets("embedding", tables, bits, dimension)).alias("bucket"))
+    sizes = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    near = queries.select("query_id", F.explode(lsh_buckets("embedding", tables, bits, dimension, probes)).alias("bucket"))
+    met = near.join(sizes, "bucket").groupBy("query_id").agg(F.sum("n").alias("n"))
+    return met.agg(
+        (F.count(F.lit(1)) * (sizes.agg(F.sum("n")).scalar() / tables)).cast("long").alias("pairs"),
+        F.sum("n").alias("pairs_met"),
+    )
+
+
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """How many of the exact hits were found, over all queries."""
     found = approximate.select("query_id", "id", F.lit(1).alias("hit"))

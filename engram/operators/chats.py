@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram import schema
 from engram.functions import text as tx
-from engram.functions.summaries import fallback_summary
+from engram.functions.summaries import EMPTY_LOG, fallback_summary
 from engram.operators.skew import hottest
 from engram.sources.workspace import written
 
 SUMMARY_SENTENCES = 3
+#: Terms whose weights may travel to the turns.
+MAX_BROADCAST_TERMS = 200_000
 EMBEDDING_DIMENSION = 1536
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
@@ -77,6 +85,12 @@ def chat_logs(conversations: DataFrame, turns_per_part: int | None = None) -> Da
     )
 
 
+def message_counts(conversations: DataFrame) -> DataFrame:
+    """(conv_id, n_turns): rows without a turn number announce a conversation and are no
+    messages."""
+    return conversations.groupBy("conv_id").agg(F.count("turn").alias("n_turns"))
+
+
 def chat_text(logs: DataFrame) -> DataFrame:
     return logs.select(
         "conv_id", "part", "n_turns", F.array_join("chat_log", "\n").alias("chat_text")
@@ -157,14 +171,17 @@ def score_sentences(terms: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def rank_sentences(conversations: DataFrame, sentences: int = SUMMARY_SENTENCES) -> DataFrame:
+def rank_sentences(
+    conversations: DataFrame, sentences: int = SUMMARY_SENTENCES, weights: DataFrame | None = None
+) -> DataFrame:
     """(conv_id, turn, sentence_no, score, place) of the best sentences per conversation.
 
     The place filter trims before the shuffle, so a conversation of any length sends few
     rows.
     """
     terms = sentence_terms(conversations)
-    weights = written(term_weights(terms, conversations), "term-weights")
+    if weights is None:
+        weights = written(term_weights(terms, conversations), "term-weights")
     order = Window.partitionBy("conv_id").orderBy(F.desc("score"), "turn", "sentence_no")
     return score_sentences(terms, weights).withColumn(
         "place", F.row_number().over(order)
@@ -176,32 +193,107 @@ def heading_of(sentence: Column) -> Column:
     return F.array_join(F.slice(F.split(sentence, r"\s+"), 1, schema.HEADING_WORDS), " ")
 
 
+def scored_sentences(conversations: DataFrame, vocabulary: pa.Table, sentences: int) -> DataFrame:
+    """(conv_id, turn, sentence_no, sentence, score, n_turns): of each batch of turns the best
+    sentences of every conversation, and in its first row the number of its messages.
+
+    vocabulary: term, idf. Nothing is shuffled, and few texts leave a task."""
+    terms, idf = vocabulary["term"].combine_chunks(), vocabulary["idf"].to_numpy()
+    said = F.when(F.col("turn").isNotNull(), F.col("text"))
+    rows = conversations.select("conv_id", "turn", F.posexplode_outer(sentences_of(said)).alias("sentence_no", "sentence"))
+    rows = rows.withColumn("terms", tx.terms(F.col("sentence")))
+    out = T.StructType([
+        rows.schema["conv_id"], rows.schema["turn"], T.StructField("sentence_no", T.IntegerType()),
+        T.StructField("sentence", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_turns", T.LongType()),
+    ])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count = batch.num_rows
+            words = batch.column("terms")
+            length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            weight = idf[pc.index_in(words.flatten(), value_set=terms).to_numpy(zero_copy_only=False)]
+            some = np.flatnonzero(length)
+            score = np.full(count, -np.inf)
+            if len(some):
+                starts = (np.cumsum(length) - length)[some]
+                score[some] = np.round(np.add.reduceat(weight, starts) / np.sqrt(length[some]), schema.SIMILARITY_DECIMALS)
+            number = pc.fill_null(batch.column("sentence_no"), 0).to_numpy(zero_copy_only=False)
+            turn = pc.fill_null(batch.column("turn"), 0).to_numpy(zero_copy_only=False)
+            conv = batch.column("conv_id").dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            message = (number == 0) & pc.is_valid(batch.column("turn")).to_numpy(zero_copy_only=False)
+            messages = np.bincount(conv[message], minlength=int(conv.max()) + 1)
+            order = np.lexsort((number, turn, -score, conv))
+            new = np.concatenate([[True], conv[order][1:] != conv[order][:-1]])
+            first = np.flatnonzero(new)
+            place = np.arange(count) - np.repeat(first, np.diff(np.append(first, count)))
+            keep = (place == 0) | (place < sentences) & (score[order] > -np.inf)
+            rows_at, head = order[keep], place[keep] == 0
+            scored = score[rows_at]
+            none = scored == -np.inf
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("conv_id").take(pa.array(rows_at)), batch.column("turn").take(pa.array(rows_at)),
+                    pa.array(number[rows_at], pa.int32(), mask=none),
+                    batch.column("sentence").take(pa.array(rows_at, mask=none)), pa.array(scored, mask=none),
+                    pa.array(np.where(head, messages[conv[rows_at]], 0)),
+                ],
+                names=out.names,
+            )
+
+    return rows.mapInArrow(best, out)
+
+
+def _with_texts(winners: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The winners with their sentences, by a join with the turns."""
+    return winners.join(
+        conversations.select("conv_id", "turn", "text"), ["conv_id", "turn"]
+    ).withColumn("sentence", F.get(sentences_of(F.col("text")), F.col("sentence_no")))
+
+
 def summarize_chats(
-    conversations: DataFrame, sentences: int = SUMMARY_SENTENCES
+    conversations: DataFrame, sentences: int = SUMMARY_SENTENCES, max_terms: int = MAX_BROADCAST_TERMS
 ) -> DataFrame:
-    """(conv_id, n_turns, heading, summary) from (conv_id, turn, role, text).
+    """(conv_id, n_turns, heading, summary, summarize_error) from (conv_id, turn, role, text).
 
     The summary is the best sentences in their order, the heading comes from the best one.
-    A conversation without any scorable sentence gets the fallback texts. Sentence texts
-    are fetched for the winners only.
+    A conversation without any scorable sentence gets the fallback texts; one without a message
+    (rows without a turn number only announce it) gets an error. With `max_terms` terms at most
+    the weights travel to the turns, which are read once more and leave their tasks with the best
+    sentences only; else the terms travel to the weights, and the texts of the winners are fetched.
     """
-    winners = rank_sentences(conversations, sentences)
-    with_text = winners.join(
-        conversations.select("conv_id", "turn", "text"), ["conv_id", "turn"]
-    ).withColumn("sentence", F.get(sentences_of(F.col("text")), F.col("sentence_no")))
-    chosen = with_text.groupBy("conv_id").agg(
+    messages = conversations.where("turn is not null")
+    weights = written(term_weights(sentence_terms(messages), messages), "term-weights")
+    vocabulary = weights.select("term", "idf").limit(max_terms + 1).toArrow()
+    if vocabulary.num_rows <= max_terms:
+        found = scored_sentences(conversations, vocabulary, sentences)
+        one = Window.partitionBy("conv_id")
+        order = one.orderBy(F.desc_nulls_last("score"), "turn", "sentence_no")
+        found = found.withColumns({"place": F.row_number().over(order), "n_turns": F.sum("n_turns").over(one)})
+        kept = found.where(F.col("place") <= sentences)
+        turns = None
+    else:
+        kept = _with_texts(rank_sentences(messages, sentences, weights), messages)
+        turns = message_counts(conversations)
+    chosen = kept.groupBy("conv_id").agg(
+        *([F.first("n_turns").alias("n_turns")] if turns is None else []),
         F.min_by("sentence", "place").alias("best"),
-        F.array_sort(F.collect_list(F.struct("turn", "sentence_no", "sentence"))).alias("kept"),
+        F.array_sort(
+            F.collect_list(F.when(F.col("score").isNotNull(), F.struct("turn", "sentence_no", "sentence")))
+        ).alias("kept"),
     )
-    turns = conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+    if turns is not None:
+        chosen = turns.join(chosen, "conv_id", "left")
     fallback = fallback_summary(F.col("n_turns"))
-    return turns.join(chosen, "conv_id", "left").select(
+    some = F.col("n_turns") > 0
+    return chosen.select(
         "conv_id",
         "n_turns",
-        F.coalesce(heading_of(F.col("best")), fallback["heading"]).alias("heading"),
-        F.coalesce(
-            F.array_join(F.col("kept.sentence"), " "), fallback["summary"]
+        F.when(some, F.coalesce(heading_of(F.col("best")), fallback["heading"])).alias("heading"),
+        F.when(
+            some, F.when(F.size("kept") > 0, F.array_join(F.col("kept.sentence"), " ")).otherwise(fallback["summary"])
         ).alias("summary"),
+        F.when(~some, EMPTY_LOG).alias("summarize_error"),
     )
 
 
@@ -257,9 +349,12 @@ def fit_embedder(texts: DataFrame, dimension: int = EMBEDDING_DIMENSION) -> Pipe
     )
 
 
-def embed_texts(texts: DataFrame, model: PipelineModel) -> DataFrame:
+def embed_texts(texts: DataFrame, model: PipelineModel | Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Add embedding and embed_error. A text without weight gets NULL and an error, never
-    a zero vector."""
+    a zero vector. The model is one of `hashing_embedder`, `fit_embedder`, or an embedder of
+    `embedder`, which runs a user's model or joins given vectors."""
+    if not isinstance(model, PipelineModel):
+        return model(texts)
     vector = vector_to_array("unit", "float32")
     empty = F.coalesce(F.col("text"), F.lit("")) == ""
     weightless = F.array_max(F.col("vector")) <= 0  # weights are never negative

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram import schema
+from engram.operators import keyed
 from engram.operators.skew import broadcast_if_few
 from engram.sources.workspace import written
 
@@ -76,15 +79,35 @@ def rejected(validated: DataFrame) -> DataFrame:
     return validated.where(F.col("error").isNotNull())
 
 
+class Stored(NamedTuple):
+    """Ids (memory_id) that a batch stored, and rows (id, n, error) that it refused."""
+
+    ids: DataFrame
+    refused: DataFrame
+
+
 def append_memories(rows: DataFrame, path: str, dimension: int, batch_id: str) -> DataFrame:
-    """Store the valid rows as one batch and return their ids.
+    """Store the valid rows with new ids as one batch and return their ids (`store_batch`)."""
+    return store_batch(rows, path, dimension, batch_id).ids
+
+
+def store_batch(
+    rows: DataFrame, path: str, dimension: int, batch_id: str, buckets: int = keyed.BUCKETS
+) -> Stored:
+    """Store the valid rows as one batch; an id is stored once in the whole table.
 
     A batch owns one folder of the table, so writing it again after a failure replaces it
-    and never doubles its rows.
+    and never doubles its rows. Of several rows of an id, in one batch or over batches, the first
+    stored stays (in one batch the least by heading, summary and so on); the others are refused,
+    as are invalid rows. The rows are checked once, since both results read them.
     """
-    target = f"{path.rstrip('/')}/batch_id={batch_id}"
-    accepted(validate(rows, dimension)).write.mode("overwrite").parquet(target)
-    return rows.sparkSession.read.parquet(target).select(F.col("id").alias("memory_id"))
+    checked = written(validate(rows, dimension), "checked")
+    done = keyed.append(accepted(checked), path, ["id"], batch_id, buckets)
+    invalid = rejected(checked).groupBy("id", "error").agg(F.count(F.lit(1)).alias("n"))
+    return Stored(
+        done.stored.select(F.col("id").alias("memory_id")),
+        done.repeated.unionByName(invalid.select("id", "n", "error")),
+    )
 
 
 def latest_changes(changes: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from engram.operators import chats, filters, knn
 from engram.operators.aggregates import with_tags
 from engram.operators.ranking import most_similar, newest, winners_first
 from engram.operators.skew import MAX_BROADCAST_IDS
+from engram.plans.memorize import Model
 from engram.sources.workspace import written
 
 
@@ -95,7 +95,7 @@ def fetch_context(
     requests: DataFrame,
     dimension: int,
     date_filter: str | None = None,
-    model: PipelineModel | None = None,
+    model: Model | None = None,
     **options,
 ) -> DataFrame:
     """Answer a table of requests, from memories created on or after `date_filter` if given.

@@ -5,63 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from engram.operators import store
-from engram.operators.skew import broadcast_if_few
+from engram.operators import keyed, store
 
-
-def _replace_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """A batch owns one folder, so a batch that runs again replaces its own rows."""
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+#: Process what is there and stop; `{"processingTime": "1 minute"}` goes on for ever.
+ONCE = {"availableNow": True}
 
 
 def stream_memories(
-    arriving: DataFrame, path: str, rejected_path: str, checkpoint: str, dimension: int
+    arriving: DataFrame,
+    path: str,
+    refused_path: str,
+    checkpoint: str,
+    dimension: int,
+    trigger: dict | None = None,
+    buckets: int = keyed.BUCKETS,
 ) -> StreamingQuery:
-    """Validate arriving memories and append them; invalid rows go to a table of their own."""
+    """Validate arriving memories and store those whose id is new. What is not stored goes to a
+    table (id, n, error) of its own. Each batch owns its folders, so one that runs again replaces
+    its own rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        checked = store.validate(batch, dimension).persist()
-        _replace_batch(store.accepted(checked), path, batch_id)
-        _replace_batch(store.rejected(checked), rejected_path, batch_id)
-        checked.unpersist()
+        done = store.store_batch(batch, path, dimension, str(batch_id), buckets)
+        done.refused.write.mode("overwrite").parquet(f"{refused_path.rstrip('/')}/batch_id={batch_id}")
 
     return (
         arriving.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 
 
 def stream_unique_tags(
-    arriving: DataFrame, path: str, checkpoint: str, delay: str = "7 days"
+    arriving: DataFrame,
+    path: str,
+    checkpoint: str,
+    delay: str = "7 days",
+    trigger: dict | None = None,
+    buckets: int = keyed.BUCKETS,
 ) -> StreamingQuery:
     """Keep (memory_id, tag) unique while tags (memory_id, tag, created_at) arrive.
 
-    Repeats within the watermark are dropped from bounded state; older ones are found by
-    comparing with the batches that were stored before this one, where the store is reduced
-    to the keys of the batch first and so is not shuffled for a small batch.
+    Repeats within the watermark are dropped from bounded state; older ones by the keyed table,
+    which reads only the buckets that may hold a key of the batch.
     """
-    spark = arriving.sparkSession
     fresh = arriving.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(
         ["memory_id", "tag"]
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        fresh_rows = batch
-        if batch_id > 0:
-            keys = broadcast_if_few(batch.select("memory_id", "tag"))
-            stored = spark.read.parquet(path)
-            earlier = stored.where(stored.batch_id < batch_id).select("memory_id", "tag")
-            known = earlier.join(keys, ["memory_id", "tag"], "left_semi")
-            fresh_rows = batch.join(known, ["memory_id", "tag"], "left_anti")
-        _replace_batch(fresh_rows, path, batch_id)
-        batch.unpersist()
+        keyed.append(batch, path, ["memory_id", "tag"], str(batch_id), buckets)
 
     return (
         fresh.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
