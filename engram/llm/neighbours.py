@@ -162,13 +162,6 @@ def scored(asked: np.ndarray, asked_ids: np.ndarray, rows: np.ndarray, ids: np.n
     return pa.table({"query_id": asked_ids[best_q], "vec_id": ids[best_v], "score": best_s}, schema=HIT_TYPES)
 
 
-def all_pairs(asked: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, PAIRS // max(1, rows))
-    for a in range(0, asked, step):
-        q = np.arange(a, min(asked, a + step))
-        yield np.repeat(q, rows), np.tile(np.arange(rows), len(q))
-
-
 def probed_pairs(probes: pa.Table, code: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Queries with the rows whose cell they probe."""
     order = np.argsort(code, kind="stable")
@@ -187,9 +180,14 @@ def probed_pairs(probes: pa.Table, code: np.ndarray) -> Iterator[tuple[np.ndarra
 
 def against(batches: Iterator[pa.RecordBatch], asked: np.ndarray, asked_ids: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
     """(vec_id, embedding) to the best of the task for a bounded block of queries."""
+    units = asked / np.sqrt((asked * asked).sum(axis=1, keepdims=True))
     for batch in batches:
         rows, ids = matrix(batch.column(1), asked.shape[1]), batch.column(0).to_numpy()
-        yield from scored(asked, asked_ids, rows, ids, all_pairs(len(asked), len(rows)), limit).to_batches()
+        near = units @ (rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))).T
+        few = min(limit + 1, len(rows))  # one may be the query itself
+        best = np.argpartition(-near, few - 1, axis=1)[:, :few]
+        pairs = np.repeat(np.arange(len(asked)), few), best.ravel()
+        yield from scored(asked, asked_ids, rows, ids, iter([pairs]), limit).to_batches()
 
 
 def routed(batches: Iterator[pa.RecordBatch], dimension: int, turns: int, groups: int, probes: int) -> Iterator[pa.RecordBatch]:
