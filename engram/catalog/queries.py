@@ -17,7 +17,7 @@ from engram.catalog.fixtures import AS_OF, DIMENSION, QUERY_VECTOR, Fixtures
 from engram.functions import summaries, vectors
 from engram.functions import text as tx
 from engram.operators import (
-    aggregates, ann, chats, embedder, filters, fulltext, fuzzy, knn, lists, ranking, store,
+    aggregates, ann, chats, embedder, filters, fulltext, fuzzy, knn, lists, pivots, ranking, store,
 )
 from engram.operators import summarizer as chats_summarizer
 from engram.plans import memorize, search
@@ -33,6 +33,8 @@ HEADINGS = ["the", "der"]
 TEXT_QUERY = "The rean of ther and tion"
 FUZZY_QUERY = "than there and the nation"
 IVF_PROBES, LSH_TABLES, LSH_BITS = 3, 8, 4
+# Tables of the search that probes neighbouring buckets.
+PROBED_TABLES = 2
 TURNS_PER_PART = 2
 INSERTED_FROM = 1_000_000_000
 EARLY_SOURCES, STORE_BUCKETS = "src4", 8
@@ -304,17 +306,14 @@ def topic_queries(f: Fixtures) -> DataFrame:
 
 @query
 def query_cross_memories(f):
-    met = knn.all_above(
+    return knn.count_above(
         f.stored_vectors(), topic_queries(f), DIMENSION, schema.SEARCH_THRESHOLD
     )
-    return met.groupBy("query_id").agg(
-        F.count(F.lit(1)).alias("met"), F.max("similarity").alias("closest")
-    )
 
 
 @query
 def near_dup_check(f):
-    return knn.near_duplicates(f.stored_vectors(), f.vector_queries(), DIMENSION)
+    return pivots.near_duplicates(f.stored_vectors(), f.vector_queries(), DIMENSION)
 
 
 @query
@@ -377,7 +376,7 @@ def memories_with_tags(f):
 
 @query
 def total_found(f):
-    hits = knn.near_duplicates(f.stored_vectors(), f.vector_queries(), DIMENSION)
+    hits = pivots.near_duplicates(f.stored_vectors(), f.vector_queries(), DIMENSION)
     return ranking.total_found(f.vector_queries(), hits)
 
 
@@ -891,11 +890,11 @@ def ivf_hits(f: Fixtures) -> tuple[DataFrame, DataFrame]:
 def lsh_hits(f: Fixtures) -> tuple[DataFrame, DataFrame]:
     memories, asked = f.stored_vectors(), f.vector_queries()
     bits = ann.bits_for(memories.count())
-    probes = ann.lsh_probes_for(memories, asked, DIMENSION, LSH_TABLES, bits, exclude_self=True)
+    probes = ann.lsh_probes_for(memories, asked, DIMENSION, PROBED_TABLES, bits, exclude_self=True)
     hits = ann.search_lsh(
-        memories, asked, DIMENSION, LSH_TABLES, bits, exclude_self=True, probes=probes
+        memories, asked, DIMENSION, PROBED_TABLES, bits, exclude_self=True, probes=probes
     )
-    return hits, ann.lsh_pairs_met(memories, asked, DIMENSION, LSH_TABLES, bits, probes)
+    return hits, ann.lsh_pairs_met(memories, asked, DIMENSION, PROBED_TABLES, bits, probes)
 
 
 def exact_hits(f: Fixtures) -> DataFrame:

@@ -277,7 +277,7 @@ sizes AS (SELECT greatest(1, floor(log2(count(*) / {ann.ROWS_PER_BUCKET})))::INT
 planes AS (
   SELECT t, b, list(CASE WHEN substr(md5(t || '-' || b || '-' || d), 1, 1) < '8'
                          THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY d) AS plane
-  FROM range({q.LSH_TABLES}) x(t), range(30) y(b), range({DIMENSION}) z(d), sizes WHERE b < bits
+  FROM range({q.PROBED_TABLES}) x(t), range(30) y(b), range({DIMENSION}) z(d), sizes WHERE b < bits
   GROUP BY t, b),
 margins AS (SELECT vec_id, t, b, list_dot_product(embedding::DOUBLE[], plane) AS m FROM embeddings, planes),
 own AS (SELECT vec_id, t, sum(CASE WHEN m >= 0 THEN 1 << b::INT ELSE 0 END)::BIGINT AS bucket

@@ -261,7 +261,9 @@ def summarize_chats(
     (rows without a turn number only announce it) gets an error. With `max_terms` terms at most
     the weights travel to the turns, which are read once more and leave their tasks with the best
     sentences only; else the terms travel to the weights, and the texts of the winners are fetched.
+    Rows without a conv_id belong to no conversation.
     """
+    conversations = conversations.where("conv_id is not null")
     messages = conversations.where("turn is not null")
     weights = written(term_weights(sentence_terms(messages), messages), "term-weights")
     vocabulary = weights.select("term", "idf").limit(max_terms + 1).toArrow()

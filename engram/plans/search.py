@@ -126,26 +126,17 @@ def fetch_context(
             "semantic",
         ).otherwise("recent").alias("search_type_used"),
     )
-    semantic = asked.where(F.col("search_type_used") == "semantic")
-    # The largest limit and the lowest threshold asked for contain the best of each request,
-    # whose own limit and threshold cut them afterwards. Finding them reads no vector.
-    by_type = asked.groupBy("search_type_used").agg(
-        F.max("limit").alias("limit"), F.min("threshold").alias("threshold")
-    )
-    asked_for = {r["search_type_used"]: r for r in by_type.collect()}
-    most = {t: max(1, r["limit"]) for t, r in asked_for.items()}
-    most_similar_rows, most_recent_rows = most.get("semantic", 1), most.get("recent", 1)
-    lowest = asked_for["semantic"]["threshold"] if "semantic" in asked_for else 1.0
-    close = knn.nearest(
-        memories, semantic, dimension, most_similar_rows, threshold=lowest, **options
-    ).join(semantic.drop("embedding"), "query_id").where(
-        (F.col("rank") <= F.col("limit")) & (F.col("similarity") >= F.col("threshold"))
-    )
+    semantic = asked.where(F.col("search_type_used") == "semantic").drop("search_type_used")
+    # Each request carries its own limit and threshold into the scan.
+    close = knn.nearest_each(memories, semantic, dimension, **options)
     texts = ["id", "heading", "summary", "created_at"]
-    close = close.select("query_id", "search_type_used", "rank", "id", "similarity")
-    # Hits are at most that many per request, so few requests mean few hits.
-    few = MAX_BROADCAST_IDS // most_similar_rows
-    if semantic.limit(few + 1).count() <= few:
+    close = close.select("query_id", F.lit("semantic").alias("search_type_used"), "rank", "id", "similarity")
+    # Hits are at most as many as the requests ask for.
+    counted = asked.groupBy("search_type_used").agg(F.sum("limit").alias("rows"), F.max("limit").alias("most"))
+    asked_for = {r["search_type_used"]: r for r in counted.collect()}
+    hits_at_most = asked_for["semantic"]["rows"] if "semantic" in asked_for else 0
+    most_recent_rows = max(1, asked_for["recent"]["most"]) if "recent" in asked_for else 1
+    if (hits_at_most or 0) <= MAX_BROADCAST_IDS:
         close = F.broadcast(close)
     close = memories.select(*texts).join(close, "id").select(
         "query_id", "search_type_used", "rank", "similarity", *texts

@@ -1,11 +1,13 @@
+import collections
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import vectors
-from engram.operators import ann, knn, ranking
+from engram.operators import ann, knn, lists, pivots, ranking
 
 DIM = 8
 
@@ -206,3 +208,101 @@ def test_lsh_hits_are_exact_hits_of_shared_buckets(spark, options, limit):
         met = [r for r in rows if (side[qid] == side[r[0]]).all(axis=1).any()]
         want += brute(met, [rows[qid]], limit, 0.1, True)
     assert got == sorted(want)
+
+
+def test_pivots_leave_out_rows_and_lose_no_hit(spark):
+    """Clusters far apart: most pairs are never scored, the hits are those of all pairs."""
+    rng = np.random.default_rng(3)
+    centres = np.eye(DIM)[:6] * 10
+    rows = [(i, [float(x) for x in np.float32(centres[i % 6] + rng.normal(size=DIM) * 0.2)]) for i in range(240)]
+    usable, rows = rows, rows + [(900, [0.0] * DIM), (901, None), (902, [1.0])]
+    frame, queries = table(spark, rows), table(spark, rows, "query_id")
+    for options in ({}, {"max_broadcast_bytes": 0, "memory_rows": 17, "query_rows": 9}):
+        got = pivots.nearest_above(frame, queries, DIM, 4, 0.9, True, count=12, **options)
+        assert result(got) == brute(usable, usable, 4, 0.9, True)
+    met = pivots.pairs_met(frame, queries, DIM, 0.9, count=12).first()
+    assert met.pairs == 243 * 240 and met.pairs_met < met.pairs / 3 and met.rings_met < met.rings / 2
+    low = pivots.nearest_above(frame, queries, DIM, 1000, -1.0, count=5)
+    assert result(low) == brute(usable, usable, 1000, -1.0)
+    assert pivots.nearest_above(frame.limit(0), queries, DIM).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 0, "memory_rows": 11, "query_rows": 5}])
+def test_requests_with_their_own_limits(spark, options):
+    rows = random_rows(60, 5)
+    rows += [(100 + i, rows[3][1]) for i in range(9)]
+    wanted = {i: (limit, threshold) for i, (limit, threshold) in enumerate([(3, 0.1), (1000, -1.0), (1, 0.9), (7, 0.2), (0, 0.0), (5, None)])}
+    frame = table(spark, rows)
+    asked = spark.createDataFrame(
+        [(i, rows[3 if i in (0, 3) else i][1], *wanted[i]) for i in wanted], "query_id long, embedding array<float>, limit int, threshold double")
+    want = []
+    for i, (limit, threshold) in wanted.items():
+        if limit and threshold is not None:
+            want += brute(rows, [(i, rows[3 if i in (0, 3) else i][1])], limit, threshold)
+    assert result(knn.nearest_each(frame, asked, DIM, **options)) == sorted(want)
+
+
+def test_a_large_limit_sends_no_more_rows_of_the_others(spark):
+    """What leaves the scan for a query depends on its own limit only."""
+    rows = random_rows(80, 6)
+    out = {}
+    for large in (3, 1000):
+        asked = pa.table({
+            "query_id": [0, 1], "embedding": pa.array([rows[0][1], rows[1][1]], pa.list_(pa.float32())),
+            "limit": [3, large], "threshold": [-1.0, -1.0]})
+        frame = spark.createDataFrame([], "query_id long, id long, similarity double")
+        sent = knn._in_one_pass(table(spark, rows).coalesce(1), asked, frame.schema, DIM, None, None, False).collect()
+        out[large] = collections.Counter(r.query_id for r in sent)
+    assert out[3] == {0: 3, 1: 3} and out[1000] == {0: 3, 1: 80}
+
+
+@pytest.mark.parametrize("options", [{}, {"max_broadcast_bytes": 0, "memory_rows": 11, "query_rows": 5}])
+def test_counts_above_a_threshold(spark, options):
+    usable = random_rows(50, 8)
+    rows = usable + [(99, [0.0] * DIM), (98, None)]
+    got = knn.count_above(table(spark, rows), table(spark, rows, "query_id"), DIM, 0.3, **options)
+    want = {}
+    for q, _, s, _ in brute(usable, usable, 1000, 0.3):
+        n, best = want.get(q, (0, -1.0))
+        want[q] = (n + 1, max(best, s))
+    assert {r.query_id: (r.met, r.closest) for r in got.collect()} == want
+
+
+def test_lists_follow_the_rows_and_reach_the_recall(spark, tmp_path):
+    rows = random_rows(600, 9)
+    frame, queries = table(spark, rows + [(9000, None), (9001, [0.0] * DIM)]), table(spark, rows, "query_id")
+    built = lists.build(frame, DIM)
+    sizes = collections.Counter(r.list_id for r in built.members.collect())
+    assert sum(sizes.values()) == 600 and 90 < len(sizes) and max(sizes.values()) < 60
+    exact = knn.nearest(frame, queries, DIM, 5, 0.1, exclude_self=True)
+    probes = lists.probes_for(built, queries, DIM, 5, 0.1, True)
+    found = lists.search(built, queries, DIM, probes, 5, 0.1, exclude_self=True)
+    assert ann.recall(exact, found).first().recall >= 0.9
+    met = lists.pairs_met(built, queries, DIM, probes).first()
+    assert met.pairs == 360_000 and met.pairs_met < met.pairs * 0.4
+    every = lists.search(built, queries, DIM, built.centroids.count(), 5, 0.1, exclude_self=True)
+    assert result(every) == result(exact)
+    lists.write(built, str(tmp_path / "lists"), 8)
+    assert spark.read.parquet(str(tmp_path / "lists")).where("folder = 0").agg({"list_id": "max"}).first()[0] < 8
+
+
+def test_neighbouring_buckets_come_in_order():
+    rng = np.random.default_rng(2)
+    margins = rng.normal(size=(20, 6))
+    found = ann.closest_buckets(margins, 20)
+    for row, buckets in zip(margins, found):
+        side = [int(m >= 0) for m in row]
+        cost = {b: sum(abs(m) for i, m in enumerate(row) if (b >> i & 1) != side[i]) for b in range(64)}
+        assert buckets.tolist() == sorted(cost, key=lambda b: (cost[b], b))[:20]
+
+
+def test_probed_buckets_reach_the_recall(spark):
+    rows = random_rows(400, 10)
+    frame, queries = table(spark, rows), table(spark, rows, "query_id")
+    exact = knn.nearest(frame, queries, DIM, 5, 0.1, exclude_self=True)
+    bits = ann.bits_for(400)
+    probes = ann.lsh_probes_for(frame, queries, DIM, 3, bits, 5, 0.1, True)
+    found = ann.search_lsh(frame, queries, DIM, 3, bits, 5, 0.1, True, probes)
+    assert bits == 5 and 1 < probes < 32 and ann.recall(exact, found).first().recall >= 0.9
+    met = ann.lsh_pairs_met(frame, queries, DIM, 3, bits, probes).first()
+    assert met.pairs == 160_000 and met.pairs_met < 3 * met.pairs
