@@ -180,14 +180,15 @@ def fit_table(rows: pa.Table) -> pa.Table:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled documents; without any, one that calls everything good.
 
-    One task fits on the sample, of 2 * `sample` rows at most (rows that repeat an id count); the
-    driver gets the weights only.
+    One task fits on the sample, of `sample` labelled ids at most; of rows that share an id the
+    least text counts, so repeated rows change nothing. Null texts have no features; rows or
+    labels without an id take no part. The driver gets the weights only.
     """
     words.bounded_batches(docs.sparkSession)
     picked = graded(labels).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
     rows = rows.select("grade", "text").mapInArrow(featured, "grade int, features binary")
-    rows = rows.orderBy("grade", "features").limit(2 * sample)
     found = rows.withColumn("model", F.lit(0)).groupBy("model").applyInArrow(fit_table, "weights binary, cuts array<double>").collect()
     if not found:
         return Model(np.zeros(FEATURES, np.float32), np.array([-40.0, -39.0]))
