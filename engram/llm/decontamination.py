@@ -2,11 +2,11 @@
 blocks and verified by weighted shingles.
 
 Words are lower-cased letters and digits; shingles are five words (items with fewer words are
-one shingle of their size). A window has as many words as the item, and both weigh a shingle by
-how often they hold it. Similarity is the sum of smaller weights over the sum of larger ones.
+one shingle of their size). A window has as many words as the item, a text with fewer words is one
+window, and both weigh a shingle by how often they hold it. Similarity is the sum of smaller weights over the sum of larger ones.
 
-Only windows that hold enough shingles of an item in place are fingerprinted: a window and an
-item of W shingles each with similarity t share t / (1 + t) * 2W of them, so the others cannot
+Only windows that hold enough shingles of an item in place are fingerprinted: a window of V and an
+item of W shingles with similarity t share t / (1 + t) * (V + W) of them, so the others cannot
 pass. Fingerprints meet through BLOCKS blocks of bits, one of which is equal for any two at most
 BLOCKS - 1 bits apart; similar windows (0.8) differ by about 10 of 64 bits.
 """
@@ -134,12 +134,15 @@ def search(column: pa.Array, indexes: list[Items], hashed) -> Iterator[tuple[int
         best: dict = {}
         for a, b in zip(new, np.append(new, len(row))[1:]):
             r, words_in = int(row[a]), int(items.n_words[item[a]])
-            width = words_in - items.size + 1
-            need = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * width - 1e-9))
+            begin, stop = int(found.first[r]), int(found.first[r + 1])
+            # A text with fewer words than the item is one window.
+            width = min(words_in, stop - begin) - items.size + 1
+            share = SIMILARITY / (1 + SIMILARITY) * (width + words_in - items.size + 1)
+            need = int(np.ceil(share - 1e-9))
             if b - a < need:
                 continue
-            begin, stop = int(found.first[r]), int(found.first[r + 1])
-            for s in starts(place[a:b] - begin, width, need, stop - begin - words_in).tolist():
+            last = max(0, stop - begin - words_in)
+            for s in starts(place[a:b] - begin, width, need, last).tolist():
                 window = grams[begin + s : begin + s + width]
                 mark = fingerprint(window)
                 met = {k for n, mask in enumerate(MASKS) for k in items.blocks.get((words_in, n, int(mark & mask)), ())}
@@ -148,7 +151,7 @@ def search(column: pa.Array, indexes: list[Items], hashed) -> Iterator[tuple[int
                         score = similarity(window, items.shingles[k])
                         key = (r, items.ids[k])
                         if score >= SIMILARITY and (key not in best or (-score, s) < best[key][:2]):
-                            best[key] = (-score, s, words_in)
+                            best[key] = (-score, s, width + items.size - 1)
         for (r, item_id), (score, s, n) in sorted(best.items()):
             yield r, item_id, s, n, -score
 

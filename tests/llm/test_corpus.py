@@ -1,11 +1,12 @@
 """The pipeline's stages on a small odd corpus, and what repeated rows do to the classifier."""
 
 import random
+from collections import Counter
 
 import pytest
 
 import corpus_pipeline
-from engram.llm import jaccard, lines, quality
+from engram.llm import decontamination, jaccard, lines, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 GOOD = "the river runs over old stones and people walk along its bank in the morning light".split()
@@ -132,3 +133,52 @@ def test_long_lines_and_repeated_rows(spark):
     got = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_removed int")).collect()}
     assert got == {(1, long, 1, 0), (2, "", 1, 1), (3, "a\n\n" + long[:500], 2, 0)}
     assert jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, n_lines int, n_removed int"), 5, 80).count() >= 3
+
+
+def best_windows(docs, items):
+    """The best window of every item in every text, the plain way."""
+    split = lambda t: "".join(c if c.isalnum() and c.isascii() or not c.isascii() else " " for c in (t or "").lower()).split()
+    out = set()
+    for d, text in docs:
+        w = split(text)
+        for k, item in items:
+            b = split(item)
+            size = min(5, len(b))
+            if not b or len(w) < size:
+                continue
+            want, best = Counter(tuple(b[i : i + size]) for i in range(len(b) - size + 1)), None
+            for s in range(max(1, len(w) - len(b) + 1)):
+                part = w[s : s + len(b)]
+                have = Counter(tuple(part[i : i + size]) for i in range(len(part) - size + 1))
+                score = sum((want & have).values()) / sum((want | have).values())
+                if score >= 0.8 and (best is None or score > best[0]):
+                    best = (score, s, len(part))
+            if best:
+                out.add((d, k, best[1], best[2], round(best[0], 9)))
+    return out
+
+
+def test_leaks_in_every_text_against_all_windows(spark):
+    """Cut, changed, repeated and whole items, items in short texts, long texts, repeated rows."""
+    rng = random.Random(13)
+    vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in ("on", "it", "ra", "es", "ul")] + ["é", "日本"]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, " ".join(text(rng.choice([3, 5, 8, 20, 40])))) for i in range(25)] + [(7, "on on on on on on on on on"), (None, "on it ra")]
+    docs = []
+    for i in range(120):
+        words = items[rng.randrange(25)][1].split()
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["zz"], [words[at], words[at]]])
+        words = words[rng.choice([0, 0, 1, 2]) : len(words) - rng.choice([0, 0, 1, 3])]
+        around = rng.choice([0, 0, 4, 30])
+        docs.append((i, rng.choice([" ", ", ", "\n"]).join(text(around) + words + text(around))))
+    docs += [(500, "on " * 30), (501, None), (502, ""), (503, " ".join(text(5000)) + " " + items[3][1]), docs[0]]
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.leaks(frame, bench).collect()
+    known = {(r.doc_id, r.item_id, r.start_word, r.n_words, round(r.similarity, 9)) for r in got}
+    want = best_windows(docs, [x for x in items if x[0] is not None])
+    # An id with two texts has the better of their windows.
+    assert {x for x in known if x[1] != 7} == {x for x in want if x[1] != 7} and len(want) > 60
+    assert {x[:2] for x in known} == {x[:2] for x in want}
