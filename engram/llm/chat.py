@@ -2,9 +2,9 @@
 
 Every turn becomes one segment of a conversation's stream, with its marks; every assistant turn
 is an example of its own, whose context is the stream before it and whose reply alone is
-trainable. Contexts of at most INLINE_CHARS characters stand in the example's row, longer ones
-whole in rows of at most so many characters before it. All are made in one pass over each
-conversation in order, so a conversation of n turns takes n * n space, as its examples do.
+trainable. Contexts stand whole in rows of at most CHUNK_CHARS characters before their example. All
+are made in one pass over each conversation in order, so a conversation of n turns takes n * n
+space, as its examples do.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ START, MIDDLE, STOP = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: one more than the text itself has there.
 CONTROL = r"([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
 ESCAPED = r"([<\[])\\(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|/?INST\]|<SYS>>|</SYS>>)"
-INLINE_CHARS = 4096
+#: Characters of a chunk of a context.
+CHUNK_CHARS = 4096
 #: Characters of a batch of rows, about.
 BATCH_CHARS = 4 << 20
 FORMATTED = "conv_id long, role string, segment string, loss_start int, loss_end int, context_chars long, context string, chunk int"
@@ -53,9 +54,9 @@ def segments(turns: DataFrame) -> DataFrame:
 
 
 def with_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments in order to the same with the length of what precedes them, and for assistant
-    turns the preceding text itself, after rows with its chunks if it is long. The open state is
-    the stream of one conversation."""
+    """Segments in order to the same with the length of what precedes them, those of assistant
+    turns after rows with the chunks of the preceding text. The open state is the stream of one
+    conversation."""
     kinds = (pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int32())
     names = [f.split()[0] for f in FORMATTED.split(", ")]
 
@@ -67,21 +68,19 @@ def with_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for key, role, segment, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
             if key != conv:
                 conv, length, full, last = key, 0, [], ""
-            context, chunk = None, 0
-            if role == "assistant" and not full:
-                context = last
-            elif role == "assistant":
+            chunk = 0
+            if role == "assistant":
                 for piece in (*full, last) if last else full:
                     out.append((key, None, "", None, None, length, piece, chunk))
                     chunk, held = chunk + 1, held + len(piece)
                     if held >= BATCH_CHARS:
                         yield batch_of(out)
                         out, held = [], 0
-            out.append((key, role, segment, start, end, length, context, chunk))
-            held += len(segment) + len(context or "")
+            out.append((key, role, segment, start, end, length, None, chunk))
+            held += len(segment)
             length, last = length + len(segment), last + segment
-            cut = (len(last) - 1) // INLINE_CHARS * INLINE_CHARS
-            full += [last[i : i + INLINE_CHARS] for i in range(0, cut, INLINE_CHARS)]
+            cut = (len(last) - 1) // CHUNK_CHARS * CHUNK_CHARS
+            full += [last[i : i + CHUNK_CHARS] for i in range(0, cut, CHUNK_CHARS)]
             last = last[cut:]
             if held >= BATCH_CHARS:
                 yield batch_of(out)
@@ -95,10 +94,9 @@ def expanded(turns: DataFrame) -> DataFrame:
 
     A row per turn: its segment, and context_chars, the length of the stream before it. Rows of
     assistant turns are the examples: the reply lies at loss_start to loss_end of the segment,
-    the context is the first context_chars characters of the conversation's stream. It stands in
-    `context` where it is short; else that is null, and rows without a role and with the same
-    conv_id and context_chars hold it, in the order of `chunk` (that of the example is their
-    number). Ties of turn are ordered by role and text; a null turn comes
+    the context is the first context_chars characters of the conversation's stream, which rows
+    without a role and with the same conv_id and context_chars hold in `context`, in the order of
+    `chunk` (that of the example is their number; its own context is null). Ties of turn are ordered by role and text; a null turn comes
     first, a null role or text is empty, null conv_ids are one conversation; repeated rows are
     repeated turns. Other columns are ignored; an empty table gives an empty one.
     """

@@ -218,8 +218,10 @@ def test_chat_round_trip_and_examples(spark):
     out = chat.expanded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     back = {r.conv_id: r for r in chat.read_back(out).collect()}
     assert back[1].n_turns == 4 and back[1].loss_chars == len(said) and back[2].loss_chars == 1
+    chunks = out.where("role is null").collect()
     for r in out.where("role = 'assistant'").collect():
-        assert r.context_chars == len(r.context) if r.context is not None else r.context_chars > chat.INLINE_CHARS
+        mine = [len(c.context) for c in chunks if (c.conv_id, c.context_chars) == (r.conv_id, r.context_chars)]
+        assert r.context is None and sum(mine) == r.context_chars and max(mine) <= chat.CHUNK_CHARS and r.chunk == len(mine)
     assert "</s>" not in "".join(r.segment for r in out.collect())
     assert chat.expanded(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -227,7 +229,7 @@ def test_chat_round_trip_and_examples(spark):
 def test_chat_examples_hold_their_whole_context(spark):
     rows = [(c, t, "assistant" if t % 2 else "user", f"{c} {t} é" * n) for c, n in ((1, 3), (2, 400), (3, 3000)) for t in range(9)]
     out = chat.expanded(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert all(len(r.context) <= chat.INLINE_CHARS for r in out if r.context is not None)
+    assert all(len(r.context) <= chat.CHUNK_CHARS for r in out if r.context is not None)
     for conv in (1, 2, 3):
         stream, examples = "", 0
         for r in sorted((r for r in out if r.conv_id == conv and r.role is not None), key=lambda r: r.context_chars):
