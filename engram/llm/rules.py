@@ -1,7 +1,9 @@
 """Quality rules with thresholds learned from the corpus, in DataFrame functions only.
 
 Shares of symbols, repeated lines and repeated words, and the mean word length, are gathered in
-mergeable quantile sketches (KLL) per language and source. A document is an outlier of its group
+mergeable quantile sketches per language and source: counts of logarithmic cells a thousandth
+wide, each with its least value. Counts merge alike in any order, so reruns agree, and a quantile is
+exact where its cell holds one value, else less than a thousandth low. A document is an outlier of its group
 if a share lies above the upper quartile by more than FENCE times the quartile distance plus a
 least distance, or the mean word length lies as far on either side. Groups of fewer than
 LEAST_ROWS documents take the merged sketch of their language.
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.operators import skew
@@ -23,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 FENCE = 3.0
 LEAST_ROWS = 30
+#: Cells of a sketch per unit of the natural logarithm, and the cell of zero.
+CELLS, ZERO = 1000, -1_000_000
 #: Measures with the least distance from the quartile that counts as odd.
 MEASURES = {"symbol_share": 0.1, "dup_line_share": 0.3, "repeat_share": 0.15, "mean_word": 3.0}
 
@@ -79,22 +83,42 @@ def measured(docs: DataFrame) -> DataFrame:
     })
 
 
+def cells(rows: DataFrame) -> DataFrame:
+    """(lang, source, m, cell, n, least): how many documents that pass the base rules fall into
+    each cell of a measure. A group has as many rows as its values span cells, whatever its size."""
+    each = F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in MEASURES])
+    flat = rows.where("not base_failed").select("lang", "source", F.explode(each).alias("x")).select("lang", "source", "x.m", "x.v")
+    cell = F.when(F.col("v") > 0, F.floor(F.log("v") * CELLS)).otherwise(F.lit(ZERO)).alias("cell")
+    return flat.groupBy("lang", "source", "m", cell).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("least"))
+
+
+def quartiles(cells: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, low and high quartile of every measure) from cells; those of a key merge."""
+    merged = cells.groupBy(*keys, "m", "cell").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    group = Window.partitionBy(*keys, "m")
+    merged = merged.withColumns({"upto": F.sum("n").over(group.orderBy("cell")), "total": F.sum("n").over(group)})
+
+    def quantile(m: str, share: float) -> Column:
+        return F.min(F.when((F.col("m") == m) & (F.col("upto") >= share * F.col("total")), F.col("least")))
+
+    columns = [quantile(m, q).alias(f"{m}_{name}") for m in MEASURES for q, name in ((0.25, "low"), (0.75, "high"))]
+    return merged.groupBy(*keys).agg(F.max("total").alias("n"), *columns)
+
+
 def bounds(rows: DataFrame) -> DataFrame:
     """(lang, source, low and high of every measure), from sketches of documents that pass the
     base rules."""
-    sketches = rows.where("not base_failed").groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(m).alias(m) for m in MEASURES]
-    )
-    sketches = written(sketches, "rules-sketches")
-    whole = sketches.groupBy(F.col("lang").alias("of")).agg(*[F.kll_merge_agg_double(m).alias(f"{m}_all") for m in MEASURES])
-    sketches = sketches.join(whole, F.col("lang").eqNullSafe(F.col("of")))
+    sketches = written(cells(rows), "rules-cells")
+    own = quartiles(sketches, "lang", "source")
+    whole = quartiles(sketches, "lang")
+    whole = whole.select(F.col("lang").alias("of"), *[F.col(c).alias(f"{c}_all") for c in whole.columns if c not in ("lang", "n")])
+    own = own.join(whole, F.col("lang").eqNullSafe(F.col("of")))
     out = []
     for m, least in MEASURES.items():
-        use = F.when(F.col("n") >= LEAST_ROWS, F.col(m)).otherwise(F.col(f"{m}_all"))
-        low, high = (F.kll_sketch_get_quantile_double(use, F.lit(q)) for q in (0.25, 0.75))
+        low, high = (F.when(F.col("n") >= LEAST_ROWS, F.col(f"{m}_{q}")).otherwise(F.col(f"{m}_{q}_all")) for q in ("low", "high"))
         reach = FENCE * (high - low) + least
         out += [(high + reach).alias(f"{m}_high"), (low - reach).alias(f"{m}_low")]
-    return sketches.select(F.col("lang").alias("b_lang"), F.col("source").alias("b_source"), *out)
+    return own.select(F.col("lang").alias("b_lang"), F.col("source").alias("b_source"), *out)
 
 
 def judged(docs: DataFrame) -> DataFrame:
