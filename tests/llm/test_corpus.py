@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from engram.llm import decontamination, jaccard, lines, quality
+from engram.llm import decontamination, jaccard, lines, quality, rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 GOOD = "the river runs over old stones and people walk along its bank in the morning light".split()
@@ -182,3 +183,45 @@ def test_leaks_in_every_text_against_all_windows(spark):
     # An id with two texts has the better of their windows.
     assert {x for x in known if x[1] != 7} == {x for x in want if x[1] != 7} and len(want) > 60
     assert {x[:2] for x in known} == {x[:2] for x in want}
+
+
+def test_thresholds_are_equal_in_every_run_and_near_the_quantiles(spark):
+    """However the rows are dealt out; a cell's least value is at most a thousandth low."""
+    rng = random.Random(21)
+    rows = [(rng.choice("ab"), rng.choice(["x", None]), False, rng.random(), 0.0, rng.random() ** 3, 4 + rng.random() * 3) for _ in range(4000)]
+    names = "lang string, source string, base_failed boolean, symbol_share double, dup_line_share double, repeat_share double, mean_word double"
+    frame = spark.createDataFrame(rows, names)
+    runs = [sorted(map(str, rules.bounds(frame.repartition(n)).collect())) for n in (1, 5, 13)]
+    assert runs[0] == runs[1] == runs[2]
+    found = {(r.lang, r.source): r for r in rules.quartiles(rules.cells(frame), "lang", "source").collect()}
+    for key, r in found.items():
+        own = sorted(x[6] for x in rows if (x[0], x[1]) == key)
+        for share, got in ((0.25, r.mean_word_low), (0.75, r.mean_word_high)):
+            exact = own[-(-int(len(own) * share * 1000) // 1000) - 1]
+            assert exact * 0.998 <= got <= exact * 1.0005
+        assert r.n == len(own) and r.dup_line_share_low == r.dup_line_share_high == 0
+
+
+def test_parts_never_rule_out_similar_lines():
+    """The bound by parts stays below the edit distance, and rules out lines that share a passage only."""
+    rng = random.Random(17)
+    said = lambda n: "".join(rng.choice("abcdefgh nopé") for _ in range(n))
+    pairs = []
+    for _ in range(150):
+        a = list(said(rng.randrange(64, 700)))
+        b = list(a)
+        for _ in range(rng.randrange(0, len(a) // 6)):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([[], ["z"], [b[at], "y"]])
+        pairs.append(("".join(a), "".join(b)))
+    passage = said(300)
+    pairs += [(said(200) + passage + said(100), said(210) + passage + said(90)) for _ in range(20)]
+    texts = [t for p in pairs for t in p]
+    size = np.array([len(t) for t in texts])
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint8)
+    start = np.cumsum(size) - size
+    a = np.arange(0, len(texts), 2)
+    far = lines.too_far(letters, start, size, np.concatenate([a, a + 1]), np.concatenate([a + 1, a]))
+    for (x, y), one, other in zip(pairs, far[: len(a)], far[len(a) :]):
+        assert not (lines.similar(x, y) and (one or other))
+    assert far[150 : len(a)].all()
