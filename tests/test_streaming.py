@@ -2,6 +2,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from engram.catalog.fixtures import Fixtures
+from engram.catalog.queries import streamed
 from engram.operators import store
 from engram.streaming import activity, ingest
 
@@ -70,3 +72,18 @@ def test_daily_activity_drops_rows_past_the_watermark(spark, tmp_path):
     assert run() == {1: 2, 10: 1}
     write(spark, [(day(9, 1),), (day(10, 2),), (day(1, 9),)], schema, source)
     assert run() == {1: 2, 9: 1, 10: 2}  # 9 January is in time, 1 January is too late
+
+
+def test_a_table_arrives_as_one_file_and_as_a_folder_of_files(spark, tmp_path):
+    rows = spark.range(20).withColumnRenamed("id", "doc_id")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (part,) = (tmp_path / "part").glob("part-*.parquet")
+    (tmp_path / "file").mkdir()
+    part.rename(tmp_path / "file" / "documents.parquet")
+    for form in ("file", "folder"):
+        arriving = streamed(Fixtures(spark, str(tmp_path / form)), "documents").table("documents")
+        sink, mark = str(tmp_path / f"{form}-out"), str(tmp_path / f"{form}-mark")
+        writer = arriving.writeStream.format("parquet").option("checkpointLocation", mark)
+        writer.trigger(availableNow=True).start(sink).awaitTermination()
+        assert sorted(r.doc_id for r in spark.read.parquet(sink).collect()) == list(range(20))
