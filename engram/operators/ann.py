@@ -157,6 +157,27 @@ def lsh_buckets(embedding, tables: int, bits: int, dimension: int, probes: int =
     return buckets(embedding)
 
 
+def probed_buckets(tables: int, bits: int, dimension: int, probes: int):
+    """The buckets of `lsh_buckets` as a function for `knn.nearest_met`: which of some buckets each
+    of some unit vectors probes."""
+    planes, buckets = hyperplanes(tables, bits, dimension), np.arange(1 << bits)
+
+    def asks(vectors: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        margins = (vectors @ planes.T).reshape(len(vectors), tables, bits)
+        out = np.zeros((len(vectors), len(numbers)), bool)
+        for t in range(tables):
+            mine = np.flatnonzero(numbers >> bits == t)
+            cost, own = np.zeros((len(vectors), 1)), np.zeros(len(vectors), np.int64)
+            for bit in range(bits):
+                cost = np.concatenate([cost, cost + np.abs(margins[:, t, bit : bit + 1])], axis=1)
+                own += (margins[:, t, bit] >= 0).astype(np.int64) << bit
+            near = knn.lowest(np.take_along_axis(cost, buckets ^ own[:, None], 1), probes)
+            out[:, mine] = near[:, numbers[mine] - (t << bits)]
+        return out
+
+    return asks
+
+
 def lsh_probes_for(
     memories: DataFrame, queries: DataFrame, dimension: int, tables: int, bits: int, limit: int = schema.SEARCH_LIMIT,
     threshold: float = schema.SEARCH_THRESHOLD, exclude_self: bool = False, sample: int = SAMPLE, target: float = TARGET,
@@ -191,11 +212,9 @@ def search_lsh(
 ) -> DataFrame:
     """Best memories of the `probes` buckets of every table that a query comes closest to."""
     own = lsh_buckets("embedding", tables, bits, dimension)
-    near = lsh_buckets("embedding", tables, bits, dimension, probes)
-    return knn.nearest(
-        memories.select("id", "embedding", own.alias("list_ids")),
-        queries.select("query_id", "embedding", F.explode(near).alias("list_id")),
-        dimension, limit, threshold, exclude_self, lists=True, **options,
+    return knn.nearest_met(
+        memories.select("id", "embedding", own.alias("list_ids")), queries, dimension,
+        probed_buckets(tables, bits, dimension, probes), limit, threshold, exclude_self, **options,
     )
 
 
@@ -204,8 +223,9 @@ def lsh_pairs_met(memories: DataFrame, queries: DataFrame, dimension: int, table
     counted once per table."""
     own = memories.select(F.explode(lsh_buckets("embedding", tables, bits, dimension)).alias("bucket"))
     sizes = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    near = queries.select("query_id", F.explode(lsh_buckets("embedding", tables, bits, dimension, probes)).alias("bucket"))
-    met = near.join(sizes, "bucket").groupBy("query_id").agg(F.sum("n").alias("n"))
+    asks = probed_buckets(tables, bits, dimension, probes)
+    met = knn.pairs_asked(queries, sizes.withColumnRenamed("bucket", "list_id"), dimension, asks)
+    met = met.groupBy("query_id").agg(F.sum("n").alias("n"))
     return met.agg(
         (F.count(F.lit(1)) * (sizes.agg(F.sum("n")).scalar() / tables)).cast("long").alias("pairs"),
         F.sum("n").alias("pairs_met"),

@@ -306,3 +306,31 @@ def test_probed_buckets_reach_the_recall(spark):
     assert bits == 5 and 1 < probes < 32 and ann.recall(exact, found).first().recall >= 0.9
     met = ann.lsh_pairs_met(frame, queries, DIM, 3, bits, probes).first()
     assert met.pairs == 160_000 and met.pairs_met < 3 * met.pairs
+
+
+def test_lsh_queries_travel_without_their_buckets(spark, monkeypatch):
+    rows, bucketed = random_rows(300, 11), ann.lsh_buckets
+    frame, queries = table(spark, rows + [(900, None)]), table(spark, rows, "query_id")
+    near = bucketed("embedding", 2, 4, DIM, 5)
+    asked = queries.select("query_id", "embedding", F.explode(near).alias("list_id"))
+    mine = frame.select("id", "embedding", bucketed("embedding", 2, 4, DIM).alias("list_ids"))
+    want = result(knn.nearest(mine, asked, DIM, 3, 0.1, True, lists=True))
+
+    def only_own(embedding, tables, bits, dimension, probes=1):
+        assert probes == 1
+        return bucketed(embedding, tables, bits, dimension)
+
+    monkeypatch.setattr(ann, "lsh_buckets", only_own)
+    for options in ({}, {"memory_rows": 70, "query_rows": 40}):
+        assert result(ann.search_lsh(frame, queries, DIM, 2, 4, 3, 0.1, True, 5, **options)) == want
+    assert ann.lsh_pairs_met(frame, queries, DIM, 2, 4, 5).first().pairs_met > 0
+
+
+def test_probed_buckets_are_the_closest_ones():
+    vectors = np.random.default_rng(3).normal(size=(30, DIM))
+    vectors[0] = np.eye(DIM)[0]  # all margins tie
+    margins = (vectors @ ann.hyperplanes(2, 5, DIM).T).reshape(30, 2, 5)
+    got = ann.probed_buckets(2, 5, DIM, 7)(vectors, np.arange(64))
+    for row, asked in enumerate(got):
+        want = [b + (t << 5) for t in range(2) for b in ann.closest_buckets(margins[row : row + 1, t], 7)[0]]
+        assert np.flatnonzero(asked).tolist() == sorted(want)
