@@ -10,14 +10,17 @@ lists nor the queries have a bound. How many lists a query probes is measured on
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram import schema
+from engram.functions.vectors import unit_rows
 from engram.operators import knn
 from engram.sources.workspace import written
 
@@ -115,6 +118,24 @@ def probed(centroids: DataFrame, queries: DataFrame, dimension: int, probes: int
     return found.select("query_id", F.col("id").alias("list_id"), "rank")
 
 
+def closest_lists(centroids: DataFrame, dimension: int, probes: int) -> Callable | None:
+    """The same choice as a function for `knn.nearest_met`, which holds the centroids; None if
+    they pass the bound of a broadcast. Their number grows with the root of the table."""
+    mine = centroids.select(F.col("list_id").alias("query_id"), F.col("centroid").alias("embedding"))
+    table = knn.few_queries(mine.orderBy("query_id"), dimension, knn.MAX_BROADCAST_BYTES)
+    if table is None:
+        return None
+    at, points = unit_rows(table["embedding"].combine_chunks(), dimension)
+    known = table["query_id"].to_numpy()[at]
+
+    def asks(vectors: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        near = knn.lowest(-np.round(vectors @ points.T, schema.SIMILARITY_DECIMALS), probes)
+        place = np.minimum(np.searchsorted(known, numbers), max(0, len(known) - 1))
+        return near[:, place] & (known[place] == numbers) if len(known) else np.zeros((len(vectors), len(numbers)), bool)
+
+    return asks
+
+
 def probes_for(
     lists: Lists, queries: DataFrame, dimension: int, limit: int = schema.SEARCH_LIMIT,
     threshold: float = schema.SEARCH_THRESHOLD, exclude_self: bool = False, sample: int = SAMPLE, target: float = TARGET,
@@ -134,9 +155,12 @@ def search(
     threshold: float = schema.SEARCH_THRESHOLD, exclude_self: bool = False, **options,
 ) -> DataFrame:
     """(query_id, id, similarity, rank): the best of the `probes` lists closest to each query."""
+    met = lists.members.withColumn("list_ids", F.array("list_id"))
+    asks = closest_lists(lists.centroids, dimension, probes)
+    if asks is not None:
+        return knn.nearest_met(met, queries, dimension, asks, limit, threshold, exclude_self, **options)
     asked = probed(lists.centroids, queries, dimension, probes).select("query_id", "list_id")
     asked = written(queries.join(asked, "query_id"), "lists-asked")
-    met = lists.members.withColumn("list_ids", F.array("list_id"))
     return knn.nearest(met, asked, dimension, limit, threshold, exclude_self, lists=True, **options)
 
 
@@ -144,7 +168,11 @@ def pairs_met(lists: Lists, queries: DataFrame, dimension: int, probes: int) ->
     """(pairs, pairs_met): all pairs of a query and a row, and those that a search scores."""
     sizes = lists.members.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).scalar()
-    asked = probed(lists.centroids, queries, dimension, probes).join(sizes, "list_id")
-    return asked.groupBy("query_id").agg(F.sum("n").alias("n")).agg(
+    asks = closest_lists(lists.centroids, dimension, probes)
+    if asks is not None:
+        met = knn.pairs_asked(queries, sizes, dimension, asks)
+    else:
+        met = probed(lists.centroids, queries, dimension, probes).join(sizes, "list_id")
+    return met.groupBy("query_id").agg(F.sum("n").alias("n")).agg(
         (F.count(F.lit(1)) * total).alias("pairs"), F.sum("n").alias("pairs_met")
     )

@@ -334,3 +334,18 @@ def test_probed_buckets_are_the_closest_ones():
     for row, asked in enumerate(got):
         want = [b + (t << 5) for t in range(2) for b in ann.closest_buckets(margins[row : row + 1, t], 7)[0]]
         assert np.flatnonzero(asked).tolist() == sorted(want)
+
+
+def test_queries_travel_without_the_lists_they_ask(spark, monkeypatch):
+    rows = random_rows(300, 12)
+    frame, queries = table(spark, rows), table(spark, rows, "query_id")
+    built = lists.build(frame, DIM)
+    asked = queries.join(lists.probed(built.centroids, queries, DIM, 9).select("query_id", "list_id"), "query_id")
+    mine = built.members.withColumn("list_ids", F.array("list_id"))
+    want = result(knn.nearest(mine, asked, DIM, 4, 0.1, True, lists=True))
+    sizes = collections.Counter(r.list_id for r in built.members.collect())
+    met = sum(sizes[r.list_id] for r in asked.collect())
+    monkeypatch.setattr(lists, "probed", None)
+    for options in ({}, {"memory_rows": 70, "query_rows": 40}):
+        assert result(lists.search(built, queries, DIM, 9, 4, 0.1, True, **options)) == want
+    assert lists.pairs_met(built, queries, DIM, 9).first().pairs_met == met
