@@ -9,6 +9,7 @@ threshold with any memory of it, so it never travels there. What is left is scor
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -65,24 +66,41 @@ def ringed(memories: DataFrame, dimension: int, pivots: np.ndarray) -> DataFrame
     return memories.select("id", "embedding", ring("embedding").alias("list_ids"), angle("embedding").alias("angle"))
 
 
+def _rings_near(pivots: np.ndarray, extents: np.ndarray, threshold: float) -> tuple[np.ndarray, Callable]:
+    """The rings of extents (ring, least angle, largest angle), and which of them may hold a memory
+    within the threshold of each of some unit vectors, as a matrix."""
+    extents = extents[np.argsort(extents[:, 0])]
+    number, low, high = extents[:, 0].astype(np.int64), extents[:, 1] - SLACK, extents[:, 2] + SLACK
+    reach = math.acos(max(-1.0, min(1.0, threshold - SLACK))) + SLACK
+
+    def near(rows: np.ndarray, some=slice(None)) -> np.ndarray:
+        away = angles(rows, pivots)[:, number[some] // RINGS]
+        return (away - reach <= high[some]) & (away + reach >= low[some])
+
+    return number, near
+
+
+def asked_rings(pivots: np.ndarray, extents: np.ndarray, threshold: float) -> Callable:
+    """The same for `knn.nearest_met`, of some of the rings."""
+    number, near = _rings_near(pivots, extents, threshold)
+    return lambda rows, numbers: near(rows, np.searchsorted(number, numbers))
+
+
 def reachable(queries: DataFrame, dimension: int, pivots: np.ndarray, extents: np.ndarray, threshold: float) -> DataFrame:
     """(query_id, embedding, list_id): one row for every ring that may hold a memory within the
     threshold. extents: ring, least angle, largest angle."""
-    number, low, high = extents[:, 0].astype(np.int64), extents[:, 1] - SLACK, extents[:, 2] + SLACK
-    reach = math.acos(max(-1.0, min(1.0, threshold - SLACK))) + SLACK
+    number, near = _rings_near(pivots, extents, threshold)
 
     @F.arrow_udf("array<int>")
     def rings(vectors: pa.Array) -> pa.Array:
         positions, rows = unit_rows(vectors, dimension)
-        away = angles(rows, pivots)[:, number // RINGS]
-        near = (away - reach <= high) & (away + reach >= low)
-        return _lists([number[x] for x in near], positions, len(vectors))
+        return _lists([number[x] for x in near(rows)], positions, len(vectors))
 
     return queries.select("query_id", "embedding", F.explode(rings("embedding")).alias("list_id"))
 
 
-def prepared(memories: DataFrame, queries: DataFrame, dimension: int, threshold: float, count: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Memories with the ring they are in, and a row for each ring that a query reaches."""
+def prepared(memories: DataFrame, dimension: int, count: int | None = None) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Memories with the ring they are in, the pivots, and the extents of the rings."""
     usable = memories.select("id", "embedding").where(F.size("embedding") == dimension)
     count = count or pivots_for(usable.count())
     chosen = usable.orderBy(id_hash("id"), "id").limit(count).toArrow()
@@ -93,7 +111,7 @@ def prepared(memories: DataFrame, queries: DataFrame, dimension: int, threshold:
     extents = mine.select(F.explode("list_ids").alias("ring"), "angle").groupBy("ring").agg(F.min("angle"), F.max("angle"))
     rows = extents.toArrow()  # at most MAX_PIVOTS * RINGS
     table = np.stack([c.to_numpy().astype(float) for c in rows.columns], axis=1) if rows.num_rows else np.zeros((0, 3))
-    return mine.select("id", "embedding", "list_ids"), reachable(queries, dimension, pivots, table, threshold)
+    return mine.select("id", "embedding", "list_ids"), pivots, table
 
 
 def nearest_above(
@@ -102,14 +120,16 @@ def nearest_above(
 ) -> DataFrame:
     """(query_id, id, similarity, rank): the same as `knn.nearest`, hit for hit, but queries meet
     only the rings that they can reach."""
-    mine, asked = prepared(memories, queries, dimension, threshold, count)
-    return knn.nearest(mine, asked, dimension, limit, threshold, exclude_self, lists=True, **options)
+    mine, *rings = prepared(memories, dimension, count)
+    asks = asked_rings(*rings, threshold)
+    return knn.nearest_met(mine, queries, dimension, asks, limit, threshold, exclude_self, **options)
 
 
 def pairs_met(memories: DataFrame, queries: DataFrame, dimension: int, threshold: float, count: int | None = None) -> DataFrame:
     """(pairs, pairs_met, rings, rings_met): pairs of queries and memories, and of queries and
     rings, in all and those that are left to be scored."""
-    mine, asked = prepared(memories, queries, dimension, threshold, count)
+    mine, *found = prepared(memories, dimension, count)
+    asked = reachable(queries, dimension, *found, threshold)
     sizes = written(mine.select(F.explode("list_ids").alias("list_id")).groupBy("list_id").agg(F.count(F.lit(1)).alias("n")), "pivots-sizes")
     total, rings = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
     met = asked.join(sizes, "list_id").agg(F.sum("n").alias("pairs_met"), F.count(F.lit(1)).alias("rings_met"))

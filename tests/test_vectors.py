@@ -349,3 +349,11 @@ def test_queries_travel_without_the_lists_they_ask(spark, monkeypatch):
     for options in ({}, {"memory_rows": 70, "query_rows": 40}):
         assert result(lists.search(built, queries, DIM, 9, 4, 0.1, True, **options)) == want
     assert lists.pairs_met(built, queries, DIM, 9).first().pairs_met == met
+
+
+def test_queries_travel_without_the_rings_they_reach(spark, monkeypatch):
+    rows = random_rows(200, 13)
+    frame, queries = table(spark, rows), table(spark, rows, "query_id")
+    monkeypatch.setattr(pivots, "reachable", None)
+    got = pivots.nearest_above(frame, queries, DIM, 4, 0.5, True, memory_rows=60, query_rows=50)
+    assert result(got) == brute(rows, rows, 4, 0.5, exclude_self=True)
