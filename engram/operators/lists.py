@@ -136,6 +136,16 @@ def closest_lists(centroids: DataFrame, dimension: int, probes: int) -> Callable
     return asks
 
 
+def by_repeats(queries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The queries whose id comes once, and the others, None if there are none: rows that share an
+    id share its probes."""
+    counts = queries.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    again = written(counts.where("n > 1 and query_id is not null").select("query_id"), "lists-repeated")
+    if again.isEmpty():
+        return queries, None
+    return queries.join(again, "query_id", "left_anti"), queries.join(again, "query_id", "left_semi")
+
+
 def probes_for(
     lists: Lists, queries: DataFrame, dimension: int, limit: int = schema.SEARCH_LIMIT,
     threshold: float = schema.SEARCH_THRESHOLD, exclude_self: bool = False, sample: int = SAMPLE, target: float = TARGET,
@@ -157,11 +167,16 @@ def search(
     """(query_id, id, similarity, rank): the best of the `probes` lists closest to each query."""
     met = lists.members.withColumn("list_ids", F.array("list_id"))
     asks = closest_lists(lists.centroids, dimension, probes)
+    hits = None
     if asks is not None:
-        return knn.nearest_met(met, queries, dimension, asks, limit, threshold, exclude_self, **options)
+        single, queries = by_repeats(queries)
+        hits = knn.nearest_met(met, single, dimension, asks, limit, threshold, exclude_self, **options)
+        if queries is None:
+            return hits
     asked = probed(lists.centroids, queries, dimension, probes).select("query_id", "list_id")
     asked = written(queries.join(asked, "query_id"), "lists-asked")
-    return knn.nearest(met, asked, dimension, limit, threshold, exclude_self, lists=True, **options)
+    more = knn.nearest(met, asked, dimension, limit, threshold, exclude_self, lists=True, **options)
+    return more if hits is None else hits.unionByName(more)
 
 
 def pairs_met(lists: Lists, queries: DataFrame, dimension: int, probes: int) -> DataFrame:
@@ -169,10 +184,13 @@ def pairs_met(lists: Lists, queries: DataFrame, dimension: int, probes: int) ->
     sizes = lists.members.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.sum("n")).scalar()
     asks = closest_lists(lists.centroids, dimension, probes)
+    met = None
     if asks is not None:
-        met = knn.pairs_asked(queries, sizes, dimension, asks)
-    else:
-        met = probed(lists.centroids, queries, dimension, probes).join(sizes, "list_id")
+        single, queries = by_repeats(queries)
+        met = knn.pairs_asked(single, sizes, dimension, asks)
+    if queries is not None:
+        more = probed(lists.centroids, queries, dimension, probes).join(sizes, "list_id").select("query_id", "n")
+        met = more if met is None else met.unionByName(more)
     return met.groupBy("query_id").agg(F.sum("n").alias("n")).agg(
         (F.count(F.lit(1)) * total).alias("pairs"), F.sum("n").alias("pairs_met")
     )

@@ -357,3 +357,10 @@ def test_queries_travel_without_the_rings_they_reach(spark, monkeypatch):
     monkeypatch.setattr(pivots, "reachable", None)
     got = pivots.nearest_above(frame, queries, DIM, 4, 0.5, True, memory_rows=60, query_rows=50)
     assert result(got) == brute(rows, rows, 4, 0.5, exclude_self=True)
+
+
+def test_rows_that_come_twice_take_no_place_of_others(spark):
+    rows = random_rows(60, 14)
+    frame, queries = table(spark, rows + rows), table(spark, rows, "query_id")
+    want = brute(rows, rows, 4, -1.0, exclude_self=True)
+    assert result(pivots.nearest_above(frame, queries, DIM, 4, -1.0, True)) == want
