@@ -197,3 +197,21 @@ def test_salted_join_equals_plain_join(spark):
     semi = skew.salted_join(rows, lookup.select("k"), ["k"], ["id"], "left_semi")
     assert semi.count() == len(plain)
     assert [r.k for r in skew.hottest(lookup, "k", "n").limit(1).collect()] == ["hot"]
+
+
+@pytest.mark.parametrize("module", [fulltext])
+def test_an_index_is_built_in_parts_of_bounded_text(spark, tmp_path, monkeypatch, module):
+    """The parts follow the text, not the session's number of shuffle partitions."""
+    text = "".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + "x " for i in range(300))
+    rows = memories(spark, [(i, "heading %d" % i, text, "c", AT % 1) for i in range(40)])
+    files = {}
+    for chars in (1_000_000, 500):
+        monkeypatch.setattr(skew, "CHARS_A_PART", chars)
+        path = str(tmp_path / f"index-{chars}")
+        module.build_index(rows, path)
+        index = spark.read.parquet(path)
+        files[chars] = len(index.inputFiles())
+        found = sorted(map(tuple, index.select(sorted(index.columns)).collect()))
+        files[chars, "rows"] = found
+    assert files[500] > 2 * spark.sparkContext.defaultParallelism >= files[1_000_000]
+    assert files[500, "rows"] == files[1_000_000, "rows"]
