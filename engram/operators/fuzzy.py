@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from engram import schema
 from engram.functions import text as tx
 from engram.operators.ranking import winners_first
+from engram.operators.skew import text_parts
+
+#: Most parts among which the rows of one gram are dealt.
+SHARES = 16
 
 
 def grams_of(spark: SparkSession, query: str) -> list[str]:
@@ -45,20 +49,29 @@ def trigram_search(
 
 
 def build_index(memories: DataFrame, path: str) -> None:
-    """Store (gram, n_grams, field, id) in that order: a search then reads the row groups of
-    its grams only, and of those the texts of fitting size."""
+    """Store (gram, n_grams, field, id), in each file the rows of a gram together, by n_grams: a
+    search then reads the pages of its grams only, and of those the texts of fitting size.
+
+    Grams are dealt by their hash into parts of bounded size, and a gram of very many texts into
+    several of them by id, which needs no pass over the grams before. One number, the gram's hash
+    before the size, is the whole order inside a part: a number sorts faster than three columns,
+    and two grams of one hash only share their pages.
+    """
+    parts = text_parts(memories, ["heading", "summary"])
 
     def grams(name: str) -> Column:
         found = tx.trigrams(F.coalesce(F.col(name), F.lit("")))
         return F.struct(F.lit(name).alias("field"), found.alias("grams"))
 
     fields = memories.select("id", F.explode(F.array(grams("heading"), grams("summary"))).alias("f"))
+    rows = fields.select("id", "f.field", F.size("f.grams").alias("n_grams"), F.explode("f.grams").alias("gram"))
+    share = F.pmod(F.xxhash64("id"), F.lit(min(parts, SHARES)))
+    order = F.shiftleft(F.hash("gram").cast("long"), 32) + F.col("n_grams")
     (
-        fields.select(
-            "id", "f.field", F.size("f.grams").alias("n_grams"), F.explode("f.grams").alias("gram")
-        )
-        .repartitionByRange("gram", "n_grams", "id")
-        .sortWithinPartitions("gram", "n_grams", "id")
+        rows.repartition(parts, "gram", share)
+        .withColumn("order", order)
+        .sortWithinPartitions("order")
+        .drop("order")
         .write.parquet(path)
     )
 

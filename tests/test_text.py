@@ -199,7 +199,7 @@ def test_salted_join_equals_plain_join(spark):
     assert [r.k for r in skew.hottest(lookup, "k", "n").limit(1).collect()] == ["hot"]
 
 
-@pytest.mark.parametrize("module", [fulltext])
+@pytest.mark.parametrize("module", [fulltext, fuzzy])
 def test_an_index_is_built_in_parts_of_bounded_text(spark, tmp_path, monkeypatch, module):
     """The parts follow the text, not the session's number of shuffle partitions."""
     text = "".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) + "x " for i in range(300))
