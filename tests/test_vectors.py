@@ -1,5 +1,6 @@
 import collections
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -364,3 +365,32 @@ def test_rows_that_come_twice_take_no_place_of_others(spark):
     frame, queries = table(spark, rows + rows), table(spark, rows, "query_id")
     want = brute(rows, rows, 4, -1.0, exclude_self=True)
     assert result(pivots.nearest_above(frame, queries, DIM, 4, -1.0, True)) == want
+
+
+def test_vectors_of_a_block_are_taken_a_part_at_a_time():
+    """A block of any length leaves little more than its unit rows in memory, and the same rows."""
+    n, dimension = 5 * knn.ROWS_AT_ONCE + 7, 32
+    numbers = np.random.default_rng(3).normal(size=(n, dimension)).astype(np.float32)
+    numbers[[5, knn.ROWS_AT_ONCE, n - 1]] = 0
+    column = pa.chunked_array([pa.array(list(numbers), pa.list_(pa.float32()))])
+    want_at, want = vectors.unit_rows(column.combine_chunks(), dimension)
+    tracemalloc.start()
+    at, rows = knn._unit_rows_of(column, dimension)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert at.tolist() == want_at.tolist() and np.array_equal(rows, want)
+    assert peak < 2.6 * rows.nbytes
+
+
+def test_requests_past_one_slice_of_a_block_keep_their_rows(spark):
+    """Blocks of more queries than a task takes at once answer as one pass does."""
+    n = knn.ROWS_AT_ONCE + 300
+    vector = F.array(*[F.sin(F.col("id") * (i + 1)).cast("float") for i in range(4)])
+    stored = spark.range(60).select("id", vector.alias("embedding"))
+    asked = spark.range(n).select(
+        F.col("id").alias("query_id"), vector.alias("embedding"), (F.col("id") % 4).alias("limit"),
+        F.lit(0.2).alias("threshold"),
+    )
+    want = knn.nearest_each(stored, asked, 4)
+    got = knn.nearest_each(stored, asked, 4, max_broadcast_bytes=0, memory_rows=1000, query_rows=n)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
