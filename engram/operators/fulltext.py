@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from engram import schema
 from engram.functions import text as tx
 from engram.operators.ranking import order_rank_recency, winners_first
-from engram.operators.skew import salted_join, text_parts
+from engram.operators.skew import SHARES, salted_join, text_parts
 from engram.sources.workspace import written
 
 MAX_BROADCAST_TERMS = 200_000
@@ -213,19 +213,19 @@ def matches(memories: DataFrame, query: str) -> DataFrame:
 
 
 def build_index(memories: DataFrame, path: str) -> None:
-    """Store the weighted terms in term order: a search then reads the row groups of its
-    terms only. Ranges are cut by (term, id), so a term of very many memories fills several
-    files.
+    """Store the weighted terms, in each file in term order: a search then reads the pages of
+    its terms only.
 
-    Memories are dealt by id into parts of bounded text, in which their terms are counted; the
-    counts are written once, since the cut into ranges reads them twice.
+    Memories are dealt by id into parts of bounded text, in which their terms are counted. Terms
+    are dealt by their hash, one of very many memories into several parts by id, which needs no
+    pass over the counts before.
     """
     parts = text_parts(memories, list(FIELDS.values()))
     dealt = memories.select("id", "created_at", *FIELDS.values()).repartition(parts, "id")
     counted = field_terms(dealt, "created_at").groupBy("id", "created_at", "term").agg(*_counts())
+    share = F.pmod(F.xxhash64("id"), F.lit(min(parts, SHARES)))
     (
-        written(counted, "text-index-terms")
-        .repartitionByRange(parts, "term", "id")
+        counted.repartition(parts, "term", share)
         .sortWithinPartitions("term", "id")
         .write.parquet(path)
     )

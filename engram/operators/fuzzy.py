@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from engram import schema
 from engram.functions import text as tx
 from engram.operators.ranking import winners_first
-from engram.operators.skew import text_parts
-
-#: Most parts among which the rows of one gram are dealt.
-SHARES = 16
+from engram.operators.skew import SHARES, text_parts
 
 
 def grams_of(spark: SparkSession, query: str) -> list[str]:
