@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from engram.sources.workspace import written
 CENTROID_DECIMALS = 6
 KMEANS_SEED = 7
 KMEANS_ROUNDS = 10
+#: Costs of buckets that are held at once, and the last bucket where there is no other of its cost.
+COSTS_AT_ONCE, NO_LAST = 1 << 19, float(1 << 62)
 #: Rows of a bucket that `bits_for` aims at, and most buckets that are tried when probes are
 #: measured.
 ROWS_PER_BUCKET, MOST_PROBES = 8, 4096
@@ -157,25 +160,92 @@ def lsh_buckets(embedding, tables: int, bits: int, dimension: int, probes: int =
     return buckets(embedding)
 
 
-def probed_buckets(tables: int, bits: int, dimension: int, probes: int):
-    """The buckets of `lsh_buckets` as a function for `knn.nearest_met`: which of some buckets each
-    of some unit vectors probes."""
-    planes, buckets = hyperplanes(tables, bits, dimension), np.arange(1 << bits)
+class ProbedBuckets(knn.Asks):
+    """The buckets of `lsh_buckets` for `knn.nearest_met`: which of some buckets each of some unit
+    vectors probes. A vector's cuts are, for each table, the cost and the number of the last bucket it
+    probes, or no number where none after it costs as much."""
 
-    def asks(vectors: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        margins = (vectors @ planes.T).reshape(len(vectors), tables, bits)
+    def __init__(self, tables: int, bits: int, dimension: int, probes: int):
+        self.planes, self.buckets = hyperplanes(tables, bits, dimension), np.arange(1 << bits)
+        self.tables, self.bits, self.probes = tables, bits, probes
+
+    def margins(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each table's planes cost to cross, and the own bucket. Summed alike for one vector
+        and for many, as costs are compared with cuts."""
+        margins = np.einsum("ij,kj->ik", vectors, self.planes).reshape(len(vectors), self.tables, self.bits)
+        own = ((margins >= 0).astype(np.int64) << np.arange(self.bits)).sum(axis=2)
+        return np.abs(margins), own
+
+    def costs(self, cross: np.ndarray) -> np.ndarray:
+        """Of every set of planes crossed, added in the order of the planes."""
+        cost = np.zeros((len(cross), 1))
+        for bit in range(self.bits):
+            cost = np.concatenate([cost, cost + cross[:, bit : bit + 1]], axis=1)
+        return cost
+
+    def __call__(self, vectors: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        cross, own = self.margins(vectors)
         out = np.zeros((len(vectors), len(numbers)), bool)
-        for t in range(tables):
-            mine = np.flatnonzero(numbers >> bits == t)
-            cost, own = np.zeros((len(vectors), 1)), np.zeros(len(vectors), np.int64)
-            for bit in range(bits):
-                cost = np.concatenate([cost, cost + np.abs(margins[:, t, bit : bit + 1])], axis=1)
-                own += (margins[:, t, bit] >= 0).astype(np.int64) << bit
-            near = knn.lowest(np.take_along_axis(cost, buckets ^ own[:, None], 1), probes)
-            out[:, mine] = near[:, numbers[mine] - (t << bits)]
+        for t in range(self.tables):
+            mine = np.flatnonzero(numbers >> self.bits == t)
+            cost = np.take_along_axis(self.costs(cross[:, t]), self.buckets ^ own[:, t : t + 1], 1)
+            out[:, mine] = knn.lowest(cost, self.probes)[:, numbers[mine] - (t << self.bits)]
         return out
 
-    return asks
+    def closest(self, cross: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, float, float, np.ndarray]]:
+        """(position, cut, last, sets of planes crossed) of some vectors in one table."""
+        step = max(1, COSTS_AT_ONCE >> self.bits)
+        for start in range(0, len(cross), step):
+            cost = self.costs(cross[start : start + step])
+            if self.probes >= cost.shape[1]:
+                for i in range(len(cost)):
+                    yield start + i, np.inf, NO_LAST, self.buckets
+                continue
+            cut = np.partition(cost, self.probes - 1, axis=1)[:, self.probes - 1]
+            within = cost <= cut[:, None]
+            for i in range(len(cost)):
+                sets, last = np.flatnonzero(within[i]), NO_LAST
+                if len(sets) > self.probes:
+                    order = np.lexsort((sets ^ own[start + i], cost[i, sets]))[: self.probes]
+                    sets = sets[order]
+                    last = sets[-1] ^ own[start + i]
+                yield start + i, cut[i], last, sets
+
+    def cuts(self, vectors: np.ndarray) -> np.ndarray:
+        cross, own = self.margins(vectors)
+        out = np.empty((len(vectors), self.tables, 2))
+        for t in range(self.tables):
+            for i, cut, last, _ in self.closest(cross[:, t], own[:, t]):
+                out[i, t] = cut, last
+        return out.reshape(len(vectors), -1)
+
+    def pairs(self, vectors: np.ndarray, cuts: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        cross, own = self.margins(vectors)
+        cuts = cuts.reshape(-1, self.tables, 2)
+
+        def tell(query: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+            table, bucket = numbers >> self.bits, numbers & ((1 << self.bits) - 1)
+            crossed, margin, cost = bucket ^ own[query, table], cross[query, table], np.zeros(len(query))
+            for bit in range(self.bits):
+                cost += margin[:, bit] * (crossed >> bit & 1)
+            cut, last = cuts[query, table].T
+            return (cost < cut) | (cost == cut) & (bucket <= last)
+
+        return tell
+
+    def held(self, vectors: np.ndarray, numbers: np.ndarray, n: np.ndarray) -> np.ndarray:
+        cross, own = self.margins(vectors)
+        sizes = np.zeros(self.tables << self.bits, n.dtype)
+        sizes[numbers] = n
+        out = np.zeros(len(vectors), n.dtype)
+        for t, size in enumerate(sizes.reshape(self.tables, -1)):
+            for i, _, _, sets in self.closest(cross[:, t], own[:, t]):
+                out[i] += size[sets ^ own[i, t]].sum()
+        return out
+
+
+def probed_buckets(tables: int, bits: int, dimension: int, probes: int) -> ProbedBuckets:
+    return ProbedBuckets(tables, bits, dimension, probes)
 
 
 def lsh_probes_for(

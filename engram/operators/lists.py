@@ -118,7 +118,49 @@ def probed(centroids: DataFrame, queries: DataFrame, dimension: int, probes: int
     return found.select("query_id", F.col("id").alias("list_id"), "rank")
 
 
-def closest_lists(centroids: DataFrame, dimension: int, probes: int) -> Callable | None:
+class ClosestLists(knn.Asks):
+    """The `probes` lists whose centroids are closest, ties to the lower list. A vector's cuts are the
+    similarity and the number of the last of them."""
+
+    def __init__(self, points: np.ndarray, known: np.ndarray, probes: int):
+        self.points, self.known, self.probes = points, known, probes
+
+    def near(self, vectors: np.ndarray) -> np.ndarray:
+        return np.round(vectors @ self.points.T, schema.SIMILARITY_DECIMALS)
+
+    def __call__(self, vectors: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros((len(vectors), len(numbers)), bool)
+        near = knn.lowest(-self.near(vectors), self.probes)
+        place = np.minimum(np.searchsorted(self.known, numbers), len(self.known) - 1)
+        return near[:, place] & (self.known[place] == numbers)
+
+    def cuts(self, vectors: np.ndarray) -> np.ndarray:
+        out = np.tile([-np.inf, self.known[-1] if len(self.known) else 0.0], (len(vectors), 1))
+        step = max(1, knn.SCORES_AT_ONCE // max(1, len(self.known)))
+        for start in range(0, len(vectors) if self.probes < len(self.known) else 0, step):
+            near = self.near(vectors[start : start + step])
+            cut = np.partition(near, len(self.known) - self.probes, axis=1)[:, len(self.known) - self.probes]
+            out[start : start + step, 0] = cut
+            over = np.flatnonzero(np.count_nonzero(near >= cut[:, None], axis=1) > self.probes)
+            for i in over.tolist():
+                left = self.probes - np.count_nonzero(near[i] > cut[i])
+                out[start + i, 1] = self.known[np.flatnonzero(near[i] == cut[i])[left - 1]]
+        return out
+
+    def pairs(self, vectors: np.ndarray, cuts: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        def tell(query: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+            if not len(self.known):
+                return np.zeros(len(query), bool)
+            place = np.minimum(np.searchsorted(self.known, numbers), len(self.known) - 1)
+            near = np.round(np.einsum("ij,ij->i", vectors[query], self.points[place]), schema.SIMILARITY_DECIMALS)
+            cut, last = cuts[query].T
+            return ((near > cut) | (near == cut) & (numbers <= last)) & (self.known[place] == numbers)
+
+        return tell
+
+
+def closest_lists(centroids: DataFrame, dimension: int, probes: int) -> ClosestLists | None:
     """The same choice as a function for `knn.nearest_met`, which holds the centroids; None if
     they pass the bound of a broadcast. Their number grows with the root of the table."""
     mine = centroids.select(F.col("list_id").alias("query_id"), F.col("centroid").alias("embedding"))
@@ -128,12 +170,7 @@ def closest_lists(centroids: DataFrame, dimension: int, probes: int) -> Callable
     at, points = unit_rows(table["embedding"].combine_chunks(), dimension)
     known = table["query_id"].to_numpy()[at]
 
-    def asks(vectors: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        near = knn.lowest(-np.round(vectors @ points.T, schema.SIMILARITY_DECIMALS), probes)
-        place = np.minimum(np.searchsorted(known, numbers), max(0, len(known) - 1))
-        return near[:, place] & (known[place] == numbers) if len(known) else np.zeros((len(vectors), len(numbers)), bool)
-
-    return asks
+    return ClosestLists(points, known, probes)
 
 
 def by_repeats(queries: DataFrame) -> tuple[DataFrame, DataFrame | None]:
