@@ -77,3 +77,30 @@ def test_queries_that_share_a_vector(spark, monkeypatch):
     want = {tuple(r) for r in knn.nearest(stored, asked, DIM, 3).collect()}
     got = {tuple(r) for r in knn.nearest(stored, asked, DIM, 3, max_broadcast_bytes=0, memory_rows=7, query_rows=9).collect()}
     assert got == want and len({r[0] for r in got}) == 70
+
+
+def test_queries_of_few_numbers_go_in_passes(spark, monkeypatch):
+    """Vectors of words, with copies, ties and empty ones: the hits of blocks, and no copies of memories."""
+    random, wide = np.random.default_rng(8), 200
+
+    def texts(n: int) -> list[list[float]]:
+        rows = np.zeros((n, wide))
+        for row in rows:
+            row[random.zipf(1.4, 12) % wide] = random.integers(1, 3)
+        return rows.tolist()
+
+    said = texts(500)
+    said[10:30] = [said[3]] * 20
+    said[40] = [0.0] * wide
+    stored = spark.createDataFrame([(i, v) for i, v in enumerate(said)], "id long, embedding array<float>")
+    rows = [(i, v) for i, v in enumerate(texts(90) + said[:20] + [[0.0] * wide, None, [1.0]])]
+    asked = spark.createDataFrame(rows, "query_id long, embedding array<float>")
+    want = sorted(map(tuple, knn.nearest(stored, asked, wide, 4, 0.3).collect()))
+    cut = []
+    blocks = knn._in_blocks
+    monkeypatch.setattr(knn, "_in_blocks", lambda *a, **k: cut.append(1) or blocks(*a, **k))
+    for most in (wide * 16 * 20, wide * 16):
+        assert sorted(map(tuple, knn.nearest(stored, asked, wide, 4, 0.3, max_broadcast_bytes=most).collect())) == want
+    assert not cut and len(want) > 200
+    got = knn.nearest(stored, asked, wide, 4, 0.3, max_broadcast_bytes=0).collect()
+    assert cut and sorted(map(tuple, got)) == want
